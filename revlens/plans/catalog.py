@@ -11,9 +11,40 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.operators import trends
+from revlens.functions.mathfn import share_sql
+from revlens.functions.timefn import MONTHS
+from revlens.operators import distribution, evaluation, feed, products, trends
 from revlens.sources import tables as T
 
+V = T.with_views
+
+# Parameters of the registered queries.
+TREND_YEAR = 1998
+KEYED_PRODUCT = "42"
+BIG_PRODUCT = "7"
+CURSOR = 5000
+SEARCH_TERM = "worthless"
+
+# ------------------------------------------------------------ SQL fragments
+LABEL_COUNTS_SQL = """count(*) filter (where coalesce(sentiment_label, 'neutral') = 'positive') as positive,
+       count(*) filter (where coalesce(sentiment_label, 'neutral') = 'neutral') as neutral,
+       count(*) filter (where coalesce(sentiment_label, 'neutral') = 'negative') as negative"""
+KNOWN_COUNTS_SQL = """count(*) filter (where sentiment_label = 'negative') as negative,
+       count(*) filter (where sentiment_label = 'neutral') as neutral,
+       count(*) filter (where sentiment_label = 'positive') as positive"""
+NORM_TIME_SQL = ("(case when (case when Time > 4000000000 then Time // 1000 else Time end) "
+                 "between 788918400 and 1893456000 "
+                 "then (case when Time > 4000000000 then Time // 1000 else Time end) end)")
+FORMAT_SQL = f"""cast(Id as varchar) as id, coalesce(ProductId, '') as productId, coalesce(UserId, '') as userId,
+       coalesce(Summary, '') as summary, coalesce(Text, '') as text,
+       coalesce(strftime(make_timestamp({NORM_TIME_SQL} * 1000000), '%Y-%m-%d'), '') as time,
+       case when sentiment_label is null or sentiment_label = '' then
+            (case cast(trunc(coalesce(prediction, 0.0)) as integer) when 0 then 'negative'
+                  when 1 then 'neutral' when 2 then 'positive' else 'neutral' end)
+            else sentiment_label end as sentiment,
+       try_cast(confidence as double) as confidence, true_sentiment as trueSentiment, prediction"""
+MONTHS_SQL = "(values " + ", ".join(f"({i + 1}, '{m}')" for i, m in enumerate(MONTHS)) + ")"
+
 
 @dataclass
 class Query:
@@ -52,6 +83,322 @@ def q_yearly_trend(spark, d):
     return trends.yearly_trend(_pb(spark, d))
 
 
+@register("monthly_trend", V(f"""
+select m.month_num, m.month, coalesce(a.positive, 0) as positive, coalesce(a.neutral, 0) as neutral,
+       coalesce(a.negative, 0) as negative
+from {MONTHS_SQL} m(month_num, month) left join (
+  select cast(month(make_timestamp(Time * 1000000)) as integer) as month_num, {LABEL_COUNTS_SQL}
+  from predictions_big
+  where Time between 788918400 and 1893456000
+    and Time >= epoch(make_timestamp({TREND_YEAR}, 1, 1, 0, 0, 0))
+    and Time < epoch(make_timestamp({TREND_YEAR + 1}, 1, 1, 0, 0, 0))
+  group by 1) a using (month_num)""", "predictions_big"))
+def q_monthly_trend(spark, d):
+    return trends.monthly_trend(_pb(spark, d), TREND_YEAR)
+
+
+@register("activity_heatmap", V("""
+select g.day, g.day_name, g.hour, coalesce(a.count, 0) as count, coalesce(a.negative, 0) as negative,
+       coalesce(a.neutral, 0) as neutral, coalesce(a.positive, 0) as positive
+from (select d.day, d.day_name, h.hour from
+        (values (0,'Mon'),(1,'Tue'),(2,'Wed'),(3,'Thu'),(4,'Fri'),(5,'Sat'),(6,'Sun')) d(day, day_name),
+        (select cast(range as integer) as hour from range(24)) h) g
+left join (select cast(isodow(inserted_at) - 1 as integer) as day, cast(hour(inserted_at) as integer) as hour,
+                  count(*) as count, count(*) filter (where sentiment_label = 'negative') as negative,
+                  count(*) filter (where sentiment_label = 'neutral') as neutral,
+                  count(*) filter (where sentiment_label = 'positive') as positive
+           from predictions_keyed where inserted_at is not null group by 1, 2) a
+on a.day = g.day and a.hour = g.hour""", "predictions_keyed"))
+def q_activity_heatmap(spark, d):
+    return trends.activity_heatmap(_pk(spark, d))
+
+
+@register("throughput_windows", V("""
+select w_start // 1000000 as window_start_s, (w_start + 60000000) // 1000000 as window_end_s, count(*) as n,
+       round(count(*) / 60.0, 2) as rate
+from (select (epoch_us(inserted_at) // 10000000) * 10000000 - k * 10000000 as w_start
+      from predictions_keyed, (select range as k from range(6)) ks) x
+group by w_start""", "predictions_keyed"))
+def q_throughput_windows(spark, d):
+    from pyspark.sql import functions as F
+    w = trends.throughput_windows(_pk(spark, d))
+    return w.select(F.unix_seconds("window_start").alias("window_start_s"),
+                    F.unix_seconds("window_end").alias("window_end_s"), "n", "rate")
+
+
+# ---------------------------------------------------------- distributions
+@register("score_distribution", V("""
+select Score, count(*) as n from reviews group by 1 order by 1""", "reviews"))
+def q_score_distribution(spark, d):
+    return distribution.score_distribution(T.reviews(spark, d))
+
+
+@register("class_distribution", V(f"""
+select label, n, {share_sql('n', 'sum(n) over ()', 100, 1)} as pct
+from (select sentiment as label, count(*) as n from reviews group by 1) a""", "reviews"))
+def q_class_distribution(spark, d):
+    return distribution.class_distribution(T.labelled_reviews(spark, d), "sentiment")
+
+
+@register("prediction_distribution", V("""
+select sentiment_label, count(*) as n from predictions_big group by 1""", "predictions_big"))
+def q_prediction_distribution(spark, d):
+    return distribution.prediction_distribution(_pb(spark, d))
+
+
+@register("global_distribution", V(f"""
+select {KNOWN_COUNTS_SQL} from predictions_big""", "predictions_big"))
+def q_global_distribution(spark, d):
+    return distribution.global_distribution(_pb(spark, d))
+
+
+_SHARES_SQL = f"""
+select l.label, case l.label when 'negative' then negative when 'neutral' then neutral else positive end as n,
+       {share_sql("case l.label when 'negative' then negative when 'neutral' then neutral else positive end",
+                  'negative + neutral + positive', 100, 1)} as pct
+from (select {KNOWN_COUNTS_SQL} from SRC) g, (values ('negative'), ('neutral'), ('positive')) l(label)"""
+
+
+@register("label_shares", V(_SHARES_SQL.replace("SRC", "predictions_big"), "predictions_big"))
+def q_label_shares(spark, d):
+    return distribution.label_shares(_pb(spark, d))
+
+
+@register("product_vs_global", V("""
+select p.label, p.n as product_n, p.pct as product_pct, g.n as global_n, g.pct as global_pct
+from prod p join allp g using (label)""", "predictions_keyed", ctes={
+    "prod": _SHARES_SQL.replace("SRC", f"predictions_keyed where ProductId = '{KEYED_PRODUCT}'"),
+    "allp": _SHARES_SQL.replace("SRC", "predictions_keyed")}))
+def q_product_vs_global(spark, d):
+    return distribution.product_vs_global(_pk(spark, d), KEYED_PRODUCT)
+
+
+# ------------------------------------------------------------- evaluation
+@register("confusion_counts", V("""
+select true_sentiment as label, prediction, count(*) as n from predictions_big group by 1, 2""",
+                                "predictions_big"))
+def q_confusion_counts(spark, d):
+    return evaluation.confusion_counts(_pb(spark, d))
+
+
+_NAME = "(case {c} when 0 then 'negative' when 1 then 'neutral' when 2 then 'positive' end)"
+
+
+@register("confusion_matrix", V(f"""
+select {_NAME.format(c='g.t')} as true_label, {_NAME.format(c='g.p')} as predicted_label, coalesce(a.n, 0) as n
+from (select t.range as t, p.range as p from range(3) t, range(3) p) g
+left join (select cast(true_sentiment as integer) as t, cast(trunc(prediction) as integer) as p, count(*) as n
+           from predictions_big
+           where true_sentiment in (0, 1, 2) and prediction is not null
+             and cast(trunc(prediction) as integer) between 0 and 2
+           group by 1, 2) a on a.t = g.t and a.p = g.p""", "predictions_big"))
+def q_confusion_matrix(spark, d):
+    return evaluation.confusion_matrix(_pb(spark, d))
+
+
+def _conf_bin_sql(c: str) -> str:
+    edges = evaluation.CONF_BINS
+    whens = " ".join(f"when {c} < {edges[i]} then {i - 1}" for i in range(1, len(edges)))
+    return f"(case when {c} is null or isnan({c}) then 0 {whens} else 9 end)"
+
+
+_HIST_SQL = f"""
+select g.label, g.bin, g.bin_start, coalesce(a.n, 0) as n
+from (select l.label, cast(b.bin as integer) as bin, b.bin_start
+      from (values ('negative'), ('neutral'), ('positive')) l(label),
+           (values {", ".join(f"({i}, {e})" for i, e in enumerate(evaluation.CONF_BINS))}) b(bin, bin_start)) g
+left join (select sentiment_label as label, {_conf_bin_sql('confidence')} as bin, count(*) as n
+           from SRC where sentiment_label in ('negative', 'neutral', 'positive') group by 1, 2) a
+on a.label = g.label and a.bin = g.bin"""
+
+
+@register("confidence_histogram", V(_HIST_SQL.replace("SRC", "predictions_big"), "predictions_big"))
+def q_confidence_histogram(spark, d):
+    return evaluation.confidence_histogram(_pb(spark, d))
+
+
+@register("confidence_histogram_keyed", V(_HIST_SQL.replace("SRC", "predictions_keyed"), "predictions_keyed"))
+def q_confidence_histogram_keyed(spark, d):
+    return evaluation.confidence_histogram(_pk(spark, d))
+
+
+@register("product_confidence_histogram", V(f"""
+select g.bin, g.bin_start, coalesce(a.n, 0) as n
+from (values (0, 0.5), (1, 0.6), (2, 0.7), (3, 0.8), (4, 0.9)) g(bin, bin_start)
+left join (select case when c >= 0.5 and c < 0.6 then 0 when c >= 0.6 and c < 0.7 then 1
+                       when c >= 0.7 and c < 0.8 then 2 when c >= 0.8 and c < 0.9 then 3
+                       when c >= 0.9 and c < 1.0 then 4 end as bin, count(*) as n
+           from (select coalesce(confidence, 0.0) as c from predictions_keyed
+                 where ProductId = '{KEYED_PRODUCT}') x
+           group by 1) a using (bin)""", "predictions_keyed"))
+def q_product_confidence_histogram(spark, d):
+    return evaluation.product_confidence_histogram(_pk(spark, d), KEYED_PRODUCT)
+
+
+_PER_CLASS_SQL = """
+select k as cls, c[k * 3 + k + 1] as tp,
+       c[k * 3 + 1] + c[k * 3 + 2] + c[k * 3 + 3] as support,
+       c[k + 1] + c[3 + k + 1] + c[6 + k + 1] as predicted, total
+from (select [count(*) filter (where t = 0 and p = 0), count(*) filter (where t = 0 and p = 1),
+              count(*) filter (where t = 0 and p = 2), count(*) filter (where t = 1 and p = 0),
+              count(*) filter (where t = 1 and p = 1), count(*) filter (where t = 1 and p = 2),
+              count(*) filter (where t = 2 and p = 0), count(*) filter (where t = 2 and p = 1),
+              count(*) filter (where t = 2 and p = 2)] as c, count(*) as total
+      from (select cast(true_sentiment as integer) as t, cast(trunc(prediction) as integer) as p
+            from predictions_big where true_sentiment is not null and prediction is not null) x
+      where t between 0 and 2 and p between 0 and 2) w, (select range as k from range(3)) ks"""
+_PRF_SQL = """
+select *, case when precision + recall > 0 then 2.0 * precision * recall / (precision + recall) else 0.0 end as f1
+from (select *, case when predicted > 0 then cast(tp as double) / predicted else 0.0 end as precision,
+             case when support > 0 then cast(tp as double) / support else 0.0 end as recall from per_class) y"""
+
+
+@register("classification_report", V("""
+select class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from (
+  select (case cls when 0 then 'negative' when 1 then 'neutral' else 'positive' end) as class,
+         precision, recall, f1, cast(support as bigint) as support from prf
+  union all
+  select 'macro avg', avg(precision), avg(recall), avg(f1), cast(sum(support) as bigint) from prf
+  union all
+  select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+         sum(f1 * support) / sum(support), cast(sum(support) as bigint) from prf) r""",
+                                     "predictions_big", ctes={"per_class": _PER_CLASS_SQL, "prf": _PRF_SQL}))
+def q_classification_report(spark, d):
+    return evaluation.classification_report(_pb(spark, d))
+
+
+@register("model_metrics", V("""
+select round(sum(tp) / max(total), 6) as accuracy,
+       round(sum(precision * support) / sum(support), 6) as weighted_precision,
+       round(sum(recall * support) / sum(support), 6) as weighted_recall,
+       round(sum(f1 * support) / sum(support), 6) as f1_weighted,
+       round(avg(f1), 6) as f1_macro, cast(max(total) as bigint) as n
+from prf""", "predictions_big", ctes={"per_class": _PER_CLASS_SQL, "prf": _PRF_SQL}))
+def q_model_metrics(spark, d):
+    return evaluation.model_metrics(_pb(spark, d))
+
+
+# --------------------------------------------------------------- products
+@register("top_products", V("""
+select ProductId as id, count(*) as count from predictions_big where sentiment_label = 'positive'
+group by 1 order by count desc, id asc nulls last limit 10""", "predictions_big"))
+def q_top_products(spark, d):
+    return products.top_products(_pb(spark, d), "positive", 10)
+
+
+@register("top_products_any", V("""
+select ProductId as id, count(*) as count from predictions_keyed
+group by 1 order by count desc, id asc nulls last limit 10""", "predictions_keyed"))
+def q_top_products_any(spark, d):
+    return products.top_products(_pk(spark, d), None, 10)
+
+
+@register("all_products", V("""
+select ProductId as id, count(*) as count from predictions_big where ProductId is not null and ProductId <> ''
+group by 1 order by count desc, id asc limit 2000""", "predictions_big"))
+def q_all_products(spark, d):
+    return products.all_products(_pb(spark, d), 2000)
+
+
+@register("product_id_search", V(f"""
+select ProductId as id, count(*) as count from predictions_big
+where ProductId is not null and contains(lower(ProductId), '{BIG_PRODUCT}1') group by 1""", "predictions_big"))
+def q_product_id_search(spark, d):
+    return products.product_id_search(_pb(spark, d), BIG_PRODUCT + "1")
+
+
+@register("product_list", V("""
+select id, count, src, pos from (
+  select *, row_number() over (partition by id order by src, pos) as k from (
+    select id, count, src, row_number() over (partition by src order by count desc, id asc) as pos from (
+      (select ProductId as id, count(*) as count, 0 as src from predictions_big
+       where sentiment_label = 'positive' group by 1 order by count desc, id asc nulls last limit 10)
+      union all
+      (select ProductId as id, count(*) as count, 1 as src from predictions_big
+       where sentiment_label = 'negative' group by 1 order by count desc, id asc nulls last limit 10)) u) r) z
+where k = 1""", "predictions_big"))
+def q_product_list(spark, d):
+    return products.product_list(_pb(spark, d))
+
+
+@register("product_summary", V(f"""
+select '{KEYED_PRODUCT}' as id, * from (
+  select count(*) as totalReviews, {KNOWN_COUNTS_SQL}
+  from predictions_keyed where ProductId = '{KEYED_PRODUCT}') a where totalReviews > 0""", "predictions_keyed"))
+def q_product_summary(spark, d):
+    return products.product_summary(_pk(spark, d), KEYED_PRODUCT)
+
+
+@register("product_yearly", V(f"""
+select cast(year(make_timestamp(Time * 1000000)) as varchar) as year, {LABEL_COUNTS_SQL}
+from predictions_big where ProductId = '{BIG_PRODUCT}' and Time between 788918400 and 1893456000
+group by 1""", "predictions_big"))
+def q_product_yearly(spark, d):
+    return products.product_yearly(_pb(spark, d), BIG_PRODUCT)
+
+
+@register("product_newest", V(f"""
+select {FORMAT_SQL} from predictions_keyed where ProductId = '{KEYED_PRODUCT}'
+order by Time desc nulls last, Id desc limit 20""", "predictions_keyed"))
+def q_product_newest(spark, d):
+    return products.product_newest(_pk(spark, d), KEYED_PRODUCT)
+
+
+@register("product_reviews", V(f"""
+select p.*, t.total, 2 as page, 20 as pageSize from (
+  select {FORMAT_SQL} from predictions_keyed where ProductId = '{KEYED_PRODUCT}' and sentiment_label = 'neutral'
+  order by Time desc nulls last, Id desc limit 20 offset 20) p,
+ (select count(*) as total from predictions_keyed
+  where ProductId = '{KEYED_PRODUCT}' and sentiment_label = 'neutral') t""", "predictions_keyed"))
+def q_product_reviews(spark, d):
+    return products.product_reviews(_pk(spark, d), KEYED_PRODUCT, "neutral", page=2, page_size=20)
+
+
+# ------------------------------------------------------------------- feed
+@register("recent", V(f"""
+select {FORMAT_SQL} from predictions_keyed order by inserted_at desc nulls last, Id desc limit 50""",
+                      "predictions_keyed"))
+def q_recent(spark, d):
+    return feed.format_prediction(feed.recent(_pk(spark, d), 50))
+
+
+@register("recent_negative", V(f"""
+select {FORMAT_SQL} from predictions_keyed where sentiment_label = 'negative'
+order by inserted_at desc nulls last, Id desc limit 50""", "predictions_keyed"))
+def q_recent_negative(spark, d):
+    return feed.format_prediction(feed.recent(_pk(spark, d), 50, "negative"))
+
+
+@register("after_cursor", V(f"""
+select {FORMAT_SQL} from predictions_keyed where Id > {CURSOR} order by Id asc limit 20""", "predictions_keyed"))
+def q_after_cursor(spark, d):
+    return feed.format_prediction(feed.after_cursor(_pk(spark, d), CURSOR, 20))
+
+
+@register("latest", V(f"""
+select {FORMAT_SQL} from predictions_keyed order by inserted_at desc nulls last, Id desc limit 1""",
+                      "predictions_keyed"))
+def q_latest(spark, d):
+    return feed.format_prediction(feed.latest(_pk(spark, d)))
+
+
+@register("search", V(f"""
+select Id, ProductId, Summary from reviews
+where coalesce(regexp_matches(Summary, '{SEARCH_TERM}', 'i'), false)
+   or coalesce(regexp_matches(Text, '{SEARCH_TERM}', 'i'), false)
+order by Id limit 20""", "reviews"))
+def q_search(spark, d):
+    return feed.search(T.reviews(spark, d), SEARCH_TERM, 20).select("Id", "ProductId", "Summary")
+
+
+@register("text_preview", V("""
+select Id, case when length(coalesce(Text, '')) > 100 then substring(coalesce(Text, ''), 1, 100) || '…'
+                else coalesce(Text, '') end as preview
+from reviews""", "reviews"))
+def q_text_preview(spark, d):
+    return T.reviews(spark, d).select("Id", feed.text_preview("Text", 100).alias("preview"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: q.run for n, q in REGISTRY.items()}
 

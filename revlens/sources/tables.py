@@ -119,9 +119,10 @@ select doc_id as Id, source as ProductId, lang as UserId, {REVIEW_EPOCH0} + {DAY
 from documents"""
 
 
-def with_views(sql: str, *names: str) -> str:
-    """Prefix an oracle query with the adapter CTEs it uses."""
+def with_views(sql: str, *names: str, ctes: dict[str, str] | None = None) -> str:
+    """Prefix an oracle query with the adapter CTEs it uses (then any extra CTEs)."""
     defs = {"predictions_big": PREDICTIONS_BIG_SQL, "predictions_keyed": PREDICTIONS_KEYED_SQL,
             "reviews": REVIEWS_SQL}
-    ctes = ",\n".join(f"{n} as ({defs[n]})" for n in names)
-    return f"with {ctes}\n{sql}"
+    parts = [f"{n} as ({defs[n]})" for n in names]
+    parts += [f"{n} as ({q})" for n, q in (ctes or {}).items()]
+    return "with " + ",\n".join(parts) + "\n" + sql
