@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revlens.functions.mathfn import share_sql
 from revlens.functions.timefn import MONTHS
-from revlens.operators import distribution, evaluation, feed, products, trends
+from revlens.functions.hashing import unit_hash_sql
+from revlens.functions.text import clean_text_sql
+from revlens.operators import distribution, evaluation, feed, prep, products, profile, trends, words
 from revlens.sources import tables as T
 
 V = T.with_views
@@ -399,6 +401,142 @@ def q_text_preview(spark, d):
     return T.reviews(spark, d).select("Id", feed.text_preview("Text", 100).alias("preview"))
 
 
+# ------------------------------------------------------------------- text
+def _cleaned(spark, d):
+    """Cleaned, labelled reviews (P1 + P2 + P3) with their display label."""
+    from revlens.functions.labels import label_name
+    return prep.clean_reviews(T.reviews(spark, d)).withColumn("sentiment_label", label_name("sentiment"))
+
+
+def _split(spark, d):
+    return prep.stratified_split(_cleaned(spark, d))
+
+
+_CLEANED_SQL = f"""
+select Id, ProductId, UserId, Time, Summary, Text,
+       {clean_text_sql("coalesce(Summary, '') || '. ' || coalesce(Text, '')")} as cleaned, Score, sentiment,
+       case sentiment when 0 then 'negative' when 1 then 'neutral' when 2 then 'positive' end as sentiment_label
+from reviews"""
+_U_SPLIT = unit_hash_sql("Id", 42)
+_SPLIT_SQL = f"""
+select *, case when {_U_SPLIT} < 0.8 then 'train' when {_U_SPLIT} < 0.9 then 'val' else 'test' end as split
+from cleaned"""
+
+
+@register("clean_text", V("""select Id, cleaned from cleaned""", "reviews", ctes={"cleaned": _CLEANED_SQL}))
+def q_clean_text(spark, d):
+    return _cleaned(spark, d).select("Id", "cleaned")
+
+
+@register("word_frequencies", V(f"""
+select label, rank, word, n, 10 + cast(floor(n / max(n) over (partition by label) * 32 + 0.5) as integer) as size
+from (select label, word, n, cast(row_number() over (partition by label order by n desc, word asc) as integer) as rank
+      from (select label, word, count(*) as n from (
+              select label, unnest(string_split(lower(src), ' ')) as word from (
+                select sentiment_label as label,
+                       case when length(coalesce(cleaned, '')) > 2 then cleaned else coalesce(Text, '') end as src
+                from cleaned where sentiment_label in ('negative', 'neutral', 'positive')) s) w
+            where not list_contains([{", ".join(repr(x) for x in words.WORD_STOPWORDS)}], word)
+              and regexp_matches(word, '^[a-z]{{3,15}}\n?$')
+            group by 1, 2) c) r
+where rank <= 25""", "reviews", ctes={"cleaned": _CLEANED_SQL}))
+def q_word_frequencies(spark, d):
+    return words.word_frequencies(_cleaned(spark, d), 25)
+
+
+@register("text_length_stats", V("""
+select round(avg(length(coalesce(Text, ''))), 6) as avg_text_len,
+       round(avg(length(coalesce(Summary, ''))), 6) as avg_summary_len,
+       count(*) filter (where Summary is null) as summary_nulls, count(*) as rows
+from reviews""", "reviews"))
+def q_text_length_stats(spark, d):
+    return profile.text_length_stats(T.reviews(spark, d))
+
+
+_REVIEW_COLS = [("Id", "bigint"), ("ProductId", "string"), ("UserId", "string"), ("Time", "bigint"),
+                ("Score", "int"), ("Summary", "string"), ("Text", "string")]
+
+
+@register("null_profile", V(" union all ".join(
+    f"select {i} as position, '{c}' as \"column\", '{t}' as dtype, count(*) filter (where {c} is null) as nulls,"
+    f" count(*) as rows from reviews" for i, (c, t) in enumerate(_REVIEW_COLS)), "reviews"))
+def q_null_profile(spark, d):
+    return profile.null_profile(T.reviews(spark, d))
+
+
+@register("preprocessing_stats", V("""
+select count(*) as total, count(*) filter (where split = 'train') as train,
+       count(*) filter (where split = 'val') as val, count(*) filter (where split = 'test') as test,
+       count(*) filter (where sentiment = 0) as negative, count(*) filter (where sentiment = 1) as neutral,
+       count(*) filter (where sentiment = 2) as positive,
+       round(avg(length(coalesce(cleaned, ''))), 6) as avg_cleaned_len,
+       count(*) filter (where coalesce(cleaned, '') = '') as empty_cleaned
+from splits""", "reviews", ctes={"cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL}))
+def q_preprocessing_stats(spark, d):
+    return profile.preprocessing_stats(_split(spark, d))
+
+
+@register("split_assignment", V("""select Id, sentiment, split from splits""", "reviews",
+                                ctes={"cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL}))
+def q_split_assignment(spark, d):
+    return _split(spark, d).select("Id", "sentiment", "split")
+
+
+@register("split_report", V(f"""
+select split, sentiment, n, split_rows, {share_sql('n', 'split_rows', 100, 1)} as pct_of_split,
+       {share_sql('split_rows', 'cast(sum(n) over () as bigint)', 100, 1)} as split_pct
+from (select split, sentiment, n, cast(sum(n) over (partition by split) as bigint) as split_rows
+      from (select split, sentiment, count(*) as n from splits group by 1, 2) a) b""",
+                            "reviews", ctes={"cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL}))
+def q_split_report(spark, d):
+    return profile.split_report(_split(spark, d))
+
+
+@register("split_verify", V("""
+select split, count(*) as rows, array_to_string(list_sort(list_distinct(list(cast(sentiment as varchar)))), ',')
+       as labels, count(*) filter (where sentiment is null) as label_nulls
+from splits group by 1""", "reviews", ctes={"cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL}))
+def q_split_verify(spark, d):
+    return profile.split_verify(_split(spark, d))
+
+
+_BAL_FRACTION_SQL = """(select case when count(*) filter (where sentiment = 2) = 0 then 1.0
+        else least(3.0 * count(*) filter (where sentiment = 1) / count(*) filter (where sentiment = 2), 1.0) end
+        from train)"""
+_U_BAL = unit_hash_sql("Id", 43)
+_BALANCED_SQL = f"""select * from train where sentiment is not null
+  and (sentiment <> 2 or {_U_BAL} < {_BAL_FRACTION_SQL})"""
+
+
+def _balanced(spark, d):
+    train = _split(spark, d).filter("split = 'train'")
+    return prep.drop_unusable(prep.undersample_majority(train))
+
+
+@register("undersample_majority", V("""select Id, sentiment from balanced""", "reviews", ctes={
+    "cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL, "train": "select * from splits where split = 'train'",
+    "balanced": _BALANCED_SQL + " and cleaned is not null and cleaned <> ''"}))
+def q_undersample_majority(spark, d):
+    return _balanced(spark, d).select("Id", "sentiment")
+
+
+@register("class_weights", V("""
+select sentiment, n, cast(sum(n) over () as double) / (3.0 * n) as classWeight
+from (select sentiment, count(*) as n from balanced where sentiment in (0, 1, 2) group by 1) a""", "reviews", ctes={
+    "cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL, "train": "select * from splits where split = 'train'",
+    "balanced": _BALANCED_SQL + " and cleaned is not null and cleaned <> ''"}))
+def q_class_weights(spark, d):
+    return prep.class_weights(_balanced(spark, d))
+
+
+@register("examples_per_class", V(f"""
+select Id, sentiment, example from (
+  select Id, sentiment, cast(row_number() over (partition by sentiment order by {_U_SPLIT}, Id) as integer)
+         as example from cleaned) x where example <= 2""", "reviews", ctes={"cleaned": _CLEANED_SQL}))
+def q_examples_per_class(spark, d):
+    return prep.examples_per_class(_cleaned(spark, d), 2).select("Id", "sentiment", "example")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: q.run for n, q in REGISTRY.items()}
 
