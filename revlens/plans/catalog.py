@@ -537,6 +537,35 @@ def q_examples_per_class(spark, d):
     return prep.examples_per_class(_cleaned(spark, d), 2).select("Id", "sentiment", "example")
 
 
+# --------------------------------------------------------------------- ML
+def _split_spread(spark, d):
+    return prep.stratified_split(prep.clean_reviews(T.spread(T.reviews(spark, d))))
+
+
+@register("score_test_split")
+def q_score_test_split(spark, d):
+    """M1 + M2 + M6 + P5 + P6: fit the weighted TF-IDF logistic regression on the
+    balanced train split and score the test split (no SQL oracle: model fit)."""
+    from pyspark.sql import functions as F
+    from revlens.plans import scoring, training
+    split_df = _split_spread(spark, d).cache()
+    balanced, _, test = training.training_tables(split_df)
+    model = training.fit_logreg(balanced)
+    scored = scoring.score(model, test)
+    return scored.select("Id", "sentiment", "prediction", "sentiment_label",
+                         F.round("confidence", 6).alias("confidence"))
+
+
+@register("model_selection")
+def q_model_selection(spark, d):
+    """M2 + M4 + M5 + A9 + S13: logistic regression vs naive Bayes on validation F1,
+    test metrics of the winner, as the one-row metadata record."""
+    from revlens.plans import training
+    split_df = _split_spread(spark, d).cache()
+    result = training.train(split_df, use_cv=False)
+    return training.metadata_frame(spark, result["metadata"]).drop("trained_on")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: q.run for n, q in REGISTRY.items()}
 

@@ -24,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy row work (regex cleaning, feature hashing) over the cluster.
+
+    Large inputs already arrive in many scan splits and pass through
+    untouched; only an input with fewer partitions than the cluster has
+    cores (a small file holding long texts) is round-robin repartitioned.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
     """The stored prediction table (parquet, partitioned by batch_id)."""
     return spark.read.parquet(path)
