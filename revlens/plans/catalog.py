@@ -15,7 +15,7 @@ from revlens.functions.mathfn import share_sql
 from revlens.functions.timefn import MONTHS
 from revlens.functions.hashing import unit_hash_sql
 from revlens.functions.text import clean_text_sql
-from revlens.operators import distribution, evaluation, feed, prep, products, profile, trends, words
+from revlens.operators import distribution, evaluation, feed, prep, products, profile, quality, trends, words
 from revlens.sources import tables as T
 
 V = T.with_views
@@ -566,6 +566,122 @@ def q_model_selection(spark, d):
     return training.metadata_frame(spark, result["metadata"]).drop("trained_on")
 
 
+# ---------------------------------------------------------------- quality
+_CHECK_COLS = '"check", status, value, threshold, detail'
+_NOW_SQL = "(select max(inserted_at) from predictions_keyed)"
+_FRESH_SQL = f"""
+select 'stats_freshness' as "check",
+       case when total = 0 then 'skip' when recent = 0 then 'fail' else 'ok' end as status,
+       cast(recent as double) / 120.0 as value, 0.0 as threshold,
+       '+' || recent || ' rows/2min, total ' || total as detail
+from (select count(*) as total,
+             count(*) filter (where inserted_at >= {_NOW_SQL} - interval 120 seconds) as recent
+      from predictions_keyed) a"""
+_QUALITY_SQL = """
+select 'prediction_labels' as "check",
+       case when n = 0 then 'skip' when unlabelled > 10 then 'fail' else 'ok' end as status,
+       cast(unlabelled as double) as value, 10.0 as threshold, unlabelled || '/' || n || ' unlabelled' as detail
+from q
+union all
+select 'prediction_confidence', case when n = 0 then 'skip' when mean_conf < 0.5 then 'fail' else 'ok' end,
+       round(mean_conf, 6), 0.5, 'mean confidence over ' || n || ' rows, ' || null_conf || ' without confidence'
+from q"""
+_Q_CTE = """select count(*) as n, count(*) filter (where sentiment_label is null or sentiment_label = '') as unlabelled,
+       avg(coalesce(confidence, 0.0)) as mean_conf, count(*) filter (where confidence is null) as null_conf
+from (select * from predictions_keyed order by inserted_at desc nulls last, Id desc limit 50) x"""
+_LATENCY_SQL = f"""
+select 'pipeline_latency' as "check",
+       case when last is null then 'skip' when lag > 60 then 'fail' else 'ok' end as status,
+       lag as value, 60.0 as threshold,
+       coalesce('lag ' || cast(round(lag, 0) as bigint) || ' s', 'no rows') as detail
+from (select max(inserted_at) as last,
+             (epoch_us({_NOW_SQL}) - epoch_us(max(inserted_at))) / 1e6 as lag from predictions_keyed) a"""
+_BALANCE_SQL = """
+select 'sentiment_balance' as "check",
+       case when total < 100 then 'skip' when cast(positive as double) * 100.0 / total > 95.0 then 'fail'
+            when cast(negative as double) * 100.0 / total > 60.0 then 'fail' else 'ok' end as status,
+       round(cast(positive as double) * 100.0 / total, 6) as value, 95.0 as threshold,
+       'positive ' || positive || ', negative ' || negative || ', total ' || total as detail
+from (select count(*) as total, count(*) filter (where sentiment_label = 'negative') as negative,
+             count(*) filter (where sentiment_label = 'positive') as positive from predictions_keyed) a"""
+_SNAP_SQL = """
+select run_s, 'events' as topic, cast(sum(coalesce(n, 0)) over (order by run_s) as bigint) as total
+from (select unnest(range(min(run_s), max(run_s) + 300, 300)) as run_s from per) g left join per using (run_s)"""
+_PER_SQL = "select (epoch_us(ts) // 1000000 // 300 + 1) * 300 as run_s, count(*) as n from events group by 1"
+_TRAFFIC_SQL = """
+select run_s, topic, 'source_traffic' as "check",
+       case when total = 0 then 'skip' when prev is null then 'ok' when total - prev = 0 then 'fail' else 'ok' end
+         as status,
+       cast(coalesce(total - prev, 0) as double) as value, 0.0 as threshold,
+       case when total = 0 then 'topic empty' when prev is null then 'first run, offset ' || total
+            else '+' || (total - prev) || ' messages, offset ' || total end as detail
+from (select *, lag(total) over (partition by topic order by run_s) as prev from snaps) s"""
+
+
+def _snapshots(spark, d):
+    return quality.event_snapshots(T.table(spark, d, "events"))
+
+
+def _traffic(spark, d):
+    from pyspark.sql import functions as F
+    return (quality.traffic(_snapshots(spark, d))
+            .withColumn("run_s", F.unix_seconds("run_time")).drop("run_time"))
+
+
+@register("stats_freshness", V(_FRESH_SQL, "predictions_keyed"))
+def q_stats_freshness(spark, d):
+    return quality.freshness(_pk(spark, d))
+
+
+@register("prediction_quality", V(_QUALITY_SQL, "predictions_keyed", ctes={"q": _Q_CTE}))
+def q_prediction_quality(spark, d):
+    return quality.prediction_quality(_pk(spark, d))
+
+
+@register("pipeline_latency", V(_LATENCY_SQL, "predictions_keyed"))
+def q_pipeline_latency(spark, d):
+    return quality.latency(_pk(spark, d))
+
+
+@register("sentiment_balance", V(_BALANCE_SQL, "predictions_keyed"))
+def q_sentiment_balance(spark, d):
+    return quality.balance(_pk(spark, d))
+
+
+@register("source_traffic", V(_TRAFFIC_SQL, "predictions_keyed",
+                              ctes={"per": _PER_SQL, "snaps": _SNAP_SQL}))
+def q_source_traffic(spark, d):
+    return _traffic(spark, d)
+
+
+_STEPS = ("case \"check\" when 'inputs_exist' then 1 when 'source_traffic' then 2 when 'live_traffic' then 3 "
+          "when 'stats_freshness' then 4 when 'prediction_labels' then 5 when 'prediction_confidence' then 5 "
+          "when 'pipeline_latency' then 6 when 'sentiment_balance' then 7 end")
+
+
+@register("quality_report", V(f"""
+select "check", case when ff is not null and step > ff then 'skip' else status end as status,
+       value, threshold, detail, step
+from (select *, min(case when status = 'fail' then step end) over () as ff
+      from (select *, {_STEPS} as step from (
+        select 'inputs_exist' as "check", 'ok' as status, 0.0 as value, 0.0 as threshold,
+               'all inputs present' as detail
+        union all (select {_CHECK_COLS} from traffic order by run_s desc limit 1)
+        union all {_FRESH_SQL}
+        union all {_QUALITY_SQL}
+        union all {_LATENCY_SQL}
+        union all {_BALANCE_SQL}) u) v) w""", "predictions_keyed",
+                              ctes={"q": _Q_CTE, "per": _PER_SQL, "snaps": _SNAP_SQL, "traffic": _TRAFFIC_SQL}))
+def q_quality_report(spark, d):
+    import os
+    from pyspark.sql import functions as F
+    pk = _pk(spark, d)
+    inputs = quality.inputs_exist(spark, {t: os.path.join(d, f"{t}.parquet") for t in ("events", "lineitem")})
+    last_run = _traffic(spark, d).orderBy(F.desc("run_s")).limit(1)
+    return quality.report(inputs, last_run, quality.freshness(pk), quality.prediction_quality(pk),
+                          quality.latency(pk), quality.balance(pk))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: q.run for n, q in REGISTRY.items()}
 
