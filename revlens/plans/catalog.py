@@ -682,6 +682,58 @@ def q_quality_report(spark, d):
                           quality.latency(pk), quality.balance(pk))
 
 
+# ------------------------------------------------------------- connectors
+def _scratch(spark, name):
+    import os
+    import uuid
+    from revlens.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("message_roundtrip", V("""
+select Id, ProductId, cleaned, sentiment as true_sentiment, length(coalesce(Text, '')) as text_len from cleaned""",
+                                 "reviews", ctes={"cleaned": _CLEANED_SQL}))
+def q_message_roundtrip(spark, d):
+    """S5 -> S4 -> P4: reviews published as keyed JSON messages, decoded by the
+    stream schema and re-cleaned only where no cleaned text was sent."""
+    from pyspark.sql import functions as F
+    from revlens.sources import messages
+    from revlens.streaming.scoring import prepare
+    src = prep.clean_reviews(T.reviews(spark, d))
+    # Send half of the messages without a cleaned text so the consumer must clean them.
+    src = src.withColumn("cleaned", F.when(F.col("Id") % 2 == 0, F.col("cleaned")))
+    decoded = prepare(messages.decode_reviews(messages.publish_reviews(src)))
+    return decoded.select("Id", "ProductId", "cleaned", "true_sentiment",
+                          F.length(F.coalesce("Text", F.lit(""))).alias("text_len"))
+
+
+@register("split_files_roundtrip", V("""
+select Id, split, sentiment, nullif(cleaned, '') as cleaned, length(coalesce(Text, '')) as text_len
+from splits""", "reviews",
+                                     ctes={"cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL}))
+def q_split_files_roundtrip(spark, d):
+    """S10 -> S2: splits written as quote-all CSV partitioned by split, read back
+    with the fixed schema (multi-line texts included). An empty field reads back
+    as NULL, as with the reference's CSV reader."""
+    from pyspark.sql import functions as F
+    from revlens.sources import files
+    path = _scratch(spark, "splits")
+    files.write_splits(_split(spark, d), path, fmt="csv")
+    back = files.read_splits(spark, path, fmt="csv")
+    return back.select("Id", "split", "sentiment", "cleaned", F.length(F.coalesce("Text", F.lit(""))).alias("text_len"))
+
+
+@register("live_feed", V("""
+select cast(Id as varchar) as id, coalesce(ProductId, '') as productId,
+       substring(coalesce(Summary, ''), 1, 120) as summary, coalesce(sentiment_label, '') as sentiment,
+       coalesce(confidence, 0.0) as confidence, coalesce(cast(Time as varchar), '') as time
+from predictions_keyed""", "predictions_keyed"))
+def q_live_feed(spark, d):
+    """S6 -> S8: compact live records encoded as JSON and normalised by the reader."""
+    from revlens.sources import messages
+    return messages.normalise_live(messages.live_records(_pk(spark, d)))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: q.run for n, q in REGISTRY.items()}
 
