@@ -22,8 +22,9 @@ WS = (r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 
 TAG_RE = r"<[^\n]*?>"
 URL_RE = rf"http[^{WS}]+|www\.[^{WS}]+"
-NON_LETTER_RE = rf"[^a-z{WS}]"
-SPACES_RE = rf"[{WS}]+"
+# Replacing each non-letter by a space and then squeezing whitespace runs is the
+# same as replacing every run of non-letters (whitespace included) by one space.
+NON_LETTERS_RE = r"[^a-z]+"
 
 # English stopword list used by the cleaning step (the common
 # 179-word NLTK English list).
@@ -84,19 +85,29 @@ def normalise(col) -> Column:
     s = F.lower(F.coalesce(_c(col), F.lit("")))
     s = F.regexp_replace(s, TAG_RE, " ")
     s = F.regexp_replace(s, URL_RE, " ")
-    s = F.regexp_replace(s, NON_LETTER_RE, " ")
-    return F.trim(F.regexp_replace(s, SPACES_RE, " "))
+    return F.trim(F.regexp_replace(s, NON_LETTERS_RE, " "))
+
+
+def _ends(x: Column, *suffixes: str) -> Column:
+    cond = x.endswith(suffixes[0])
+    for suf in suffixes[1:]:
+        cond = cond | x.endswith(suf)
+    return cond
+
+
+def _drop(x: Column, n: int) -> Column:
+    return x.substr(F.lit(1), F.length(x) - n)
 
 
 def lemma_rule(x: Column) -> Column:
     """P3i fallback: plural suffix rules for words missing from the dictionary."""
     return (F.when(F.length(x) <= 3, x)
             .when(x.isin(*SINGULAR_S), x)
-            .when(x.endswith("sses"), F.regexp_replace(x, "es$", ""))
-            .when(x.endswith("ies") & (F.length(x) > 4), F.regexp_replace(x, "ies$", "y"))
-            .when(x.rlike("(xes|zes|ches|shes)$"), F.regexp_replace(x, "es$", ""))
-            .when(x.rlike("(ss|us|is)$"), x)
-            .when(x.endswith("s"), F.regexp_replace(x, "s$", ""))
+            .when(x.endswith("sses"), _drop(x, 2))
+            .when(x.endswith("ies") & (F.length(x) > 4), F.concat(_drop(x, 3), F.lit("y")))
+            .when(_ends(x, "xes", "zes", "ches", "shes"), _drop(x, 2))
+            .when(_ends(x, "ss", "us", "is"), x)
+            .when(x.endswith("s"), _drop(x, 1))
             .otherwise(x))
 
 
@@ -139,8 +150,7 @@ def clean_text_sql(col: str) -> str:
     s = f"lower(coalesce({col}, ''))"
     s = f"regexp_replace({s}, '{TAG_RE}', ' ', 'g')"
     s = f"regexp_replace({s}, '{URL_RE}', ' ', 'g')"
-    s = f"regexp_replace({s}, '{NON_LETTER_RE}', ' ', 'g')"
-    s = f"trim(regexp_replace({s}, '{SPACES_RE}', ' ', 'g'), ' ')"
+    s = f"trim(regexp_replace({s}, '{NON_LETTERS_RE}', ' ', 'g'), ' ')"
     irregular = " ".join(f"when '{k}' then '{v}'" for k, v in IRREGULAR_LEMMAS.items())
     rule = (f"case when length(x) <= 3 then x when list_contains({_sql_list(SINGULAR_S)}, x) then x "
             "when suffix(x, 'sses') then regexp_replace(x, 'es$', '') "

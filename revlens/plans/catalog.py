@@ -405,7 +405,8 @@ def q_text_preview(spark, d):
 def _cleaned(spark, d):
     """Cleaned, labelled reviews (P1 + P2 + P3) with their display label."""
     from revlens.functions.labels import label_name
-    return prep.clean_reviews(T.reviews(spark, d)).withColumn("sentiment_label", label_name("sentiment"))
+    return (prep.clean_reviews(T.spread(T.reviews(spark, d)))
+            .withColumn("sentiment_label", label_name("sentiment")))
 
 
 def _split(spark, d):
@@ -539,7 +540,7 @@ def q_examples_per_class(spark, d):
 
 # --------------------------------------------------------------------- ML
 def _split_spread(spark, d):
-    return prep.stratified_split(prep.clean_reviews(T.spread(T.reviews(spark, d))))
+    return _split(spark, d)
 
 
 @register("score_test_split")
@@ -699,7 +700,7 @@ def q_message_roundtrip(spark, d):
     from pyspark.sql import functions as F
     from revlens.sources import messages
     from revlens.streaming.scoring import prepare
-    src = prep.clean_reviews(T.reviews(spark, d))
+    src = prep.clean_reviews(T.spread(T.reviews(spark, d)))
     # Send half of the messages without a cleaned text so the consumer must clean them.
     src = src.withColumn("cleaned", F.when(F.col("Id") % 2 == 0, F.col("cleaned")))
     decoded = prepare(messages.decode_reviews(messages.publish_reviews(src)))

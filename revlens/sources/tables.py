@@ -34,7 +34,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        # The always-true filter on the (non-deterministic) partition id keeps
+        # Catalyst from pushing later predicates -- and the text cleaning inside
+        # them -- back below the exchange into the single scan task.
+        return df.repartition(want).filter(F.spark_partition_id() >= 0)
     return df
 
 
