@@ -49,6 +49,26 @@ def label_shares(pred: DataFrame, decimals: int = 1) -> DataFrame:
     return stacked.select("s.label", "s.n", "s.pct")
 
 
+def kpi(pred: DataFrame, now=None, f1_score: float | None = None, window_s: int = 60) -> DataFrame:
+    """Total rows, distinct products, rows per second over the last minute
+    (rounded to 2) and, when given, the model F1 as a percentage.
+
+    ``now`` defaults to the newest inserted_at. One pass: count,
+    count(distinct ProductId) (map-side de-duplicated before the shuffle,
+    so a dominant product costs nothing extra) and a conditional count.
+    """
+    from revlens.operators.quality import with_now
+    p = with_now(pred, now)
+    recent = F.count_if(F.col("inserted_at").cast("timestamp")
+                        >= F.col("_now") - F.expr(f"INTERVAL {int(window_s)} SECONDS"))
+    out = p.agg(F.count(F.lit(1)).alias("totalPredictions"),
+                F.countDistinct("ProductId").alias("uniqueProducts"),
+                F.round(recent / F.lit(float(window_s)), 2).alias("throughput"))
+    if f1_score is not None:
+        out = out.withColumn("f1Score", F.round(F.lit(float(f1_score)) * 100, 2))
+    return out
+
+
 def product_vs_global(pred: DataFrame, product_id: str, decimals: int = 1) -> DataFrame:
     """Label shares of one product beside the shares of all products.
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.functions.timefn import display_date
+from revlens.functions.timefn import display_date, iso_timestamp
 
 
 def by_sentiment(df: DataFrame, sentiment: str | None) -> DataFrame:
@@ -58,6 +58,19 @@ def format_prediction(df: DataFrame) -> DataFrame:
     )
 
 
+def serialise(df: DataFrame, id_cols: tuple[str, ...] = ("Id", "_id")) -> DataFrame:
+    """P20: JSON-safe values -- id columns as text, timestamps as ISO-8601 text."""
+    cols = []
+    for name, dtype in df.dtypes:
+        if name in id_cols:
+            cols.append(F.col(name).cast("string").alias(name))
+        elif dtype.startswith("timestamp"):
+            cols.append(iso_timestamp(name).alias(name))
+        else:
+            cols.append(F.col(name))
+    return df.select(*cols)
+
+
 def recent(pred: DataFrame, limit: int = 50, sentiment: str | None = None) -> DataFrame:
     """Newest ``limit`` rows by inserted_at (Id breaks ties, T12).
 

@@ -166,6 +166,15 @@ def q_label_shares(spark, d):
     return distribution.label_shares(_pb(spark, d))
 
 
+@register("kpi", V(f"""
+select count(*) as totalPredictions, count(distinct ProductId) as uniqueProducts,
+       round(count(*) filter (where inserted_at >= {"(select max(inserted_at) from predictions_keyed)"}
+                                                  - interval 60 seconds) / 60.0, 2) as throughput
+from predictions_keyed""", "predictions_keyed"))
+def q_kpi(spark, d):
+    return distribution.kpi(_pk(spark, d))
+
+
 @register("product_vs_global", V("""
 select p.label, p.n as product_n, p.pct as product_pct, g.n as global_n, g.pct as global_pct
 from prod p join allp g using (label)""", "predictions_keyed", ctes={

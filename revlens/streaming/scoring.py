@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.text import fill_cleaned
@@ -45,12 +45,15 @@ def stamp(batch: DataFrame) -> DataFrame:
 
 
 def write_stats_batch(batch: DataFrame, batch_id: int, table_path: str) -> int:
-    """Skip an empty batch; otherwise write it as partition batch_id=<id> (idempotent)."""
+    """S7 + A26: skip an empty batch; otherwise write it as partition
+    batch_id=<id> (idempotent) and return the rows written, counted by an
+    observed metric during the write (no second pass over the batch)."""
     if batch.isEmpty():
         return 0
-    out = stamp(batch)
+    obs = Observation(f"stats_batch_{batch_id}")
+    out = stamp(batch).observe(obs, F.count(F.lit(1)).alias("rows"))
     out.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
-    return 1
+    return int(obs.get["rows"])
 
 
 def start_stats_query(scored: DataFrame, table_path: str, checkpoint: str,

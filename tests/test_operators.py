@@ -182,3 +182,25 @@ def test_heatmap_grid(spark):
     assert len(rows) == 168
     hit = [r for r in rows if r["count"]]
     assert [(r.day_name, r.hour, r.positive) for r in hit] == [("Mon", 5, 1)]
+
+
+def test_kpi(spark):
+    df = preds(spark, [{"ProductId": p, "inserted_at": T0 - dt.timedelta(seconds=s)}
+                       for p, s in [("a", 0), ("a", 30), ("b", 61), (None, 120)]])
+    r = distribution.kpi(df, f1_score=0.8274).first()
+    assert (r.totalPredictions, r.uniqueProducts, r.throughput, r.f1Score) == (4, 2, 0.03, 82.74)
+
+
+def test_serialise(spark):
+    df = spark.createDataFrame([(5, dt.datetime(2024, 1, 2, 3, 4, 5, 6), "x")], "Id long, inserted_at timestamp, s string")
+    r = feed.serialise(df).first()
+    assert (r.Id, r.inserted_at, r.s) == ("5", "2024-01-02T03:04:05.000006", "x")
+
+
+def test_text_preview_and_filters(spark):
+    df = preds(spark, [{"Id": 1, "Text": "x" * 101, "sentiment_label": "neutral", "ProductId": "p"},
+                       {"Id": 2, "Text": "short", "sentiment_label": "negative", "ProductId": "q"}])
+    got = [r[0] for r in df.orderBy("Id").select(feed.text_preview("Text")).collect()]
+    assert got == ["x" * 100 + "…", "short"]
+    assert feed.by_sentiments(df, ["negative"]).count() == 1 and feed.by_product(df, "p").count() == 1
+    assert feed.by_sentiment(df, "all").count() == 2 and feed.by_sentiment(df, "").count() == 2

@@ -72,8 +72,9 @@ def test_replayed_batch_is_idempotent(spark, trained, scratch):
     batch = scoring.prediction_record(scoring.score(model, split_df.filter("split = 'val'")
                                                     .withColumnRenamed("sentiment", "true_sentiment")))
     table = os.path.join(scratch, "t")
-    assert sscore.write_stats_batch(batch, 7, table) == 1
-    assert sscore.write_stats_batch(batch, 7, table) == 1          # replay of batch 7
+    n = batch.count()
+    assert sscore.write_stats_batch(batch, 7, table) == n
+    assert sscore.write_stats_batch(batch, 7, table) == n          # replay of batch 7
     assert sscore.write_stats_batch(batch.limit(0), 8, table) == 0  # empty batch skipped
     assert spark.read.parquet(table).count() == batch.count()
 
@@ -118,3 +119,42 @@ def test_kafka_connector_missing_is_reported(spark):
     with pytest.raises(Exception) as e:
         messages.kafka_source(spark, "localhost:1", "t")
     assert "kafka" in str(e.value).lower()
+
+
+def test_progress_snapshot_and_export(spark, trained, scratch):
+    model, split_df = trained
+    inbox = os.path.join(scratch, "in")
+    _publish(spark, split_df, inbox, "val")
+    raw = messages.message_files_source(spark, inbox)
+    q = (messages.decode_reviews(raw).writeStream.format("memory").queryName("snap_t")
+         .option("checkpointLocation", os.path.join(scratch, "c")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    snap = monitors.progress_snapshot(spark, q, "reviews").first()
+    assert snap.topic == "reviews" and snap.total >= 0
+    out = os.path.join(scratch, "export")
+    scoring.export_test_predictions(scoring.score(model, split_df.filter("split = 'test'")), out)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out)
+    assert back.columns == scoring.EXPORT_COLUMNS
+    assert back.count() == split_df.filter("split = 'test'").count()
+
+
+def test_cross_validation_small(spark, trained):
+    _, split_df = trained
+    balanced, val, _ = training.training_tables(split_df)
+    cv = training.cross_validate(balanced, folds=2, reg_params=[0.1], max_iters=[5])
+    assert len(cv.avgMetrics) == 1
+    best = training.pipeline_of(cv)
+    assert "probability" in best.transform(val).columns
+    name, _, f1 = training.select_best({"LogisticRegression": (cv, 0.5), "NaiveBayes": (None, 0.5)})
+    assert name == "LogisticRegression" and f1 == 0.5
+
+
+def test_stats_record_shape(spark, scratch):
+    from revlens.operators import profile
+    from revlens.sources import files
+    split_df = prep.stratified_split(prep.clean_reviews(tables.reviews(spark, SF_SMALL)))
+    rec = profile.stats_record(profile.preprocessing_stats(split_df))
+    files.write_json_record(rec, os.path.join(scratch, "stats"))
+    back = spark.read.json(os.path.join(scratch, "stats")).first()
+    assert back.total == back.train + back.val + back.test
+    assert back.classes.negative + back.classes.neutral + back.classes.positive == back.total
