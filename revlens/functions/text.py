@@ -57,7 +57,7 @@ CLEAN_STOPWORDS = [w for w in ENGLISH_STOPWORDS if w not in set(NEGATIONS)]
 _STOP_TESTED = [w for w in CLEAN_STOPWORDS if len(w) > 2 and w.isalpha()]
 
 # Irregular noun plurals for the lemma step (T16: no WordNet offline; a
-# user dictionary table can extend this, see ``lemmatize_with``).
+# user dictionary table can extend this, see operators.lemmas).
 IRREGULAR_LEMMAS = {
     "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth",
     "mice": "mouse", "geese": "goose", "leaves": "leaf", "knives": "knife", "wives": "wife",

@@ -87,14 +87,12 @@ def product_reviews(pred: DataFrame, product_id: str, sentiment: str | None = No
     """L3 / L4: one page of a product's reviews, newest first, with the filtered total.
 
     The page is an ordered offset + limit (TakeOrdered keeps page * size rows per
-    task); the total is a count over the same filter joined as one value.
+    task); the total is a count over the same filter, as a scalar subquery.
     """
     page = max(1, int(page))
     df = by_sentiment(pred.filter(F.col("ProductId") == product_id), sentiment)
     rows = (df.orderBy(F.desc_nulls_last("Time"), F.desc("Id"))
             .offset((page - 1) * page_size).limit(page_size))
-    # A global aggregate always yields exactly one row: a proven broadcast size.
-    total = df.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    return (format_prediction(rows).withColumn("_one", F.lit(1))
-            .join(F.broadcast(total), "_one").drop("_one")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return (format_prediction(rows).withColumn("total", total)
             .withColumn("page", F.lit(page)).withColumn("pageSize", F.lit(page_size)))

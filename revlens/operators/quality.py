@@ -42,12 +42,12 @@ def _now(now) -> Column:
 
 
 def with_now(pred: DataFrame, now=None) -> DataFrame:
-    """Attach ``_now``: the given time, or the newest inserted_at (a one-row aggregate
-    joined on a constant key)."""
+    """Attach ``_now``: the given time, or the newest inserted_at as a scalar
+    subquery (computed once, then used as a constant -- no join)."""
     if now is not None:
         return pred.withColumn("_now", _now(now))
-    mx = pred.agg(F.max(F.col("inserted_at").cast("timestamp")).alias("_now")).withColumn("_k", F.lit(1))
-    return pred.withColumn("_k", F.lit(1)).join(F.broadcast(mx), "_k").drop("_k")
+    newest = pred.agg(F.max(F.col("inserted_at").cast("timestamp"))).scalar()
+    return pred.withColumn("_now", newest)
 
 
 def inputs_exist(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -204,3 +204,13 @@ def test_text_preview_and_filters(spark):
     assert got == ["x" * 100 + "…", "short"]
     assert feed.by_sentiments(df, ["negative"]).count() == 1 and feed.by_product(df, "p").count() == 1
     assert feed.by_sentiment(df, "all").count() == 2 and feed.by_sentiment(df, "").count() == 2
+
+
+def test_lemmatize_with_dictionary_both_plans(spark, monkeypatch):
+    from revlens.operators import lemmas as L
+    docs = spark.createDataFrame([(1, "geese running boxes"), (2, ""), (3, None)], "Id long, cleaned string")
+    dic = spark.createDataFrame([("running", "run"), ("geese", "goose")], "form string, lemma string")
+    small = {r.Id: r.cleaned for r in L.lemmatize_with(docs, dic).collect()}
+    monkeypatch.setattr(L, "MAP_MAX", 0)
+    big = {r.Id: r.cleaned for r in L.lemmatize_with(docs, dic).collect()}
+    assert small == big == {1: "goose run box", 2: "", 3: ""}
