@@ -692,6 +692,114 @@ def q_quality_report(spark, d):
                           quality.latency(pk), quality.balance(pk))
 
 
+_U_SAMPLE = unit_hash_sql("Id", 42)
+
+
+@register("sample_per_label", V(f"""
+select Id, sentiment_label from (
+  select Id, sentiment_label,
+         row_number() over (partition by sentiment_label order by {_U_SAMPLE}, Id) as rn
+  from cleaned) x where rn <= 100""", "reviews", ctes={"cleaned": _CLEANED_SQL}))
+def q_sample_per_label(spark, d):
+    """An exact, seeded sample of 100 reviews per label (the sampler behind A19)."""
+    return words.sample_by_label(_cleaned(spark, d), 100).select("Id", "sentiment_label")
+
+
+@register("word_frequencies_sampled", V(f"""
+select label, rank, word, n, 10 + cast(floor(n / max(n) over (partition by label) * 32 + 0.5) as integer) as size
+from (select label, word, n, cast(row_number() over (partition by label order by n desc, word asc) as integer) as rank
+      from (select label, word, count(*) as n from (
+              select label, unnest(string_split(lower(src), ' ')) as word from (
+                select sentiment_label as label,
+                       case when length(coalesce(cleaned, '')) > 2 then cleaned else coalesce(Text, '') end as src
+                from (select * from (select *, row_number() over (partition by sentiment_label
+                                                  order by {_U_SAMPLE}, Id) as rn from cleaned) z
+                      where rn <= 5000) smp
+                where sentiment_label in ('negative', 'neutral', 'positive')) s) w
+            where not list_contains([{", ".join(repr(x) for x in words.WORD_STOPWORDS)}], word)
+              and regexp_matches(word, '^[a-z]{{3,15}}\n?$')
+            group by 1, 2) c) r
+where rank <= 25""", "reviews", ctes={"cleaned": _CLEANED_SQL}))
+def q_word_frequencies_sampled(spark, d):
+    """A19 with the reference's 5000 reviews per label, drawn by the exact seeded sampler."""
+    return words.word_frequencies(_cleaned(spark, d), 25, sample_per_label=5000)
+
+
+# -------------------------------------------------------------- streaming
+def _as_file_stream(spark, df, name: str, files: int = 8):
+    """Write ``df`` as ``files`` parquet files in ts order and open it as a stream
+    that takes one file per trigger (several micro-batches, state carried over)."""
+    from pyspark.sql import functions as F
+    path = _scratch(spark, name)
+    (df.repartitionByRange(files, F.col("inserted_at")).sortWithinPartitions("inserted_at")
+     .write.parquet(path))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run_complete(stream_df, spark, name: str):
+    q = (stream_df.writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", _scratch(spark, name + "-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@register("stream_label_counters", V("""
+select coalesce(sentiment_label, 'unknown') as label, count(*) as count from predictions_keyed group by 1""",
+                                     "predictions_keyed"))
+def q_stream_label_counters(spark, d):
+    """T4s: running label counters over a multi-batch stream of stored predictions."""
+    import uuid
+    from revlens.streaming import monitors
+    stream = _as_file_stream(spark, _pk(spark, d), "keyed-stream")
+    return _run_complete(monitors.label_counters(stream), spark, f"counters_{uuid.uuid4().hex[:8]}")
+
+
+@register("stream_throughput", V("""
+select w_start // 1000000 as window_start_s, (w_start + 60000000) // 1000000 as window_end_s, count(*) as n
+from (select (epoch_us(inserted_at) // 10000000) * 10000000 - k * 10000000 as w_start
+      from predictions_keyed, (select range as k from range(6)) ks) x
+group by w_start""", "predictions_keyed"))
+def q_stream_throughput(spark, d):
+    """T5s: sliding 60 s / 10 s ingest windows with a watermark over a multi-batch stream."""
+    import uuid
+    from pyspark.sql import functions as F
+    from revlens.streaming import monitors
+    stream = _as_file_stream(spark, _pk(spark, d), "keyed-stream")
+    out = _run_complete(monitors.throughput_stream(stream), spark, f"throughput_{uuid.uuid4().hex[:8]}")
+    return out.select(F.unix_seconds("window_start").alias("window_start_s"),
+                      F.unix_seconds("window_end").alias("window_end_s"), "n")
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, d):
+    """E2 / T1s: test-split reviews published as messages (half without a cleaned
+    text), consumed as a multi-file stream, cleaned where needed, scored by the
+    fitted pipeline, and written to the live feed and the batch_id-partitioned
+    prediction table; returns the stored predictions (no SQL oracle: model fit)."""
+    import os
+    from pyspark.sql import functions as F
+    from revlens.plans import training
+    from revlens.sources import messages
+    from revlens.streaming import scoring as sscore
+    split_df = _split(spark, d).cache()
+    balanced, _, _ = training.training_tables(split_df)
+    model = training.fit_logreg(balanced)
+    inbox = _scratch(spark, "inbox")
+    test = split_df.filter(F.col("split") == "test").withColumn(
+        "cleaned", F.when(F.col("Id") % 2 == 0, F.col("cleaned")))
+    messages.write_message_files(messages.publish_reviews(test).repartition(4), inbox)
+    root = _scratch(spark, "stream")
+    table = os.path.join(root, "predictions")
+    q_live, q_stats = sscore.start_two_queries(
+        messages.message_files_source(spark, inbox, max_files_per_trigger=1), model, table,
+        os.path.join(root, "ckpt"), live_path=os.path.join(root, "live"), available_now=True)
+    q_live.awaitTermination()
+    q_stats.awaitTermination()
+    return (sscore.read_stats_table(spark, table)
+            .select("Id", "ProductId", "true_sentiment", "prediction", "sentiment_label",
+                    F.round("confidence", 6).alias("confidence"), "batch_id"))
+
+
 # ------------------------------------------------------------- connectors
 def _scratch(spark, name):
     import os
