@@ -19,11 +19,11 @@ def score_distribution(df: DataFrame, score_col: str = "Score") -> DataFrame:
 def class_distribution(df: DataFrame, label_col: str = "sentiment", decimals: int = 1) -> DataFrame:
     """A2: rows per class and their share of all rows (percent, half-up).
 
-    The total comes from a window over the aggregated rows, which are bounded
-    by the number of classes, so the single-partition window is tiny.
+    The total is a scalar subquery over the aggregated rows (one per class);
+    Spark reuses the aggregate's exchange for it.
     """
     agg = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = agg.agg(F.sum("n")).scalar()
     return (agg.withColumn("pct", share("n", total, 100, decimals))
             .orderBy("label"))
 

@@ -80,8 +80,8 @@ def class_weights(df: DataFrame, label_col: str = "sentiment") -> DataFrame:
     """Weight per class = total / (3 * count of the class) over labels 0..2."""
     agg = (df.filter(F.col(label_col).isin(NEGATIVE, NEUTRAL, POSITIVE))
            .groupBy(F.col(label_col).alias(label_col)).agg(F.count(F.lit(1)).alias("n")))
-    total = F.sum("n").over(Window.partitionBy())  # at most 3 rows
-    return agg.select(label_col, "n", (total / (F.lit(3.0) * F.col("n"))).alias("classWeight"))
+    total = agg.agg(F.sum("n")).scalar()  # over at most 3 aggregated rows
+    return agg.select(label_col, "n", (total.cast("double") / (F.lit(3.0) * F.col("n"))).alias("classWeight"))
 
 
 def with_class_weight(df: DataFrame, label_col: str = "sentiment") -> DataFrame:
