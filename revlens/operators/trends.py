@@ -76,6 +76,13 @@ def throughput_windows(pred: DataFrame, ts_col: str = "inserted_at",
                     "n", F.round(F.col("n") / F.lit(float(secs)), 2).alias("rate")))
 
 
+def throughput_series(pred: DataFrame, points: int = 60, ts_col: str = "inserted_at",
+                      width: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
+    """The newest ``points`` values of the sliding throughput (a live chart's history)."""
+    w = throughput_windows(pred, ts_col, width, slide)
+    return w.orderBy(F.desc("window_start")).limit(points)
+
+
 def _seconds(text: str) -> int:
     num, unit = text.split()
     mult = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600}

@@ -128,6 +128,17 @@ def q_throughput_windows(spark, d):
                     F.unix_seconds("window_end").alias("window_end_s"), "n", "rate")
 
 
+@register("throughput_series", V("""
+select w_start // 1000000 as window_start_s, count(*) as n, round(count(*) / 60.0, 2) as rate
+from (select (epoch_us(inserted_at) // 10000000) * 10000000 - k * 10000000 as w_start
+      from predictions_keyed, (select range as k from range(6)) ks) x
+group by w_start order by w_start desc limit 60""", "predictions_keyed"))
+def q_throughput_series(spark, d):
+    from pyspark.sql import functions as F
+    return trends.throughput_series(_pk(spark, d)).select(
+        F.unix_seconds("window_start").alias("window_start_s"), "n", "rate")
+
+
 # ---------------------------------------------------------- distributions
 @register("score_distribution", V("""
 select Score, count(*) as n from reviews group by 1 order by 1""", "reviews"))
@@ -841,6 +852,24 @@ def q_split_files_roundtrip(spark, d):
     return back.select("Id", "split", "sentiment", "cleaned", F.length(F.coalesce("Text", F.lit(""))).alias("text_len"))
 
 
+@register("raw_reviews_csv", V("""
+select Id, ProductId, UserId, cast(null as varchar) as ProfileName, Score, Time,
+       nullif(Summary, '') as Summary, nullif(Text, '') as Text from reviews""", "reviews"))
+def q_raw_reviews_csv(spark, d):
+    """The raw corpus written as CSV (quoted, multi-line texts) and scanned back
+    with the fixed raw-review schema -- no inference pass."""
+    from pyspark.sql import functions as F
+    from revlens.sources import files
+    path = _scratch(spark, "raw")
+    raw = T.reviews(spark, d).select(
+        "Id", "ProductId", "UserId", F.lit(None).cast("string").alias("ProfileName"),
+        F.lit(None).cast("int").alias("HelpfulnessNumerator"), F.lit(None).cast("int").alias("HelpfulnessDenominator"),
+        "Score", "Time", "Summary", "Text")
+    files.write_csv(raw, path)
+    back = files.read_reviews_csv(spark, path)
+    return back.select("Id", "ProductId", "UserId", "ProfileName", "Score", "Time", "Summary", "Text")
+
+
 @register("live_feed", V("""
 select cast(Id as varchar) as id, coalesce(ProductId, '') as productId,
        substring(coalesce(Summary, ''), 1, 120) as summary, coalesce(sentiment_label, '') as sentiment,

@@ -33,6 +33,5 @@ def prediction_record(scored: DataFrame) -> DataFrame:
 
 def export_test_predictions(scored: DataFrame, path: str) -> None:
     """Nine-column CSV of the scored test set, written by the executors."""
-    (scored.withColumn("sentiment_label", label_name("prediction"))
-     .select(*EXPORT_COLUMNS)
-     .write.mode("overwrite").option("header", True).csv(path))
+    from revlens.sources.files import write_csv
+    write_csv(scored.withColumn("sentiment_label", label_name("prediction")).select(*EXPORT_COLUMNS), path)

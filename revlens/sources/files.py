@@ -20,14 +20,26 @@ def read_split_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SPLIT_REVIEW).options(**CSV_OPTIONS).csv(path)
 
 
+# Written values are kept exactly: every field quoted, quotes escaped by
+# doubling, and no trimming of leading/trailing spaces (Spark trims by default).
+CSV_WRITE_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"',
+                     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def write_csv(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
+    w = df.write.mode(mode).options(**CSV_WRITE_OPTIONS)
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.csv(path)
+
+
 def write_splits(split_df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One table partitioned by ``split``; CSV quotes every field."""
     cols = [f.name for f in SPLIT_REVIEW.fields] + ["split"]
-    w = split_df.select(*cols).write.mode("overwrite").partitionBy("split")
     if fmt == "csv":
-        w.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+        write_csv(split_df.select(*cols), path, partition_by="split")
     else:
-        w.parquet(path)
+        split_df.select(*cols).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def read_splits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -214,3 +214,10 @@ def test_lemmatize_with_dictionary_both_plans(spark, monkeypatch):
     monkeypatch.setattr(L, "MAP_MAX", 0)
     big = {r.Id: r.cleaned for r in L.lemmatize_with(docs, dic).collect()}
     assert small == big == {1: "goose run box", 2: "", 3: ""}
+
+
+def test_cast_label_and_drop_unusable(spark):
+    df = spark.createDataFrame([("1", "a b"), ("x", "c"), (None, "d"), ("2", ""), ("0", None)],
+                               "sentiment string, cleaned string")
+    got = [tuple(r) for r in prep.drop_unusable(prep.cast_label(df)).collect()]
+    assert got == [(1, "a b")]
