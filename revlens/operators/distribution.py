@@ -24,7 +24,8 @@ def class_distribution(df: DataFrame, label_col: str = "sentiment", decimals: in
     """
     agg = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     total = agg.agg(F.sum("n")).scalar()
-    return (agg.withColumn("pct", share("n", total, 100, decimals))
+    return (agg.withColumn("_total", total)
+            .withColumn("pct", share("n", "_total", 100, decimals)).drop("_total")
             .orderBy("label"))
 
 

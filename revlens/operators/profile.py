@@ -58,9 +58,9 @@ def split_report(split_df: DataFrame, decimals: int = 1) -> DataFrame:
     agg = split_df.groupBy("split", "sentiment").agg(F.count(F.lit(1)).alias("n"))
     in_split = F.sum("n").over(Window.partitionBy("split"))   # aggregated rows: splits x classes
     overall = agg.agg(F.sum("n")).scalar()
-    return (agg.withColumn("split_rows", in_split)
+    return (agg.withColumn("split_rows", in_split).withColumn("_total", overall)
             .withColumn("pct_of_split", share("n", "split_rows", 100, decimals))
-            .withColumn("split_pct", share("split_rows", overall, 100, decimals))
+            .withColumn("split_pct", share("split_rows", "_total", 100, decimals)).drop("_total")
             .orderBy("split", "sentiment"))
 
 
