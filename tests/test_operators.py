@@ -221,3 +221,19 @@ def test_cast_label_and_drop_unusable(spark):
                                "sentiment string, cleaned string")
     got = [tuple(r) for r in prep.drop_unusable(prep.cast_label(df)).collect()]
     assert got == [(1, "a b")]
+
+
+def test_hot_product_is_aggregated_before_the_shuffle(spark):
+    """A product holding a third of all rows: counts are combined per task before the
+    exchange, so the hot key sends one row per task, and the result is exact."""
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("ProductId"),
+        F.lit("positive").alias("sentiment_label"), F.col("id").alias("Id"))
+    top = products.top_products(df, "positive", 3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "TakeOrderedAndProject" in plan
+    rows = top.collect()
+    assert rows[0].id == "hot" and rows[0]["count"] == n // 3
+    k = distribution.kpi(df.withColumn("inserted_at", F.lit(T0)), now=T0).first()
+    assert k.uniqueProducts == 1 + n - n // 3
