@@ -45,8 +45,8 @@ def label_code(name="sentiment_label") -> Column:
 
 
 def label_or_neutral(name="sentiment_label") -> Column:
-    """Trend grouping key: a missing label counts as neutral (T4: added, not overwritten)."""
-    return F.coalesce(_c(name), F.lit("neutral"))
+    """Trend grouping key: a missing or empty label counts as neutral (T4: added, not overwritten)."""
+    return F.coalesce(F.nullif(_c(name), F.lit("")), F.lit("neutral"))
 
 
 def known_label(name="sentiment_label") -> Column:

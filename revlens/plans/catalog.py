@@ -28,9 +28,9 @@ CURSOR = 5000
 SEARCH_TERM = "worthless"
 
 # ------------------------------------------------------------ SQL fragments
-LABEL_COUNTS_SQL = """count(*) filter (where coalesce(sentiment_label, 'neutral') = 'positive') as positive,
-       count(*) filter (where coalesce(sentiment_label, 'neutral') = 'neutral') as neutral,
-       count(*) filter (where coalesce(sentiment_label, 'neutral') = 'negative') as negative"""
+LABEL_COUNTS_SQL = """count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'positive') as positive,
+       count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'neutral') as neutral,
+       count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'negative') as negative"""
 KNOWN_COUNTS_SQL = """count(*) filter (where sentiment_label = 'negative') as negative,
        count(*) filter (where sentiment_label = 'neutral') as neutral,
        count(*) filter (where sentiment_label = 'positive') as positive"""
@@ -76,9 +76,9 @@ def _pk(spark, d):
 # ---------------------------------------------------------------- trends
 @register("yearly_trend", T.with_views("""
 select cast(year(make_timestamp(Time * 1000000)) as varchar) as year,
-       count(*) filter (where coalesce(sentiment_label, 'neutral') = 'positive') as positive,
-       count(*) filter (where coalesce(sentiment_label, 'neutral') = 'neutral') as neutral,
-       count(*) filter (where coalesce(sentiment_label, 'neutral') = 'negative') as negative
+       count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'positive') as positive,
+       count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'neutral') as neutral,
+       count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'negative') as negative
 from predictions_big where Time between 788918400 and 1893456000
 group by 1 order by 1""", "predictions_big"))
 def q_yearly_trend(spark, d):
@@ -737,7 +737,7 @@ def q_word_frequencies_sampled(spark, d):
 
 
 # -------------------------------------------------------------- streaming
-def _as_file_stream(spark, df, name: str, files: int = 8):
+def _as_file_stream(spark, df, name: str, files: int = 4):
     """Write ``df`` as ``files`` parquet files in ts order and open it as a stream
     that takes one file per trigger (several micro-batches, state carried over)."""
     from pyspark.sql import functions as F

@@ -237,3 +237,9 @@ def test_hot_product_is_aggregated_before_the_shuffle(spark):
     assert rows[0].id == "hot" and rows[0]["count"] == n // 3
     k = distribution.kpi(df.withColumn("inserted_at", F.lit(T0)), now=T0).first()
     assert k.uniqueProducts == 1 + n - n // 3
+
+
+def test_trend_empty_label_is_neutral(spark):
+    t = 1262304000
+    df = preds(spark, [{"Time": t, "sentiment_label": ""}, {"Time": t, "sentiment_label": None}])
+    assert [tuple(r) for r in trends.yearly_trend(df).collect()] == [("2010", 0, 2, 0)]
