@@ -158,7 +158,7 @@ def report(*checks: DataFrame) -> DataFrame:
         allc = allc.unionByName(c.select(*cols))
     order = F.element_at(F.create_map(*[x for k, v in ORDER.items() for x in (F.lit(k), F.lit(v))]), F.col("check"))
     allc = allc.withColumn("step", order)
-    first_fail = F.min(F.when(F.col("status") == "fail", F.col("step"))).over(Window.partitionBy())
+    first_fail = allc.agg(F.min(F.when(F.col("status") == "fail", F.col("step")))).scalar()
     return (allc.withColumn("_ff", first_fail)
             .withColumn("status", F.when(F.col("_ff").isNotNull() & (F.col("step") > F.col("_ff")), F.lit("skip"))
                         .otherwise(F.col("status")))
@@ -171,8 +171,10 @@ def event_snapshots(events: DataFrame, every_minutes: int = 5, topic: str = "eve
     interval, the cumulative number of events so far (a stand-in for topic
     offsets). Intervals without events appear with an unchanged total.
 
-    The run grid has one row per interval of the table's time span, so it is
-    bounded by time, not by data volume.
+    The running total is a two-level prefix sum: a running sum inside each
+    day (windows partitioned by day) plus the total of all earlier days (a
+    window over one row per day). No window ever holds more than one day of
+    run intervals or the list of days.
     """
     step = every_minutes * 60
     t = F.unix_seconds(F.col(ts_col).cast("timestamp"))
@@ -180,7 +182,13 @@ def event_snapshots(events: DataFrame, every_minutes: int = 5, topic: str = "eve
     per = events.groupBy(run_end.alias("run_s")).agg(F.count(F.lit(1)).alias("n"))
     bounds = per.agg(F.min("run_s").alias("lo"), F.max("run_s").alias("hi"))
     runs = bounds.select(F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("run_s"))
-    w = Window.orderBy("run_s").rowsBetween(Window.unboundedPreceding, 0)
-    return (runs.join(per, "run_s", "left").fillna(0, subset=["n"])
-            .withColumn("total", F.sum("n").over(w))
-            .select(F.timestamp_seconds("run_s").alias("run_time"), F.lit(topic).alias("topic"), "total"))
+    grid = (runs.join(per, "run_s", "left").fillna(0, subset=["n"])
+            .withColumn("day", F.floor((F.col("run_s") - 1) / 86400)))
+    in_day = Window.partitionBy("day").orderBy("run_s").rowsBetween(Window.unboundedPreceding, 0)
+    days = grid.groupBy("day").agg(F.sum("n").alias("day_n"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = days.select("day", F.coalesce(F.sum("day_n").over(before), F.lit(0)).alias("offset"))
+    return (grid.withColumn("in_day", F.sum("n").over(in_day))
+            .join(F.broadcast(offsets), "day")
+            .select(F.timestamp_seconds("run_s").alias("run_time"), F.lit(topic).alias("topic"),
+                    (F.col("offset") + F.col("in_day")).cast("long").alias("total")))

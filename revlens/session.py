@@ -20,6 +20,32 @@ CORE_CONF = {
 }
 
 
+# Settings for very large inputs (tens of TB): larger scan splits and
+# post-shuffle partitions so task counts stay in the tens of thousands; AQE
+# then coalesces small partitions and splits skewed ones at run time.
+SCALE_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
+def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 * 1024 * 1024,
+                           floor: int = 200, ceiling: int = 100_000) -> int:
+    """Initial shuffle width for an input size; AQE coalesces from there."""
+    return max(floor, min(ceiling, -(-int(input_bytes) // target_bytes)))
+
+
+def apply_scale_conf(spark: SparkSession, input_bytes: int | None = None) -> None:
+    """Apply ``SCALE_CONF`` (and a shuffle width sized from the input) to a session."""
+    for k, v in SCALE_CONF.items():
+        spark.conf.set(k, v)
+    if input_bytes:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions_for(input_bytes)))
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "revlens", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.

@@ -37,14 +37,21 @@ def _kafka_guard(fn):
 
 @_kafka_guard
 def kafka_source(spark: SparkSession, servers: str, topic: str = REVIEWS_TOPIC,
-                 starting_offsets: str = "latest", fail_on_data_loss: bool = False) -> DataFrame:
-    """S3: subscribe to ``topic``; yields Kafka's key/value binary columns."""
-    return (spark.readStream.format("kafka")
-            .option("kafka.bootstrap.servers", servers)
-            .option("subscribe", topic)
-            .option("startingOffsets", starting_offsets)
-            .option("failOnDataLoss", str(fail_on_data_loss).lower())
-            .load())
+                 starting_offsets: str = "latest", fail_on_data_loss: bool = False,
+                 max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """S3: subscribe to ``topic``; yields Kafka's key/value binary columns.
+
+    ``max_offsets_per_trigger`` bounds a micro-batch, so a backlog is worked
+    off in batches of known size instead of one batch of everything.
+    """
+    r = (spark.readStream.format("kafka")
+         .option("kafka.bootstrap.servers", servers)
+         .option("subscribe", topic)
+         .option("startingOffsets", starting_offsets)
+         .option("failOnDataLoss", str(fail_on_data_loss).lower()))
+    if max_offsets_per_trigger:
+        r = r.option("maxOffsetsPerTrigger", int(max_offsets_per_trigger))
+    return r.load()
 
 
 def message_files_source(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:

@@ -71,3 +71,10 @@ def test_unit_hash_matches_sql_and_is_uniform(spark):
     sql = duckdb.sql(f"select {hashing.unit_hash_sql('range', 42)} as u from range(2000) order by range").fetchall()
     assert [r[0] for r in sql] == us
     assert not math.isclose(us[0], us[1])
+
+
+def test_shuffle_partitions_for():
+    from revlens.session import shuffle_partitions_for
+    assert shuffle_partitions_for(10) == 200
+    assert shuffle_partitions_for(100 * 1024 ** 4) == 100_000
+    assert shuffle_partitions_for(1024 ** 4) == 4096
