@@ -559,6 +559,11 @@ def q_examples_per_class(spark, d):
 
 
 # --------------------------------------------------------------------- ML
+# Training reads only these columns; caching them (not the raw texts) keeps the
+# cached table at the size of the cleaned text.
+_TRAIN_COLS = ("Id", "cleaned", "sentiment", "split")
+
+
 def _split_spread(spark, d):
     return _split(spark, d)
 
@@ -569,7 +574,7 @@ def q_score_test_split(spark, d):
     balanced train split and score the test split (no SQL oracle: model fit)."""
     from pyspark.sql import functions as F
     from revlens.plans import scoring, training
-    split_df = _split_spread(spark, d).cache()
+    split_df = _split_spread(spark, d).select(*_TRAIN_COLS).cache()
     balanced, _, test = training.training_tables(split_df)
     model = training.fit_logreg(balanced)
     scored = scoring.score(model, test)
@@ -582,7 +587,7 @@ def q_model_selection(spark, d):
     """M2 + M4 + M5 + A9 + S13: logistic regression vs naive Bayes on validation F1,
     test metrics of the winner, as the one-row metadata record."""
     from revlens.plans import training
-    split_df = _split_spread(spark, d).cache()
+    split_df = _split_spread(spark, d).select(*_TRAIN_COLS).cache()
     result = training.train(split_df, use_cv=False)
     return training.metadata_frame(spark, result["metadata"]).drop("trained_on")
 
@@ -792,8 +797,8 @@ def q_stream_scoring(spark, d):
     from revlens.plans import training
     from revlens.sources import messages
     from revlens.streaming import scoring as sscore
-    split_df = _split(spark, d).cache()
-    balanced, _, _ = training.training_tables(split_df)
+    split_df = _split(spark, d)
+    balanced, _, _ = training.training_tables(split_df.select(*_TRAIN_COLS).cache())
     model = training.fit_logreg(balanced)
     inbox = _scratch(spark, "inbox")
     test = split_df.filter(F.col("split") == "test").withColumn(
