@@ -136,7 +136,7 @@ def classification_report(df: DataFrame, label_col: str = "true_sentiment",
 
 
 def model_metrics(df: DataFrame, label_col: str = "true_sentiment", pred_col: str = "prediction",
-                  decimals: int = 6) -> DataFrame:
+                  decimals: int | None = 6) -> DataFrame:
     """A9 (SQL form): accuracy, weighted precision/recall/F1 and macro F1 (T7 names)."""
     per = _prf(_per_class(df, label_col, pred_col))
     w = F.col("support").cast("double")
@@ -148,5 +148,7 @@ def model_metrics(df: DataFrame, label_col: str = "true_sentiment", pred_col: st
         (F.sum(F.col("f1") * w) / tot).alias("f1_weighted"),
         F.avg("f1").alias("f1_macro"),
         F.max("total").cast("long").alias("n"))
-    return agg.select(*[F.round(c, decimals).alias(c) for c in
-                        ("accuracy", "weighted_precision", "weighted_recall", "f1_weighted", "f1_macro")], "n")
+    names = ("accuracy", "weighted_precision", "weighted_recall", "f1_weighted", "f1_macro")
+    if decimals is None:
+        return agg.select(*names, "n")
+    return agg.select(*[F.round(c, decimals).alias(c) for c in names], "n")

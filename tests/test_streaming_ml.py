@@ -158,3 +158,12 @@ def test_stats_record_shape(spark, scratch):
     back = spark.read.json(os.path.join(scratch, "stats")).first()
     assert back.total == back.train + back.val + back.test
     assert back.classes.negative + back.classes.neutral + back.classes.positive == back.total
+
+
+def test_evaluate_equals_mllib_evaluator(spark, trained):
+    model, split_df = trained
+    val = prep.drop_unusable(split_df.filter("split = 'val'"))
+    ours = training.evaluate(model, val)
+    preds = model.transform(val)
+    for name in ("f1", "accuracy", "weightedPrecision", "weightedRecall"):
+        assert abs(training.evaluator(name).evaluate(preds) - ours[name]) < 1e-9
