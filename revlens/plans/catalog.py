@@ -228,7 +228,8 @@ _HIST_SQL = f"""
 select g.label, g.bin, g.bin_start, coalesce(a.n, 0) as n
 from (select l.label, cast(b.bin as integer) as bin, b.bin_start
       from (values ('negative'), ('neutral'), ('positive')) l(label),
-           (values {", ".join(f"({i}, {e})" for i, e in enumerate(evaluation.CONF_BINS))}) b(bin, bin_start)) g
+           (values {", ".join(f"({i}, cast({e} as double))" for i, e in enumerate(evaluation.CONF_BINS))})
+             b(bin, bin_start)) g
 left join (select sentiment_label as label, {_conf_bin_sql('confidence')} as bin, count(*) as n
            from SRC where sentiment_label in ('negative', 'neutral', 'positive') group by 1, 2) a
 on a.label = g.label and a.bin = g.bin"""
@@ -246,7 +247,8 @@ def q_confidence_histogram_keyed(spark, d):
 
 @register("product_confidence_histogram", V(f"""
 select g.bin, g.bin_start, coalesce(a.n, 0) as n
-from (values (0, 0.5), (1, 0.6), (2, 0.7), (3, 0.8), (4, 0.9)) g(bin, bin_start)
+from (select bin, cast(bin_start as double) as bin_start
+      from (values (0, 0.5), (1, 0.6), (2, 0.7), (3, 0.8), (4, 0.9)) v(bin, bin_start)) g
 left join (select case when c >= 0.5 and c < 0.6 then 0 when c >= 0.6 and c < 0.7 then 1
                        when c >= 0.7 and c < 0.8 then 2 when c >= 0.8 and c < 0.9 then 3
                        when c >= 0.9 and c < 1.0 then 4 end as bin, count(*) as n
@@ -332,7 +334,8 @@ def q_product_id_search(spark, d):
 @register("product_list", V("""
 select id, count, src, pos from (
   select *, row_number() over (partition by id order by src, pos) as k from (
-    select id, count, src, row_number() over (partition by src order by count desc, id asc) as pos from (
+    select id, count, src, cast(row_number() over (partition by src order by count desc, id asc) as integer) as pos
+    from (
       (select ProductId as id, count(*) as count, 0 as src from predictions_big
        where sentiment_label = 'positive' group by 1 order by count desc, id asc nulls last limit 10)
       union all
@@ -598,7 +601,7 @@ _NOW_SQL = "(select max(inserted_at) from predictions_keyed)"
 _FRESH_SQL = f"""
 select 'stats_freshness' as "check",
        case when total = 0 then 'skip' when recent = 0 then 'fail' else 'ok' end as status,
-       cast(recent as double) / 120.0 as value, 0.0 as threshold,
+       cast(recent as double) / 120.0 as value, cast(0.0 as double) as threshold,
        '+' || recent || ' rows/2min, total ' || total as detail
 from (select count(*) as total,
              count(*) filter (where inserted_at >= {_NOW_SQL} - interval 120 seconds) as recent
@@ -606,11 +609,11 @@ from (select count(*) as total,
 _QUALITY_SQL = """
 select 'prediction_labels' as "check",
        case when n = 0 then 'skip' when unlabelled > 10 then 'fail' else 'ok' end as status,
-       cast(unlabelled as double) as value, 10.0 as threshold, unlabelled || '/' || n || ' unlabelled' as detail
+       cast(unlabelled as double) as value, cast(10.0 as double) as threshold, unlabelled || '/' || n || ' unlabelled' as detail
 from q
 union all
 select 'prediction_confidence', case when n = 0 then 'skip' when mean_conf < 0.5 then 'fail' else 'ok' end,
-       round(mean_conf, 6), 0.5, 'mean confidence over ' || n || ' rows, ' || null_conf || ' without confidence'
+       round(mean_conf, 6), cast(0.5 as double), 'mean confidence over ' || n || ' rows, ' || null_conf || ' without confidence'
 from q"""
 _Q_CTE = """select count(*) as n, count(*) filter (where sentiment_label is null or sentiment_label = '') as unlabelled,
        avg(coalesce(confidence, 0.0)) as mean_conf, count(*) filter (where confidence is null) as null_conf
@@ -618,7 +621,7 @@ from (select * from predictions_keyed order by inserted_at desc nulls last, Id d
 _LATENCY_SQL = f"""
 select 'pipeline_latency' as "check",
        case when last is null then 'skip' when lag > 60 then 'fail' else 'ok' end as status,
-       lag as value, 60.0 as threshold,
+       lag as value, cast(60.0 as double) as threshold,
        coalesce('lag ' || cast(round(lag, 0) as bigint) || ' s', 'no rows') as detail
 from (select max(inserted_at) as last,
              (epoch_us({_NOW_SQL}) - epoch_us(max(inserted_at))) / 1e6 as lag from predictions_keyed) a"""
@@ -626,7 +629,7 @@ _BALANCE_SQL = """
 select 'sentiment_balance' as "check",
        case when total < 100 then 'skip' when cast(positive as double) * 100.0 / total > 95.0 then 'fail'
             when cast(negative as double) * 100.0 / total > 60.0 then 'fail' else 'ok' end as status,
-       round(cast(positive as double) * 100.0 / total, 6) as value, 95.0 as threshold,
+       round(cast(positive as double) * 100.0 / total, 6) as value, cast(95.0 as double) as threshold,
        'positive ' || positive || ', negative ' || negative || ', total ' || total as detail
 from (select count(*) as total, count(*) filter (where sentiment_label = 'negative') as negative,
              count(*) filter (where sentiment_label = 'positive') as positive from predictions_keyed) a"""
@@ -638,7 +641,7 @@ _TRAFFIC_SQL = """
 select run_s, topic, 'source_traffic' as "check",
        case when total = 0 then 'skip' when prev is null then 'ok' when total - prev = 0 then 'fail' else 'ok' end
          as status,
-       cast(coalesce(total - prev, 0) as double) as value, 0.0 as threshold,
+       cast(coalesce(total - prev, 0) as double) as value, cast(0.0 as double) as threshold,
        case when total = 0 then 'topic empty' when prev is null then 'first run, offset ' || total
             else '+' || (total - prev) || ' messages, offset ' || total end as detail
 from (select *, lag(total) over (partition by topic order by run_s) as prev from snaps) s"""
@@ -690,7 +693,8 @@ select "check", case when ff is not null and step > ff then 'skip' else status e
        value, threshold, detail, step
 from (select *, min(case when status = 'fail' then step end) over () as ff
       from (select *, {_STEPS} as step from (
-        select 'inputs_exist' as "check", 'ok' as status, 0.0 as value, 0.0 as threshold,
+        select 'inputs_exist' as "check", 'ok' as status, cast(0.0 as double) as value,
+               cast(0.0 as double) as threshold,
                'all inputs present' as detail
         union all (select {_CHECK_COLS} from traffic order by run_s desc limit 1)
         union all {_FRESH_SQL}
@@ -825,7 +829,7 @@ def _scratch(spark, name):
 
 
 @register("message_roundtrip", V("""
-select Id, ProductId, cleaned, sentiment as true_sentiment, length(coalesce(Text, '')) as text_len from cleaned""",
+select Id, ProductId, cleaned, sentiment as true_sentiment, cast(length(coalesce(Text, '')) as integer) as text_len from cleaned""",
                                  "reviews", ctes={"cleaned": _CLEANED_SQL}))
 def q_message_roundtrip(spark, d):
     """S5 -> S4 -> P4: reviews published as keyed JSON messages, decoded by the
@@ -842,7 +846,7 @@ def q_message_roundtrip(spark, d):
 
 
 @register("split_files_roundtrip", V("""
-select Id, split, sentiment, nullif(cleaned, '') as cleaned, length(coalesce(Text, '')) as text_len
+select Id, split, sentiment, nullif(cleaned, '') as cleaned, cast(length(coalesce(Text, '')) as integer) as text_len
 from splits""", "reviews",
                                      ctes={"cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL}))
 def q_split_files_roundtrip(spark, d):

@@ -115,7 +115,7 @@ select l_orderkey as Id, cast(l_partkey as varchar) as ProductId, cast(l_suppkey
        epoch_us(l_shipdate) // 1000000 as Time,
        case when 1 + cast(l_quantity as integer) % 5 < 3 then 0
             when 1 + cast(l_quantity as integer) % 5 = 3 then 1 else 2 end as true_sentiment,
-       case l_returnflag when 'A' then 0.0 when 'N' then 1.0 when 'R' then 2.0 end as prediction,
+       cast(case l_returnflag when 'A' then 0.0 when 'N' then 1.0 when 'R' then 2.0 end as double) as prediction,
        round(0.475 + l_discount * 5, 3) as confidence,
        case l_returnflag when 'A' then 'negative' when 'N' then 'neutral' when 'R' then 'positive' end
          as sentiment_label
@@ -125,8 +125,8 @@ PREDICTIONS_KEYED_SQL = """
 select event_id as Id, json_extract_string(props, '$.k') as ProductId, cast(user_id as varchar) as UserId,
        epoch_us(ts) // 1000000 as Time, event_type as Summary, props as Text,
        cast(null as varchar) as cleaned, cast(null as integer) as true_sentiment,
-       case when event_type in ('purchase', 'signup') then 2.0 when event_type in ('view', 'click') then 1.0
-            when event_type = 'error' then 0.0 end as prediction,
+       cast(case when event_type in ('purchase', 'signup') then 2.0 when event_type in ('view', 'click') then 1.0
+            when event_type = 'error' then 0.0 end as double) as prediction,
        least(0.99, 0.5 + value / 1000) as confidence, ts as inserted_at,
        case when event_type in ('purchase', 'signup') then 'positive'
             when event_type in ('view', 'click') then 'neutral'
