@@ -32,3 +32,14 @@ def test_query_without_oracle_runs(spark, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["year", "positive", "neutral", "negative"] and df.count() > 0
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in E.queries() if n in ORACLES))
+def test_query_schema_matches_oracle(spark, con, name):
+    spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in E.queries()[name](spark, SF_SMALL).dtypes}
+    rel = con.sql(ORACLES[name])
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))

@@ -167,3 +167,23 @@ def test_evaluate_equals_mllib_evaluator(spark, trained):
     preds = model.transform(val)
     for name in ("f1", "accuracy", "weightedPrecision", "weightedRecall"):
         assert abs(training.evaluator(name).evaluate(preds) - ours[name]) < 1e-9
+
+
+def test_label_counters_survive_restart(spark, scratch):
+    """T4s: state restored from the checkpoint keeps counting across restarts."""
+    from revlens.schemas import PREDICTION
+    inbox, ckpt = os.path.join(scratch, "in"), os.path.join(scratch, "ck")
+    rows = [(i, None, None, None, None, None, None, None, 1.0, "neutral" if i % 3 else "negative", 0.9, None)
+            for i in range(30)]
+    df = spark.createDataFrame(rows, PREDICTION)
+    df.filter("Id < 15").write.mode("append").parquet(os.path.join(inbox, "a"))
+
+    def run():
+        stream = spark.readStream.schema(PREDICTION).parquet(inbox + "/*")
+        q = monitors.start_counters(stream, ckpt, "restart_t", available_now=True)
+        q.awaitTermination(120)
+        return {r.label: r["count"] for r in spark.table("restart_t").collect()}
+
+    assert run() == {"neutral": 10, "negative": 5}
+    df.filter("Id >= 15").write.mode("append").parquet(os.path.join(inbox, "b"))
+    assert run() == {"neutral": 20, "negative": 10}
