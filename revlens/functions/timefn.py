@@ -39,10 +39,18 @@ def valid_time(time="Time") -> Column:
 def normalise_time(time="Time") -> Column:
     """Ms -> s repair, then range check; NULL when out of range."""
     t = _c(time).cast("long")
-    secs = F.when(t > MILLIS_ABOVE, F.floor(t / 1000).cast("long")).otherwise(t)
+    secs = F.when(t > MILLIS_ABOVE, F.call_function("div", t, F.lit(1000))).otherwise(t)
     return F.when(secs.between(MIN_TIME, MAX_TIME), secs)
 
 
+def usable_time(time="Time") -> Column:
+    """Range predicate on the raw value that keeps every row ``normalise_time``
+    can use (seconds in range, or milliseconds whose seconds are in range).
+    Plain ranges on the stored column, so Parquet can skip row groups."""
+    t = _c(time)
+    return t.between(MIN_TIME, MAX_TIME) | t.between(MIN_TIME * 1000, MAX_TIME * 1000 + 999)
+
+
 def display_date(time="Time") -> Column:
     """Yyyy-MM-dd of the repaired time, '' when unusable."""
     secs = normalise_time(time)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.labels import LABELS, label_or_neutral
-from revlens.functions.timefn import valid_time
 from revlens.operators.feed import by_sentiment, format_prediction
 
 
@@ -62,9 +61,10 @@ def product_summary(pred: DataFrame, product_id: str) -> DataFrame:
 
 def product_yearly(pred: DataFrame, product_id: str) -> DataFrame:
     """A22 (yearly breakdown): year x label counts of one product (null label = neutral)."""
-    df = pred.filter((F.col("ProductId") == product_id) & valid_time("Time"))
+    from revlens.operators.trends import with_review_time
+    df = with_review_time(pred.filter(F.col("ProductId") == product_id))
     lab = label_or_neutral("sentiment_label")
-    return (df.groupBy(F.year(F.timestamp_seconds("Time")).cast("string").alias("year"))
+    return (df.groupBy(F.year(F.timestamp_seconds("_t")).cast("string").alias("year"))
             .agg(*[F.count_if(lab == n).alias(n) for n in ("positive", "neutral", "negative")])
             .orderBy("year"))
 

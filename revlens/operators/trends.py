@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.labels import LABELS, label_or_neutral
-from revlens.functions.timefn import MONTHS, in_year, valid_time
+from revlens.functions.timefn import MONTHS, in_year, normalise_time, usable_time
 from revlens.operators.grids import grid, zero_fill
 
 # Heatmap day names, Monday first.
@@ -18,14 +18,25 @@ def _label_counts(label_col="sentiment_label", null_as_neutral: bool = True):
     return [F.count_if(lab == name).alias(name) for name in ("positive", "neutral", "negative")]
 
 
+def with_review_time(pred: DataFrame) -> DataFrame:
+    """Repair millisecond times once (P12) and keep rows with a usable time.
+
+    The raw-range prefilter reaches the scan; the exact check runs on the
+    normalised value, so trends and display agree on every row.
+    """
+    return (pred.filter(usable_time("Time"))
+            .withColumn("_t", normalise_time("Time"))
+            .filter(F.col("_t").isNotNull()))
+
+
 def yearly_trend(pred: DataFrame) -> DataFrame:
     """Per UTC year, count of each label; missing label counts as neutral.
 
     One hash aggregate with conditional counts (partial aggregation before
-    the shuffle); the valid-time range filter reaches the scan.
+    the shuffle); the time range prefilter reaches the scan.
     """
-    year = F.year(F.timestamp_seconds("Time"))
-    return (pred.filter(valid_time("Time"))
+    year = F.year(F.timestamp_seconds("_t"))
+    return (with_review_time(pred)
             .groupBy(year.alias("y"))
             .agg(*_label_counts())
             .select(F.col("y").cast("string").alias("year"), "positive", "neutral", "negative")
@@ -35,8 +46,8 @@ def yearly_trend(pred: DataFrame) -> DataFrame:
 def monthly_trend(pred: DataFrame, year: int) -> DataFrame:
     """The 12 months of ``year`` (Jan..Dec, zero-filled) x label counts."""
     spark = pred.sparkSession
-    agg = (pred.filter(valid_time("Time") & in_year(year, "Time"))
-           .groupBy(F.month(F.timestamp_seconds("Time")).alias("month_num"))
+    agg = (with_review_time(pred).filter(in_year(year, "_t"))
+           .groupBy(F.month(F.timestamp_seconds("_t")).alias("month_num"))
            .agg(*_label_counts()))
     months = grid(spark, month_num=list(range(1, 13)))
     out = zero_fill(agg, months, ["month_num"], ["positive", "neutral", "negative"])

@@ -75,12 +75,12 @@ def _pk(spark, d):
 
 # ---------------------------------------------------------------- trends
 @register("yearly_trend", T.with_views("""
-select cast(year(make_timestamp(Time * 1000000)) as varchar) as year,
+select cast(year(make_timestamp(t * 1000000)) as varchar) as year,
        count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'positive') as positive,
        count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'neutral') as neutral,
        count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'negative') as negative
-from predictions_big where Time between 788918400 and 1893456000
-group by 1 order by 1""", "predictions_big"))
+from (select *, NORM as t from predictions_big) x where t is not null
+group by 1 order by 1""".replace("NORM", NORM_TIME_SQL), "predictions_big"))
 def q_yearly_trend(spark, d):
     return trends.yearly_trend(_pb(spark, d))
 
@@ -89,11 +89,11 @@ def q_yearly_trend(spark, d):
 select m.month_num, m.month, coalesce(a.positive, 0) as positive, coalesce(a.neutral, 0) as neutral,
        coalesce(a.negative, 0) as negative
 from {MONTHS_SQL} m(month_num, month) left join (
-  select cast(month(make_timestamp(Time * 1000000)) as integer) as month_num, {LABEL_COUNTS_SQL}
-  from predictions_big
-  where Time between 788918400 and 1893456000
-    and Time >= epoch(make_timestamp({TREND_YEAR}, 1, 1, 0, 0, 0))
-    and Time < epoch(make_timestamp({TREND_YEAR + 1}, 1, 1, 0, 0, 0))
+  select cast(month(make_timestamp(t * 1000000)) as integer) as month_num, {LABEL_COUNTS_SQL}
+  from (select *, {NORM_TIME_SQL} as t from predictions_big) x
+  where t is not null
+    and t >= epoch(make_timestamp({TREND_YEAR}, 1, 1, 0, 0, 0))
+    and t < epoch(make_timestamp({TREND_YEAR + 1}, 1, 1, 0, 0, 0))
   group by 1) a using (month_num)""", "predictions_big"))
 def q_monthly_trend(spark, d):
     return trends.monthly_trend(_pb(spark, d), TREND_YEAR)
@@ -355,8 +355,9 @@ def q_product_summary(spark, d):
 
 
 @register("product_yearly", V(f"""
-select cast(year(make_timestamp(Time * 1000000)) as varchar) as year, {LABEL_COUNTS_SQL}
-from predictions_big where ProductId = '{BIG_PRODUCT}' and Time between 788918400 and 1893456000
+select cast(year(make_timestamp(t * 1000000)) as varchar) as year, {LABEL_COUNTS_SQL}
+from (select *, {NORM_TIME_SQL} as t from predictions_big where ProductId = '{BIG_PRODUCT}') x
+where t is not null
 group by 1""", "predictions_big"))
 def q_product_yearly(spark, d):
     return products.product_yearly(_pb(spark, d), BIG_PRODUCT)

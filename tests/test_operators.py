@@ -243,3 +243,13 @@ def test_trend_empty_label_is_neutral(spark):
     t = 1262304000
     df = preds(spark, [{"Time": t, "sentiment_label": ""}, {"Time": t, "sentiment_label": None}])
     assert [tuple(r) for r in trends.yearly_trend(df).collect()] == [("2010", 0, 2, 0)]
+
+
+def test_trends_use_repaired_millisecond_times(spark):
+    """A millisecond Time is repaired once and then counts in the trends too."""
+    df = preds(spark, [{"Time": 1303862400000, "sentiment_label": "positive"},   # 2011-04-27 in ms
+                       {"Time": 1303862400, "sentiment_label": "negative"},
+                       {"Time": 4000000001, "sentiment_label": "negative"}])       # ms, but before 1995
+    assert [tuple(r) for r in trends.yearly_trend(df).collect()] == [("2011", 1, 0, 1)]
+    apr = trends.monthly_trend(df, 2011).collect()[3]
+    assert (apr.month, apr.positive, apr.negative) == ("Apr", 1, 1)
