@@ -187,3 +187,16 @@ def test_label_counters_survive_restart(spark, scratch):
     assert run() == {"neutral": 10, "negative": 5}
     df.filter("Id >= 15").write.mode("append").parquet(os.path.join(inbox, "b"))
     assert run() == {"neutral": 20, "negative": 10}
+
+
+def test_compact_predictions_keeps_rows_and_prunes(spark, scratch):
+    from revlens.operators import products
+    src, dst = os.path.join(scratch, "raw"), os.path.join(scratch, "compact")
+    keyed = tables.predictions_keyed(spark, SF_SMALL)
+    keyed.write.parquet(os.path.join(src, "batch_id=0"))
+    out = tables.compact_predictions(spark, src, dst, files_per_day=2)
+    assert out.count() == keyed.count()
+    q = products.product_summary(out, "42")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(ProductId,42)" in plan
+    assert q.first().totalReviews == keyed.filter("ProductId = '42'").count()
