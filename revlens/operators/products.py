@@ -69,6 +69,31 @@ def product_yearly(pred: DataFrame, product_id: str) -> DataFrame:
             .orderBy("year"))
 
 
+def product_page_counts(pred: DataFrame, product_id: str) -> DataFrame:
+    """A22 totals and yearly breakdown from one scan (``rollup`` over the year).
+
+    Rows: level 'total' (all of the product's rows; label counts as stored)
+    and one 'year' row per usable review year (missing label counts as
+    neutral, T4). Same numbers as ``product_summary`` + ``product_yearly``,
+    one aggregate instead of two scans.
+    """
+    from revlens.functions.timefn import normalise_time
+    df = (pred.filter(F.col("ProductId") == product_id)
+          .withColumn("year", F.year(F.timestamp_seconds(normalise_time("Time"))).cast("string")))
+    lab, lab_n = F.col("sentiment_label"), label_or_neutral("sentiment_label")
+    agg = (df.rollup("year")
+           .agg(F.grouping("year").alias("_g"), F.count(F.lit(1)).alias("totalReviews"),
+                *[F.count_if(lab == n).alias(f"_{n}") for n in LABELS],
+                *[F.count_if(lab_n == n).alias(f"_{n}_t") for n in LABELS]))
+    total = F.col("_g") == 1
+    return (agg.filter(total | F.col("year").isNotNull())
+            .select(F.when(total, F.lit("total")).otherwise(F.lit("year")).alias("level"),
+                    F.when(total, F.lit(None)).otherwise(F.col("year")).cast("string").alias("year"),
+                    "totalReviews",
+                    *[F.when(total, F.col(f"_{n}")).otherwise(F.col(f"_{n}_t")).alias(n) for n in LABELS])
+            .filter(F.col("totalReviews") > 0))
+
+
 def product_newest(pred: DataFrame, product_id: str, limit: int = 20) -> DataFrame:
     """A22 (reviews): the newest ``limit`` reviews of one product by Time, Id breaks ties."""
     df = pred.filter(F.col("ProductId") == product_id)

@@ -363,6 +363,25 @@ def q_product_yearly(spark, d):
     return products.product_yearly(_pb(spark, d), BIG_PRODUCT)
 
 
+@register("product_page_counts", V(f"""
+select case when grouping(year) = 1 then 'total' else 'year' end as level, year, count(*) as totalReviews,
+       case when grouping(year) = 1 then count(*) filter (where sentiment_label = 'negative')
+            else count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'negative') end
+         as negative,
+       case when grouping(year) = 1 then count(*) filter (where sentiment_label = 'neutral')
+            else count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'neutral') end
+         as neutral,
+       case when grouping(year) = 1 then count(*) filter (where sentiment_label = 'positive')
+            else count(*) filter (where coalesce(nullif(sentiment_label, ''), 'neutral') = 'positive') end
+         as positive
+from (select *, cast(year(make_timestamp({NORM_TIME_SQL} * 1000000)) as varchar) as year
+      from predictions_big where ProductId = '{BIG_PRODUCT}') x
+group by rollup (year)
+having (grouping(year) = 1 or year is not null) and count(*) > 0""", "predictions_big"))
+def q_product_page_counts(spark, d):
+    return products.product_page_counts(_pb(spark, d), BIG_PRODUCT)
+
+
 @register("product_newest", V(f"""
 select {FORMAT_SQL} from predictions_keyed where ProductId = '{KEYED_PRODUCT}'
 order by Time desc nulls last, Id desc limit 20""", "predictions_keyed"))

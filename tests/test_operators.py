@@ -253,3 +253,19 @@ def test_trends_use_repaired_millisecond_times(spark):
     assert [tuple(r) for r in trends.yearly_trend(df).collect()] == [("2011", 1, 0, 1)]
     apr = trends.monthly_trend(df, 2011).collect()[3]
     assert (apr.month, apr.positive, apr.negative) == ("Apr", 1, 1)
+
+
+def test_product_page_counts_equals_separate_queries(spark):
+    t = 1262304000
+    df = preds(spark, [{"ProductId": "p", "Time": t, "sentiment_label": None},
+                       {"ProductId": "p", "Time": t, "sentiment_label": "positive"},
+                       {"ProductId": "p", "Time": 5, "sentiment_label": "negative"},      # unusable time
+                       {"ProductId": "p", "Time": t + 400 * 86400, "sentiment_label": "neutral"},
+                       {"ProductId": "q", "Time": t, "sentiment_label": "positive"}])
+    rows = {(r.level, r.year): (r.totalReviews, r.positive, r.neutral, r.negative)
+            for r in products.product_page_counts(df, "p").collect()}
+    s = products.product_summary(df, "p").first()
+    assert rows[("total", None)] == (s.totalReviews, s.positive, s.neutral, s.negative) == (4, 1, 1, 1)
+    yearly = {r.year: (r.positive, r.neutral, r.negative) for r in products.product_yearly(df, "p").collect()}
+    assert {y: v[1:] for (lvl, y), v in rows.items() if lvl == "year"} == yearly == {"2010": (1, 1, 0), "2011": (0, 1, 0)}
+    assert products.product_page_counts(df, "none").count() == 0
