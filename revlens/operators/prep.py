@@ -52,6 +52,55 @@ def stratified_split(df: DataFrame, train: float = 0.8, val: float = 0.1, seed:
     return df.withColumn("split", split)
 
 
+def stratified_split_exact(df: DataFrame, train_pct: int = 80, val_pct: int = 10, seed: int = 42,
+                           key_col: str = "Id", label_col: str = "sentiment",
+                           partitions: int | None = None) -> DataFrame:
+    """L9 with exact per-class sizes: in every class of n rows, ordered by the
+    seeded hash, the first n - ceil(n * (100 - train_pct) / 100) rows are train;
+    of the rest, ceil(rest * test_pct / (val_pct + test_pct)) are test and the
+    others val (the split sizes of a two-step 80/20 then 50/50 split).
+
+    The rank inside a class is found without a per-class window (one class
+    may hold most rows):
+    1. range-partition by (class, hash, id): each partition holds a
+       contiguous slice of the global order;
+    2. rank rows inside their (partition, class) group -- bounded by the
+       partition size;
+    3. add the number of same-class rows in all earlier partitions, from a
+       table of per-(partition, class) counts (partitions x classes rows,
+       broadcast).
+    """
+    spark = df.sparkSession
+    n_parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    test_pct = 100 - train_pct - val_pct
+    u = unit_hash(key_col, seed)
+    ranged = (df.withColumn("_u", u)
+              .repartitionByRange(n_parts, F.col(label_col), F.col("_u"), F.col(key_col))
+              .withColumn("_pid", F.spark_partition_id()))
+    part_counts = ranged.groupBy("_pid", label_col).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(label_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part_counts.select(
+        "_pid", label_col, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+        F.sum("_n").over(Window.partitionBy(label_col)).alias("_class_n"))
+    in_part = Window.partitionBy("_pid", label_col).orderBy("_u", key_col)
+    ranked = (ranged.withColumn("_r", F.row_number().over(in_part) - 1)
+              .join(F.broadcast(offsets), ["_pid", label_col])
+              .withColumn("_rank", F.col("_off") + F.col("_r")))
+    n = F.col("_class_n")
+    n_rest = idiv_ceil(n * (100 - train_pct), 100)
+    n_test = idiv_ceil(n_rest * test_pct, val_pct + test_pct)
+    n_train = n - n_rest
+    split = (F.when(F.col("_rank") < n_train, F.lit(TRAIN))
+             .when(F.col("_rank") < n - n_test, F.lit(VAL)).otherwise(F.lit(TEST)))
+    return ranked.withColumn("split", split).drop("_u", "_pid", "_r", "_off", "_class_n", "_rank")
+
+
+def idiv_ceil(a, b):
+    """ceil(a / b) for non-negative longs, exact."""
+    from revlens.functions.mathfn import idiv
+    return idiv(a + F.lit(b - 1), F.lit(b))
+
+
 def class_counts(df: DataFrame, label_col: str = "sentiment") -> dict:
     """Rows per class, brought to the driver (at most one row per class)."""
     return {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}

@@ -526,6 +526,17 @@ def q_split_assignment(spark, d):
     return _split(spark, d).select("Id", "sentiment", "split")
 
 
+@register("split_assignment_exact", V(f"""
+select Id, sentiment,
+       case when r < n - (n * 20 + 99) // 100 then 'train'
+            when r < n - (((n * 20 + 99) // 100) * 10 + 19) // 20 then 'val' else 'test' end as split
+from (select Id, sentiment, row_number() over (partition by sentiment order by {_U_SPLIT}, Id) - 1 as r,
+             count(*) over (partition by sentiment) as n from cleaned) x""", "reviews", ctes={"cleaned": _CLEANED_SQL}))
+def q_split_assignment_exact(spark, d):
+    """L9, exact per-class 80/10/10 sizes via the range-partitioned rank."""
+    return prep.stratified_split_exact(_cleaned(spark, d)).select("Id", "sentiment", "split")
+
+
 @register("split_report", V(f"""
 select split, sentiment, n, split_rows, {share_sql('n', 'split_rows', 100, 1)} as pct_of_split,
        {share_sql('split_rows', 'cast(sum(n) over () as bigint)', 100, 1)} as split_pct

@@ -269,3 +269,21 @@ def test_product_page_counts_equals_separate_queries(spark):
     yearly = {r.year: (r.positive, r.neutral, r.negative) for r in products.product_yearly(df, "p").collect()}
     assert {y: v[1:] for (lvl, y), v in rows.items() if lvl == "year"} == yearly == {"2010": (1, 1, 0), "2011": (0, 1, 0)}
     assert products.product_page_counts(df, "none").count() == 0
+
+
+def test_stratified_split_exact_sizes(spark):
+    import math
+    df = spark.range(0, 5003).select(F.col("id").alias("Id"),
+                                     F.when(F.col("id") % 10 < 7, 2).when(F.col("id") % 10 < 9, 0).otherwise(1)
+                                     .alias("sentiment"))
+    out = prep.stratified_split_exact(df, partitions=5).cache()
+    got = {(r.sentiment, r.split): r["count"] for r in out.groupBy("sentiment", "split").count().collect()}
+    for c in (0, 1, 2):
+        n = df.filter(F.col("sentiment") == c).count()
+        rest = math.ceil(n * 20 / 100)
+        test = math.ceil(rest * 10 / 20)
+        assert (got[(c, "train")], got[(c, "val")], got[(c, "test")]) == (n - rest, rest - test, test)
+    assert out.select("Id").distinct().count() == 5003
+    # the same rows whatever the number of range partitions
+    other = prep.stratified_split_exact(df, partitions=3)
+    assert out.join(other, ["Id", "sentiment", "split"]).count() == 5003

@@ -43,3 +43,19 @@ def test_query_schema_matches_oracle(spark, con, name):
     spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in E.queries()[name](spark, SF_SMALL).dtypes}
     rel = con.sql(ORACLES[name])
     assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))
+
+
+def test_invariants_on_real_tables(spark):
+    """SURVEY section 5 invariants on the shared tables."""
+    from pyspark.sql import functions as F
+    from revlens.operators import evaluation, prep
+    from revlens.sources import tables
+    pb = tables.predictions_big(spark, SF_SMALL)
+    hist = evaluation.confidence_histogram(pb).agg(F.sum("n")).first()[0]
+    assert hist == pb.filter(F.col("sentiment_label").isin("negative", "neutral", "positive")).count()
+    cm = evaluation.confusion_matrix(pb).agg(F.sum("n")).first()[0]
+    assert cm == pb.filter(F.col("true_sentiment").isin(0, 1, 2) & F.col("prediction").isNotNull()).count()
+    rev = tables.reviews(spark, SF_SMALL)
+    split = prep.stratified_split(rev.withColumn("sentiment", F.lit(1)))
+    assert split.count() == rev.count() == split.select("Id").distinct().count()
+    assert {r.split for r in split.select("split").distinct().collect()} == {"train", "val", "test"}
