@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from revlens.schemas import MODEL_METADATA, RAW_REVIEW, SPLIT_REVIEW
 
@@ -44,7 +45,7 @@ def write_splits(split_df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def read_splits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "csv":
-        schema = SPLIT_REVIEW.add("split", "string")
+        schema = StructType(SPLIT_REVIEW.fields + [StructField("split", StringType(), True)])
         return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
     return spark.read.parquet(path)
 

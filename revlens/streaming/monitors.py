@@ -10,6 +10,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from revlens.schemas import OFFSET_SNAPSHOT, PREDICTION
 
@@ -32,7 +33,7 @@ def throughput_stream(stream: DataFrame, ts_col: str = "inserted_at", width: str
 def tail_predictions(spark: SparkSession, table_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """T3s: new rows of the stored prediction table as a stream (no id cursor needed:
     the file source remembers which files it has delivered)."""
-    schema = PREDICTION.add("batch_id", "long")
+    schema = StructType(PREDICTION.fields + [StructField("batch_id", LongType(), True)])
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)

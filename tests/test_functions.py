@@ -78,3 +78,13 @@ def test_shuffle_partitions_for():
     assert shuffle_partitions_for(10) == 200
     assert shuffle_partitions_for(100 * 1024 ** 4) == 100_000
     assert shuffle_partitions_for(1024 ** 4) == 4096
+
+
+def test_shared_schemas_are_not_mutated(spark, tmp_path):
+    from revlens import schemas
+    from revlens.sources import files
+    from revlens.streaming import monitors
+    before = (len(schemas.PREDICTION.fields), len(schemas.SPLIT_REVIEW.fields))
+    monitors.tail_predictions(spark, str(tmp_path))
+    files.read_splits(spark, str(tmp_path), fmt="csv")
+    assert (len(schemas.PREDICTION.fields), len(schemas.SPLIT_REVIEW.fields)) == before
