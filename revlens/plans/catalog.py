@@ -777,21 +777,29 @@ def q_word_frequencies_sampled(spark, d):
 
 
 # -------------------------------------------------------------- streaming
-def _as_file_stream(spark, df, name: str, files: int = 4):
-    """Write ``df`` as ``files`` parquet files in ts order and open it as a stream
-    that takes one file per trigger (several micro-batches, state carried over)."""
+def _as_file_stream(spark, df, name: str, batches: int = 4):
+    """Write ``df`` as parquet files in ts order and open it as a stream that
+    delivers them in about ``batches`` micro-batches (state carried over).
+
+    The file count follows the input's scan splits (at least ``batches``), so
+    each file stays at split size however large the table grows.
+    """
     from pyspark.sql import functions as F
     path = _scratch(spark, name)
+    files = max(batches, df.rdd.getNumPartitions())
     (df.repartitionByRange(files, F.col("inserted_at")).sortWithinPartitions("inserted_at")
      .write.parquet(path))
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches))
+            .parquet(path))
 
 
 def _run_complete(stream_df, spark, name: str):
-    q = (stream_df.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", _scratch(spark, name + "-ckpt")).trigger(availableNow=True).start())
+    """Run a complete-mode aggregate to its end and read the newest snapshot table."""
+    from revlens.streaming import monitors
+    path = _scratch(spark, name)
+    q = monitors.start_snapshot_query(stream_df, path, _scratch(spark, name + "-ckpt"), available_now=True)
     q.awaitTermination()
-    return spark.table(name)
+    return monitors.read_snapshot(spark, path, q)
 
 
 @register("stream_label_counters", V("""
@@ -799,10 +807,9 @@ select coalesce(sentiment_label, 'unknown') as label, count(*) as count from pre
                                      "predictions_keyed"))
 def q_stream_label_counters(spark, d):
     """T4s: running label counters over a multi-batch stream of stored predictions."""
-    import uuid
     from revlens.streaming import monitors
     stream = _as_file_stream(spark, _pk(spark, d), "keyed-stream")
-    return _run_complete(monitors.label_counters(stream), spark, f"counters_{uuid.uuid4().hex[:8]}")
+    return _run_complete(monitors.label_counters(stream), spark, "counters")
 
 
 @register("stream_throughput", V("""
@@ -812,11 +819,10 @@ from (select (epoch_us(inserted_at) // 10000000) * 10000000 - k * 10000000 as w_
 group by w_start""", "predictions_keyed"))
 def q_stream_throughput(spark, d):
     """T5s: sliding 60 s / 10 s ingest windows with a watermark over a multi-batch stream."""
-    import uuid
     from pyspark.sql import functions as F
     from revlens.streaming import monitors
     stream = _as_file_stream(spark, _pk(spark, d), "keyed-stream")
-    out = _run_complete(monitors.throughput_stream(stream), spark, f"throughput_{uuid.uuid4().hex[:8]}")
+    out = _run_complete(monitors.throughput_stream(stream), spark, "throughput")
     return out.select(F.unix_seconds("window_start").alias("window_start_s"),
                       F.unix_seconds("window_end").alias("window_end_s"), "n")
 

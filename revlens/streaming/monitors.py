@@ -7,6 +7,7 @@ windows are dropped once the watermark passes them.
 from __future__ import annotations
 
 import datetime as _dt
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,43 @@ def start_counters(scored: DataFrame, checkpoint: str, query_name: str = "label_
     return w.start()
 
 
+def write_snapshot_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """One complete-mode micro-batch -> ``path/batch_id=<id>``, written by the executors.
+
+    Overwrite makes a replayed batch replace its own output; earlier batch
+    folders stay readable while a newer one is being written.
+    """
+    batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+
+
+def start_snapshot_query(result: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+                         trigger: str = "1 second"):
+    """Run a stateful aggregate in complete mode into a versioned parquet table.
+
+    Unlike the memory sink, the result never passes through the driver, so the
+    number of windows or keys in the state is not bounded by driver memory.
+    """
+    w = (result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda b, i: write_snapshot_batch(b, i, path)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+    return w.start()
+
+
+def read_snapshot(spark: SparkSession, path: str, query=None) -> DataFrame:
+    """The newest complete result written by ``start_snapshot_query``.
+
+    The batch id comes from the query's last progress; without one, the newest
+    ``batch_id`` folder is chosen by a scalar subquery over the partition column.
+    """
+    progress = query.lastProgress if query is not None else None
+    if progress and progress.get("batchId") is not None:
+        bid = int(progress["batchId"])
+        return spark.read.parquet(os.path.join(path, f"batch_id={bid}"))
+    table = spark.read.parquet(path)
+    newest = table.select(F.max("batch_id")).scalar()
+    return table.filter(F.col("batch_id") == newest).drop("batch_id")
+
+
 def offsets_total(progress: dict | None) -> dict[str, int]:
     """T2s: end offsets of a query's last progress, summed per source description."""
     out: dict[str, int] = {}
