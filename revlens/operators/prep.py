@@ -68,10 +68,14 @@ def stratified_split_exact(df: DataFrame, train_pct: int = 80, val_pct: int = 10
        partition size;
     3. add the number of same-class rows in all earlier partitions, from a
        table of per-(partition, class) counts (partitions x classes rows,
-       broadcast).
+       broadcast; 100 000 partitions x 3 classes is still only 300 000 rows).
     """
     spark = df.sparkSession
-    n_parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    # As many ranges as the session's shuffle width (sized from the input by
+    # session.apply_scale_conf) or the core count, whichever is larger, so a
+    # range -- and the rank sort inside it -- stays at shuffle-partition size.
+    n_parts = partitions or max(spark.sparkContext.defaultParallelism,
+                                int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     test_pct = 100 - train_pct - val_pct
     u = unit_hash(key_col, seed)
     ranged = (df.withColumn("_u", u)
