@@ -137,6 +137,28 @@ def test_traffic_snapshots(spark):
     assert [r.status for r in quality.traffic(snaps).orderBy("run_time").collect()] == ["skip", "ok", "fail", "ok"]
 
 
+def _snapshots_brute(ts_list, step):
+    """Every run end from the first to the last event's interval, with the events so far."""
+    ends = sorted({(int(t.replace(tzinfo=dt.timezone.utc).timestamp()) // step + 1) * step for t in ts_list})
+    out, lo, hi = [], ends[0], ends[-1]
+    secs = [int(t.replace(tzinfo=dt.timezone.utc).timestamp()) for t in ts_list]
+    for e in range(lo, hi + 1, step):
+        out.append((e, sum(1 for x in secs if x < e)))
+    return out
+
+
+def test_event_snapshots_axis_matches_brute_force(spark):
+    """The per-day axis generation gives every interval end once, including steps that
+    do not divide a day and steps longer than a day, and running totals across days."""
+    base = dt.datetime(2024, 1, 1, 23, 53, 0)
+    ts = [base + dt.timedelta(minutes=m) for m in (0, 3, 9, 61, 1500, 1501, 4000, 9000)]
+    events = spark.createDataFrame([(t,) for t in ts], "ts timestamp")
+    for minutes in (5, 7, 1441, 2000):
+        got = [(int(r.run_time.replace(tzinfo=dt.timezone.utc).timestamp()), r.total)
+               for r in quality.event_snapshots(events, every_minutes=minutes).orderBy("run_time").collect()]
+        assert got == _snapshots_brute(ts, minutes * 60), minutes
+
+
 def test_split_and_undersample(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("Id"), (F.col("id") % 10).alias("m"))
     df = df.withColumn("sentiment", F.when(F.col("m") < 1, 1).when(F.col("m") < 2, 0).otherwise(2))
