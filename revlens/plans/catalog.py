@@ -844,11 +844,14 @@ def q_stream_scoring(spark, d):
     inbox = _scratch(spark, "inbox")
     test = split_df.filter(F.col("split") == "test").withColumn(
         "cleaned", F.when(F.col("Id") % 2 == 0, F.col("cleaned")))
-    messages.write_message_files(messages.publish_reviews(test).repartition(4), inbox)
+    # At least 4 message files (so the stream runs several micro-batches), more
+    # when the test split spans more scan splits; about 4 batches either way.
+    files = max(4, test.rdd.getNumPartitions())
+    messages.write_message_files(messages.publish_reviews(test).repartition(files), inbox)
     root = _scratch(spark, "stream")
     table = os.path.join(root, "predictions")
     q_live, q_stats = sscore.start_two_queries(
-        messages.message_files_source(spark, inbox, max_files_per_trigger=1), model, table,
+        messages.message_files_source(spark, inbox, max_files_per_trigger=-(-files // 4)), model, table,
         os.path.join(root, "ckpt"), live_path=os.path.join(root, "live"), available_now=True)
     q_live.awaitTermination()
     q_stats.awaitTermination()
