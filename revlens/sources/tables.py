@@ -60,11 +60,18 @@ def compact_predictions(spark: SparkSession, src: str, dst: str, files_per_day:
     and row groups by min/max statistics and the bloom filter; trend queries
     prune by date. Runs as one range-partitioned shuffle; it is a written
     table, so later jobs start from it instead of the micro-batch lineage.
+
+    ``files_per_day`` (despite its name) is the number of ranges over the
+    whole table; a day gets about its share of them. By default it is the
+    session's shuffle width (sized from the input by
+    ``session.apply_scale_conf``) or the core count, whichever is larger, so
+    each range -- and its sort -- stays at shuffle-partition size.
     """
     df = spark.read.parquet(src)
     df = df.drop("batch_id") if "batch_id" in df.columns else df
     df = df.withColumn("ingest_date", F.to_date(F.col("inserted_at")))
-    n = files_per_day or spark.sparkContext.defaultParallelism
+    n = files_per_day or max(spark.sparkContext.defaultParallelism,
+                             int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = (df.repartitionByRange(n, "ingest_date", "ProductId")
            .sortWithinPartitions("ingest_date", "ProductId", "Time"))
     (out.write.mode(mode).partitionBy("ingest_date")
