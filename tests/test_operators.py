@@ -309,3 +309,21 @@ def test_stratified_split_exact_sizes(spark):
     # the same rows whatever the number of range partitions
     other = prep.stratified_split_exact(df, partitions=3)
     assert out.join(other, ["Id", "sentiment", "split"]).count() == 5003
+
+
+def test_throughput_windows_equal_spark_sliding_windows(spark):
+    """Bucket-then-spread gives exactly the windows of F.window(ts, 60 s, 10 s),
+    including exact bucket edges, sub-second times and times before 1970."""
+    import random
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    times = [base + dt.timedelta(microseconds=rnd.randrange(0, 3_600_000_000)) for _ in range(500)]
+    times += [base, base + dt.timedelta(seconds=10), dt.datetime(1969, 12, 31, 23, 59, 55), None]
+    df = spark.createDataFrame([(t,) for t in times], "inserted_at timestamp")
+    ours = {(r.window_start, r.window_end, r.n) for r in trends.throughput_windows(df).collect()}
+    w = F.window("inserted_at", "60 seconds", "10 seconds")
+    ref = {(r.s, r.e, r.n) for r in df.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+           .select(F.col("w.start").alias("s"), F.col("w.end").alias("e"), "n").collect()}
+    assert ours == ref
+    # A width that is not a multiple of the slide falls back to F.window itself.
+    assert trends.throughput_windows(df, width="25 seconds").count() > 0
