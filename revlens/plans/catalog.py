@@ -827,6 +827,10 @@ def q_stream_throughput(spark, d):
                       F.unix_seconds("window_end").alias("window_end_s"), "n")
 
 
+# Micro-batch timings of the last stream_scoring run (read by bench.py).
+STREAM_STATS: dict = {}
+
+
 @register("stream_scoring")
 def q_stream_scoring(spark, d):
     """E2 / T1s: test-split reviews published as messages (half without a cleaned
@@ -855,6 +859,8 @@ def q_stream_scoring(spark, d):
         os.path.join(root, "ckpt"), live_path=os.path.join(root, "live"), available_now=True)
     q_live.awaitTermination()
     q_stats.awaitTermination()
+    from revlens.streaming.monitors import batch_latency
+    STREAM_STATS.update(live=batch_latency(q_live), stats=batch_latency(q_stats))
     return (sscore.read_stats_table(spark, table)
             .select("Id", "ProductId", "true_sentiment", "prediction", "sentiment_label",
                     F.round("confidence", 6).alias("confidence"), "batch_id"))

@@ -87,6 +87,20 @@ def read_snapshot(spark: SparkSession, path: str, query=None) -> DataFrame:
     return table.filter(F.col("batch_id") == newest).drop("batch_id")
 
 
+def batch_latency(query) -> dict:
+    """Per-micro-batch processing time of a finished or running query, from its
+    progress reports (metadata only): batches with input, and the median and
+    largest ``triggerExecution`` time in milliseconds. (Row counts are left out:
+    a foreachBatch sink that runs more than one action per batch makes the
+    reported input rows count some rows twice.)"""
+    runs = [(p.get("numInputRows") or 0, (p.get("durationMs") or {}).get("triggerExecution"))
+            for p in (query.recentProgress or [])]
+    ms = sorted(t for n, t in runs if n and t is not None)
+    if not ms:
+        return {"batches": 0, "median_ms": None, "max_ms": None}
+    return {"batches": len(ms), "median_ms": ms[len(ms) // 2], "max_ms": ms[-1]}
+
+
 def offsets_total(progress: dict | None) -> dict[str, int]:
     """T2s: end offsets of a query's last progress, summed per source description."""
     out: dict[str, int] = {}

@@ -231,3 +231,16 @@ def test_compact_predictions_keeps_rows_and_prunes(spark, scratch):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(ProductId,42)" in plan
     assert q.first().totalReviews == keyed.filter("ProductId = '42'").count()
+
+
+def test_batch_latency_from_progress():
+    class Q:
+        recentProgress = [{"numInputRows": 5, "durationMs": {"triggerExecution": 300}},
+                          {"numInputRows": 0, "durationMs": {"triggerExecution": 5}},
+                          {"numInputRows": 7, "durationMs": {"triggerExecution": 100}},
+                          {"numInputRows": 2, "durationMs": {"triggerExecution": 200}}]
+    assert monitors.batch_latency(Q()) == {"batches": 3, "median_ms": 200, "max_ms": 300}
+
+    class Empty:
+        recentProgress = []
+    assert monitors.batch_latency(Empty())["batches"] == 0
