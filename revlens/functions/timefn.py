@@ -65,6 +65,21 @@ def in_year(year: int, time="Time") -> Column:
     return (t >= lo) & (t < hi)
 
 
+def in_year_raw(year: int, time="Time") -> Column:
+    """P16 on the stored value: the raw ``Time`` values whose repaired time
+    (``normalise_time``) falls in ``year`` -- the year's range in seconds, or the
+    same range in milliseconds. Plain ranges on the stored column, so Parquet
+    can skip row groups; exact, because inside the valid years a seconds value
+    is never above the millisecond threshold and a milliseconds value always is.
+    """
+    lo = int(_dt.datetime(year, 1, 1, tzinfo=_dt.timezone.utc).timestamp())
+    hi = int(_dt.datetime(year + 1, 1, 1, tzinfo=_dt.timezone.utc).timestamp())
+    if not (hi <= MILLIS_ABOVE < lo * 1000):
+        return F.lit(True)   # outside the valid years: leave it to the exact check on _t
+    t = _c(time)
+    return ((t >= lo) & (t < hi)) | ((t >= lo * 1000) & (t < hi * 1000))
+
+
 def iso_timestamp(ts) -> Column:
     """P20: ISO-8601 text with microseconds (always six digits)."""
     return F.date_format(_c(ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

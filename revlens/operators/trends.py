@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.labels import LABELS, label_or_neutral
-from revlens.functions.timefn import MONTHS, in_year, normalise_time, usable_time
+from revlens.functions.timefn import MONTHS, in_year, in_year_raw, normalise_time, usable_time
 from revlens.operators.grids import grid, zero_fill
 
 # Heatmap day names, Monday first.
@@ -46,7 +46,7 @@ def yearly_trend(pred: DataFrame) -> DataFrame:
 def monthly_trend(pred: DataFrame, year: int) -> DataFrame:
     """The 12 months of ``year`` (Jan..Dec, zero-filled) x label counts."""
     spark = pred.sparkSession
-    agg = (with_review_time(pred).filter(in_year(year, "_t"))
+    agg = (with_review_time(pred.filter(in_year_raw(year, "Time"))).filter(in_year(year, "_t"))
            .groupBy(F.month(F.timestamp_seconds("_t")).alias("month_num"))
            .agg(*_label_counts()))
     months = grid(spark, month_num=list(range(1, 13)))

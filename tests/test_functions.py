@@ -88,3 +88,18 @@ def test_shared_schemas_are_not_mutated(spark, tmp_path):
     monitors.tail_predictions(spark, str(tmp_path))
     files.read_splits(spark, str(tmp_path), fmt="csv")
     assert (len(schemas.PREDICTION.fields), len(schemas.SPLIT_REVIEW.fields)) == before
+
+
+def test_in_year_raw_equals_year_of_repaired_time(spark):
+    """The stored-value prefilter keeps exactly the rows whose repaired time is in the year."""
+    import datetime as dt
+    lo = int(dt.datetime(2011, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    hi = int(dt.datetime(2012, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    vals = [lo - 1, lo, lo + 1, hi - 1, hi, hi + 1, lo * 1000 - 1, lo * 1000, hi * 1000 - 1, hi * 1000,
+            (lo + 5) * 1000 + 999, 4000000000, 4000000001, 0, -5, None]
+    df = spark.createDataFrame([(v,) for v in vals], "Time long")
+    got = df.withColumn("_t", timefn.normalise_time("Time")).select(
+        "Time", F.coalesce(timefn.in_year_raw(2011, "Time"), F.lit(False)).alias("raw"),
+        F.coalesce(timefn.in_year(2011, "_t"), F.lit(False)).alias("exact"))
+    for r in got.collect():
+        assert bool(r.raw) == r.exact, r
