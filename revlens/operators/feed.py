@@ -96,12 +96,14 @@ def latest(pred: DataFrame) -> DataFrame:
     return recent(pred, 1)
 
 
-def _safe_pattern(q: str) -> str:
-    """A pattern that fails to compile is searched as a literal."""
+def _safe_pattern(spark, q: str) -> str:
+    """A pattern that Spark's (Java) regex engine cannot compile is searched
+    as a literal. The check runs in Spark's own dialect on one literal row, so
+    a Python-only construct such as ``(?P<name>...)`` is caught as well."""
     try:
-        re.compile(q)
+        spark.range(1).select(F.lit("").rlike("(?i)" + q)).collect()
         return q
-    except re.error:
+    except Exception:  # noqa: BLE001 - any compile error means: search literally
         return re.escape(q)
 
 
@@ -117,7 +119,7 @@ def search(df: DataFrame, q: str | None, limit: int = 20, literal: bool = False)
         hit = (F.lower(F.coalesce("Summary", F.lit(""))).contains(needle)
                | F.lower(F.coalesce("Text", F.lit(""))).contains(needle))
     else:
-        pat = "(?i)" + _safe_pattern(q)
+        pat = "(?i)" + _safe_pattern(df.sparkSession, q)
         hit = (F.coalesce(F.col("Summary").rlike(pat), F.lit(False))
                | F.coalesce(F.col("Text").rlike(pat), F.lit(False)))
     return df.filter(hit).orderBy("Id").limit(limit)

@@ -327,3 +327,12 @@ def test_throughput_windows_equal_spark_sliding_windows(spark):
     assert ours == ref
     # A width that is not a multiple of the slide falls back to F.window itself.
     assert trends.throughput_windows(df, width="25 seconds").count() > 0
+
+
+def test_search_pattern_valid_only_in_python_is_searched_literally(spark):
+    """T18 in Spark's own regex dialect: a Python-only construct (named group
+    ``(?P<x>...)``) would fail the job in Java, so it is searched as text."""
+    df = preds(spark, [{"Id": 1, "Summary": "tea", "Text": "x"},
+                       {"Id": 2, "Summary": "(?P<x>tea)", "Text": None}])
+    assert [r.Id for r in feed.search(df, "(?P<x>tea)").collect()] == [2]
+    assert [r.Id for r in feed.search(df, "^t[e]a$").collect()] == [1]   # valid patterns stay regexes
