@@ -71,15 +71,39 @@ def serialise(df: DataFrame, id_cols: tuple[str, ...] = ("Id", "_id")) -> DataFr
     return df.select(*cols)
 
 
-def recent(pred: DataFrame, limit: int = 50, sentiment: str | None = None) -> DataFrame:
-    """Newest ``limit`` rows by inserted_at (Id breaks ties, T12).
-
-    A sort + limit plans as TakeOrderedAndProject: each task keeps its own
-    top ``limit`` and only those reach the final merge.
+def newest_cutoff(df: DataFrame, k: int, ts_col: str = "inserted_at") -> int | None:
+    """Epoch microseconds of the k-th newest non-null ``ts_col`` (ties count), or
+    None when fewer than k rows have one. Reads only that column: each task
+    keeps its own k newest values, and one number comes back to the driver."""
+    ts = F.col(ts_col).cast("timestamp")
+    row = (df.select(ts.alias("_ts")).where(F.col("_ts").isNotNull())
+           .orderBy(F.desc("_ts")).limit(k)
+           .agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("_ts")).alias("us")).first())
+    return int(row["us"]) if row is not None and row["n"] >= k else None
+
+
+def newest_rows(df: DataFrame, k: int, ts_col: str = "inserted_at", key_col: str = "Id") -> DataFrame:
+    """The ``k`` newest rows by ``ts_col`` (NULL last, ``key_col`` breaks ties, T12).
+
+    Two steps, so wide columns (review texts) are not read for the whole
+    table: ``newest_cutoff`` finds the k-th newest time from the time column
+    alone; the rows at or after it -- a literal range on the stored column,
+    pushed into the Parquet scan, so older row groups are skipped -- are then
+    sorted and cut (TakeOrderedAndProject). Exact: at least k rows pass the
+    cutoff, and every row of the top k does; NULL times can only be in the top
+    k when fewer than k rows have a time, and then nothing is filtered.
     """
-    return (by_sentiment(pred, sentiment)
-            .orderBy(F.desc_nulls_last("inserted_at"), F.desc("Id"))
-            .limit(limit))
+    cutoff = newest_cutoff(df, k, ts_col)
+    if cutoff is not None:
+        ts = F.col(ts_col).cast("timestamp")
+        df = df.filter(ts >= F.timestamp_micros(F.lit(cutoff)))
+    return df.orderBy(F.desc_nulls_last(ts_col), F.desc(key_col)).limit(k)
+
+
+def recent(pred: DataFrame, limit: int = 50, sentiment: str | None = None) -> DataFrame:
+    """Newest ``limit`` rows by inserted_at (Id breaks ties, T12), see
+    ``newest_rows``."""
+    return newest_rows(by_sentiment(pred, sentiment), limit)
 
 
 def after_cursor(pred: DataFrame, cursor: int | None, limit: int = 20,

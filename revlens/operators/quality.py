@@ -101,8 +101,8 @@ def freshness(pred: DataFrame, now=None) -> DataFrame:
 def prediction_quality(pred: DataFrame) -> DataFrame:
     """Q5: over the newest 50 rows, unlabelled count (> 10 fails) and mean
     confidence with missing as 0 (< 0.5 fails); NULL confidences are reported."""
-    newest = (pred.orderBy(F.desc_nulls_last(F.col("inserted_at")), F.desc("Id"))
-              .limit(QUALITY_SAMPLE))
+    from revlens.operators.feed import newest_rows
+    newest = newest_rows(pred, QUALITY_SAMPLE)
     lab = F.col("sentiment_label")
     agg = newest.agg(F.count(F.lit(1)).alias("n"),
                      F.count_if(lab.isNull() | (lab == "")).alias("unlabelled"),

@@ -336,3 +336,18 @@ def test_search_pattern_valid_only_in_python_is_searched_literally(spark):
                        {"Id": 2, "Summary": "(?P<x>tea)", "Text": None}])
     assert [r.Id for r in feed.search(df, "(?P<x>tea)").collect()] == [2]
     assert [r.Id for r in feed.search(df, "^t[e]a$").collect()] == [1]   # valid patterns stay regexes
+
+
+def test_newest_rows_equal_full_sort_with_ties_and_nulls(spark):
+    """The cutoff step changes no result: ties at the cutoff, NULL times when fewer
+    than k rows have one, and k larger than the table all match a full sort."""
+    rows = [{"Id": i, "inserted_at": (T0 + dt.timedelta(seconds=i // 3)) if i % 5 else None} for i in range(40)]
+    df = preds(spark, rows)
+
+    def brute(frame, k):
+        return [r.Id for r in frame.orderBy(F.desc_nulls_last("inserted_at"), F.desc("Id")).limit(k).collect()]
+
+    for k in (1, 3, 7, 31, 32, 33, 50):
+        assert [r.Id for r in feed.newest_rows(df, k).collect()] == brute(df, k), k
+    only_nulls = preds(spark, [{"Id": i} for i in range(5)])
+    assert [r.Id for r in feed.newest_rows(only_nulls, 3).collect()] == [4, 3, 2]

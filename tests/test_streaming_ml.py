@@ -258,3 +258,15 @@ def test_monthly_trend_year_range_reaches_the_scan(spark, scratch):
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
     # (Spark abbreviates long filter lists in the plan text, so only the seconds half is matched.)
     assert any("Or(And(GreaterThanOrEqual(Time,1293840000),LessThan(Time,1325376000))" in p for p in pushed)
+
+
+def test_recent_rows_cutoff_reaches_the_scan(spark, scratch):
+    """On a stored table the newest-rows cutoff is a literal range on inserted_at,
+    pushed into the Parquet scan, and the time-only first step reads one column."""
+    from revlens.operators import feed
+    path = os.path.join(scratch, "pred")
+    tables.predictions_keyed(spark, SF_SMALL).write.parquet(path)
+    q = feed.recent(spark.read.parquet(path), 50)
+    q.collect()
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert any("GreaterThanOrEqual(inserted_at," in line for line in plan.splitlines() if "PushedFilters" in line)
