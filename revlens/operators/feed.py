@@ -109,10 +109,23 @@ def recent(pred: DataFrame, limit: int = 50, sentiment: str | None = None) -> Da
 def after_cursor(pred: DataFrame, cursor: int | None, limit: int = 20,
                  newest_first: bool = False) -> DataFrame:
     """L2: rows with Id > cursor. Oldest first by default so a tail never skips rows
-    (T13); ``newest_first`` keeps the reference order."""
+    (T13); ``newest_first`` keeps the reference order.
+
+    Oldest first, the ``limit``-th id after the cursor is found from the Id
+    column alone (per-task top-k, one number to the driver); whole rows are
+    then read only for ids in (cursor, that id] -- literal ranges pushed into
+    the Parquet scan -- so a reader far behind does not read every text after
+    its cursor.
+    """
     df = pred if cursor is None else pred.filter(F.col("Id") > F.lit(cursor))
-    order = F.desc("Id") if newest_first else F.asc("Id")
-    return df.orderBy(order).limit(limit)
+    if newest_first:
+        return df.orderBy(F.desc("Id")).limit(limit)
+    row = (df.select("Id").where(F.col("Id").isNotNull()).orderBy("Id").limit(limit)
+           .agg(F.count(F.lit(1)).alias("n"), F.max("Id").alias("last")).first())
+    if row is not None and row["n"] >= limit:
+        # NULL ids sort first in ascending order, so they stay (only without a cursor).
+        df = df.filter(F.col("Id").isNull() | (F.col("Id") <= F.lit(int(row["last"]))))
+    return df.orderBy(F.asc("Id")).limit(limit)
 
 
 def latest(pred: DataFrame) -> DataFrame:

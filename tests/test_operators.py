@@ -351,3 +351,19 @@ def test_newest_rows_equal_full_sort_with_ties_and_nulls(spark):
         assert [r.Id for r in feed.newest_rows(df, k).collect()] == brute(df, k), k
     only_nulls = preds(spark, [{"Id": i} for i in range(5)])
     assert [r.Id for r in feed.newest_rows(only_nulls, 3).collect()] == [4, 3, 2]
+
+
+def test_after_cursor_equals_full_sort(spark):
+    """The id cutoff changes no result: with and without a cursor, NULL ids, short tails."""
+    # One NULL id only: the order among several NULL ids is a tie (any order is right).
+    rows = [{"Id": i if i != 7 else None, "Summary": str(i)} for i in range(60)]
+    df = preds(spark, rows)
+
+    def brute(cursor, k):
+        f = df if cursor is None else df.filter(F.col("Id") > cursor)
+        return [(r.Id, r.Summary) for r in f.orderBy(F.asc("Id")).limit(k).collect()]
+
+    for cursor in (None, 0, 10, 50, 58, 100):
+        for k in (1, 5, 20):
+            got = [(r.Id, r.Summary) for r in feed.after_cursor(df, cursor, k).collect()]
+            assert got == brute(cursor, k), (cursor, k)
