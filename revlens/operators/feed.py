@@ -71,33 +71,43 @@ def serialise(df: DataFrame, id_cols: tuple[str, ...] = ("Id", "_id")) -> DataFr
     return df.select(*cols)
 
 
-def newest_cutoff(df: DataFrame, k: int, ts_col: str = "inserted_at") -> int | None:
-    """Epoch microseconds of the k-th newest non-null ``ts_col`` (ties count), or
-    None when fewer than k rows have one. Reads only that column: each task
-    keeps its own k newest values, and one number comes back to the driver."""
-    ts = F.col(ts_col).cast("timestamp")
-    row = (df.select(ts.alias("_ts")).where(F.col("_ts").isNotNull())
-           .orderBy(F.desc("_ts")).limit(k)
-           .agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("_ts")).alias("us")).first())
-    return int(row["us"]) if row is not None and row["n"] >= k else None
-
-
-def newest_rows(df: DataFrame, k: int, ts_col: str = "inserted_at", key_col: str = "Id") -> DataFrame:
-    """The ``k`` newest rows by ``ts_col`` (NULL last, ``key_col`` breaks ties, T12).
-
-    Two steps, so wide columns (review texts) are not read for the whole
-    table: ``newest_cutoff`` finds the k-th newest time from the time column
-    alone; the rows at or after it -- a literal range on the stored column,
-    pushed into the Parquet scan, so older row groups are skipped -- are then
-    sorted and cut (TakeOrderedAndProject). Exact: at least k rows pass the
-    cutoff, and every row of the top k does; NULL times can only be in the top
-    k when fewer than k rows have a time, and then nothing is filtered.
+def newest_cutoff(df: DataFrame, k: int, ts_col: str = "inserted_at") -> Column | None:
+    """The k-th newest non-null ``ts_col`` value (ties count) as a literal, or None
+    when fewer than k rows have one. Reads only that column: each task keeps its
+    own k newest values, and one number comes back to the driver. Timestamps
+    travel as epoch microseconds (no time-zone conversion on the driver);
+    numeric times as they are."""
+    is_ts = dict(df.dtypes)[ts_col].startswith("timestamp")
+    c = F.col(ts_col).cast("timestamp") if is_ts else F.col(ts_col)
+    value = F.unix_micros(F.min("_v")) if is_ts else F.min("_v")
+    row = (df.select(c.alias("_v")).where(F.col("_v").isNotNull())
+           .orderBy(F.desc("_v")).limit(k)
+           .agg(F.count(F.lit(1)).alias("n"), value.alias("v")).first())
+    if row is None or row["n"] < k:
+        return None
+    return F.timestamp_micros(F.lit(int(row["v"]))) if is_ts else F.lit(row["v"])
+
+
+def newest_rows(df: DataFrame, k: int, ts_col: str = "inserted_at", key_col: str = "Id",
+                offset: int = 0) -> DataFrame:
+    """Rows ``offset`` .. ``offset + k`` by ``ts_col`` newest first (NULL last,
+    ``key_col`` breaks ties, T12).
+
+    Two steps, so wide columns (review texts) are not read for every row:
+    ``newest_cutoff`` finds the (offset + k)-th newest time from the time
+    column alone; the rows at or after it -- a literal range on the stored
+    column, pushed into the Parquet scan, so older row groups are skipped --
+    are then sorted and cut (TakeOrderedAndProject). Exact: at least
+    offset + k rows pass the cutoff, and every row of the page does; NULL
+    times can only be on the page when fewer rows have a time, and then
+    nothing is filtered.
     """
-    cutoff = newest_cutoff(df, k, ts_col)
+    cutoff = newest_cutoff(df, offset + k, ts_col)
     if cutoff is not None:
-        ts = F.col(ts_col).cast("timestamp")
-        df = df.filter(ts >= F.timestamp_micros(F.lit(cutoff)))
-    return df.orderBy(F.desc_nulls_last(ts_col), F.desc(key_col)).limit(k)
+        c = F.col(ts_col).cast("timestamp") if dict(df.dtypes)[ts_col].startswith("timestamp") else F.col(ts_col)
+        df = df.filter(c >= cutoff)
+    ordered = df.orderBy(F.desc_nulls_last(ts_col), F.desc(key_col))
+    return (ordered.offset(offset) if offset else ordered).limit(k)
 
 
 def recent(pred: DataFrame, limit: int = 50, sentiment: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.labels import LABELS, label_or_neutral
-from revlens.operators.feed import by_sentiment, format_prediction
+from revlens.operators.feed import by_sentiment, format_prediction, newest_rows
 
 
 def product_counts(pred: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def product_page_counts(pred: DataFrame, product_id: str) -> DataFrame:
 def product_newest(pred: DataFrame, product_id: str, limit: int = 20) -> DataFrame:
     """A22 (reviews): the newest ``limit`` reviews of one product by Time, Id breaks ties."""
     df = pred.filter(F.col("ProductId") == product_id)
-    return format_prediction(df.orderBy(F.desc_nulls_last("Time"), F.desc("Id")).limit(limit))
+    return format_prediction(newest_rows(df, limit, "Time"))
 
 
 def product_detail(pred: DataFrame, product_id: str) -> dict[str, DataFrame]:
@@ -111,13 +111,15 @@ def product_reviews(pred: DataFrame, product_id: str, sentiment: str | None = No
                     page: int = 1, page_size: int = 20) -> DataFrame:
     """L3 / L4: one page of a product's reviews, newest first, with the filtered total.
 
-    The page is an ordered offset + limit (TakeOrdered keeps page * size rows per
-    task); the total is a count over the same filter, as a scalar subquery.
+    The page comes from ``newest_rows``: the page's oldest time is found from
+    the Time column, and whole rows are read only from there on (a product
+    holding a third of the table does not have all its texts read for one
+    page); then an ordered offset + limit. The total is a count over the same
+    filter, as a scalar subquery.
     """
     page = max(1, int(page))
     df = by_sentiment(pred.filter(F.col("ProductId") == product_id), sentiment)
-    rows = (df.orderBy(F.desc_nulls_last("Time"), F.desc("Id"))
-            .offset((page - 1) * page_size).limit(page_size))
+    rows = newest_rows(df, page_size, "Time", offset=(page - 1) * page_size)
     total = df.agg(F.count(F.lit(1))).scalar()
     return (format_prediction(rows).withColumn("total", total)
             .withColumn("page", F.lit(page)).withColumn("pageSize", F.lit(page_size)))

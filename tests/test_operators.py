@@ -367,3 +367,14 @@ def test_after_cursor_equals_full_sort(spark):
         for k in (1, 5, 20):
             got = [(r.Id, r.Summary) for r in feed.after_cursor(df, cursor, k).collect()]
             assert got == brute(cursor, k), (cursor, k)
+
+
+def test_newest_rows_pages_on_numeric_time_equal_full_sort(spark):
+    """Pages (offset + limit) by a numeric Time with ties and NULL times match a full sort."""
+    rows = [{"Id": i, "Time": (1300000000 + i // 4) if i % 6 else None} for i in range(45)]
+    df = preds(spark, rows)
+    full = [r.Id for r in df.orderBy(F.desc_nulls_last("Time"), F.desc("Id")).collect()]
+    for size in (1, 5, 20):
+        for offset in (0, 5, 20, 35, 40, 60):
+            got = [r.Id for r in feed.newest_rows(df, size, "Time", offset=offset).collect()]
+            assert got == full[offset:offset + size], (size, offset)
