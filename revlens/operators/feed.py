@@ -129,7 +129,7 @@ def after_cursor(pred: DataFrame, cursor: int | None, limit: int = 20,
     """
     df = pred if cursor is None else pred.filter(F.col("Id") > F.lit(cursor))
     if newest_first:
-        return df.orderBy(F.desc("Id")).limit(limit)
+        return newest_rows(df, limit, "Id")
     row = (df.select("Id").where(F.col("Id").isNotNull()).orderBy("Id").limit(limit)
            .agg(F.count(F.lit(1)).alias("n"), F.max("Id").alias("last")).first())
     if row is not None and row["n"] >= limit:

@@ -363,10 +363,16 @@ def test_after_cursor_equals_full_sort(spark):
         f = df if cursor is None else df.filter(F.col("Id") > cursor)
         return [(r.Id, r.Summary) for r in f.orderBy(F.asc("Id")).limit(k).collect()]
 
+    def brute_newest(cursor, k):
+        f = df if cursor is None else df.filter(F.col("Id") > cursor)
+        return [(r.Id, r.Summary) for r in f.orderBy(F.desc("Id")).limit(k).collect()]
+
     for cursor in (None, 0, 10, 50, 58, 100):
         for k in (1, 5, 20):
             got = [(r.Id, r.Summary) for r in feed.after_cursor(df, cursor, k).collect()]
             assert got == brute(cursor, k), (cursor, k)
+            newest = [(r.Id, r.Summary) for r in feed.after_cursor(df, cursor, k, newest_first=True).collect()]
+            assert newest == brute_newest(cursor, k), (cursor, k, "newest")
 
 
 def test_newest_rows_pages_on_numeric_time_equal_full_sort(spark):
