@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import packing, simhash
+from revlens.llm import fingerprints, language, packing, simhash
 from revlens.sources.tables import table
 
 
@@ -20,7 +20,17 @@ def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_one_permutation_minhash": op3_one_permutation_minhash,
+    "op4_byte_cnn_language": op4_byte_cnn_language,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_shortest_pack_first": op6_shortest_pack_first,
 }
