@@ -240,14 +240,11 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out.append(row)
         return pd.Series(out)
 
-    known = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
     spread = (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
               .withColumn("null", F.col("id").isNull())
-              .withColumn("place", F.explode(places(F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")),
-                                                    F.col("null"))))
+              .withColumn("place", F.explode(places(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.col("null"))))
               .withColumn("block", F.floor(F.col("place") / 2)).withColumn("halo", F.col("place") % 2)
               .drop("place", "null"))
-    del known
     dealt = (spread.repartition(parts, "block")
              .sortWithinPartitions("block", "halo", F.col("id").asc_nulls_first(), F.xxhash64("text"))
              .select("block", "halo", "id", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import fingerprints, language, packing, simhash
+from revlens.llm import fingerprints, language, mixing, packing, simhash, toxicity, url_reputation
 from revlens.sources.tables import table
 
 
@@ -28,11 +28,30 @@ def op4_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+MIX_WEIGHTS = {"domain": {"family0": 3.0, "family1": 2.0, "family2": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}}
+
+
+def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, MIX_WEIGHTS, budget_share=0.6, max_epochs=2, keep=["doc_id", "lang", "source"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_reputation": op1_host_reputation,
+    "op2_string_kernel_toxicity": op2_string_kernel_toxicity,
     "op3_one_permutation_minhash": op3_one_permutation_minhash,
     "op4_byte_cnn_language": op4_byte_cnn_language,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_shortest_pack_first": op6_shortest_pack_first,
+    "op8_hierarchical_mixing": op8_hierarchical_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_host_reputation": url_reputation.ORACLE}
