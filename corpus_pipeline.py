@@ -1,4 +1,10 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's docs."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's docs.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
+kept; all but the last return the columns of ``documents``. NULL and empty texts go
+with language identification (they have no letter); repeated rows of one id
+are judged each, until near-duplicate removal leaves one of them.
+"""
 
 from __future__ import annotations
 
@@ -8,30 +14,54 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import packing, simhash
+from revlens.llm import language, mixing, packing, quality, simhash
 from revlens.session import checkpoint_dir
 from revlens.sources.tables import table
 
-Docs = DataFrame
+# A language is believed from this score on; the quality classifier rejects only what it is sure of.
+LANGUAGE_SCORE = 0.4
+QUALITY_SCORE = 0.3
+MIX_WEIGHTS = {"lang": {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents without a letter, or whose language is not believed, go."""
+    net = language.train(language.training_sample(docs))
+    judged = docs.withColumn("judged_language", language.predict_column(net, "text"))
+    keep = (F.col("judged_language.lang_pred") != language.UNKNOWN) & (F.col("judged_language.score") >= LANGUAGE_SCORE)
+    return judged.filter(keep).drop("judged_language")
 
 
-def near_dedup(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    """Operator 5: of each group of near copies the document with the smallest id stays.
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that both views together call poor go. Scores are joined by id; rows of one id share the best."""
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"))
+    poor = (scored.groupBy("doc_id").agg(F.max("score").alias("best")).filter(F.col("best") < QUALITY_SCORE)
+            .select("doc_id"))
+    return docs.join(poor, "doc_id", "left_anti")
 
-    Repeated rows of one id are one document; the first in a fixed order stays.
-    """
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: of each group of near copies the document with the smallest id stays, once."""
     found = simhash.near_duplicates(docs, width=3, max_distance=2)
     keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def pack(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    """Operator 6: every kept document's pieces with their sequence and offset."""
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: token budgets by domain, language and source; a document stands once for each epoch that takes it."""
+    return mixing.mix(docs, MIX_WEIGHTS, budget_share=1.0, max_epochs=2).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: every row's pieces with their sequence and offset."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("language", identify_language),
+    ("quality", judge_quality),
     ("simhash_near_dedup", near_dedup),
+    ("mixing", mix_sources),
     ("packing", pack),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import fingerprints, language, mixing, packing, simhash, toxicity, url_reputation
+from revlens.llm import ann, fingerprints, language, mixing, packing, quality, simhash, toxicity, url_reputation, warc
 from revlens.sources.tables import table
 
 
@@ -44,6 +44,22 @@ def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_WEIGHTS, budget_share=0.6, max_epochs=2, keep=["doc_id", "lang", "source"])
 
 
+def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    none = F.lit(-1).cast("long")
+    return found.withColumns({"headers": warc.header_text(F.col("headers")), "length": F.coalesce("length", none),
+                              "response_id": F.coalesce("response_id", none)})
+
+
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                   table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": op1_host_reputation,
     "op2_string_kernel_toxicity": op2_string_kernel_toxicity,
@@ -51,7 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_cnn_language": op4_byte_cnn_language,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_shortest_pack_first": op6_shortest_pack_first,
+    "op7_revisit_resolution": op7_revisit_resolution,
     "op8_hierarchical_mixing": op8_hierarchical_mixing,
+    "op9_permutation_index": op9_permutation_index,
+    "op10_cotraining_quality": op10_cotraining_quality,
 }
 
-ORACLES: dict[str, str] = {"op1_host_reputation": url_reputation.ORACLE}
+ORACLES: dict[str, str] = {"op1_host_reputation": url_reputation.ORACLE, "op7_revisit_resolution": warc.ORACLE}
