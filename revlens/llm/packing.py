@@ -125,6 +125,14 @@ def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> li
     """
     open_packs: list[dict[tuple[int, ...], int]] = [{} for _ in range(max_len + 1)]  # by room left
     top = 0
+
+    def put(pack: tuple[int, ...], n: int) -> None:
+        nonlocal top
+        if n:
+            room = max_len - sum(pack)
+            open_packs[room][pack] = open_packs[room].get(pack, 0) + n
+            top = max(top, room)
+
     for length in sorted(histogram, reverse=True):
         if not 0 < length <= max_len:
             raise ValueError(f"length {length} is outside 1..{max_len}")
@@ -133,18 +141,16 @@ def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> li
             while top and not open_packs[top]:
                 top -= 1
             if top < length:
-                room, pack, have = max_len, (), todo
-            else:
-                room = top
-                pack, have = next(iter(open_packs[room].items()))
-                del open_packs[room][pack]
+                # No pack has room: each new one takes as many as fit before the next is opened.
+                many, rest = divmod(todo, max_len // length)
+                put((length,) * (max_len // length), many)
+                put((length,) * rest, 1 if rest else 0)
+                break
+            pack, have = open_packs[top].popitem()
             n = min(have, todo)
             if have > n:
-                open_packs[room][pack] = have - n
-            grown = (*pack, length)
-            into = open_packs[room - length]
-            into[grown] = into.get(grown, 0) + n
-            top = max(top, room - length)
+                open_packs[top][pack] = have - n
+            put((*pack, length), n)
             todo -= n
     return [(n, pack) for packs in open_packs for pack, n in packs.items()]
 
