@@ -1,11 +1,11 @@
 """Deterministic per-row pseudo-random numbers.
 
-``unit_hash(key, seed)`` maps an integer key to [0, 1) with two rounds of
-a 31-bit linear congruential mix. It depends only on the key and the seed,
-never on partitioning or task retries, so sampling and splitting give the
-same rows on any cluster size and after a lost executor is recomputed.
-Pure integer arithmetic (no overflow below 2^63) keeps it inside
-whole-stage codegen and lets plain SQL reproduce it.
+``unit_hash(key, seed, purpose)`` maps a key to [0, 1): the first 52 bits of
+md5("purpose:seed:key"). It depends on nothing but its arguments, so sampling and
+splitting give the same rows on any cluster size and after a lost
+executor is recomputed. Draws for different purposes (or seeds) are
+independent: which split a row is in says nothing about its fold, or about whether it
+survives undersampling. Built-in functions only; plain SQL reproduces it.
 """
 
 from __future__ import annotations
@@ -13,31 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-M31 = 2147483648  # 2^31
-A = 1103515245
-C = 12345
+HEX_DIGITS = 13
+UNIT = float(16 ** HEX_DIGITS)
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _pmod(x: Column) -> Column:
-    return F.pmod(x, F.lit(M31))
+def unit_hash(key, seed: int = 42, purpose: str = "split") -> Column:
+    """A number in [0, 1) per key; NULL keys share the draw of the empty key."""
+    text = F.concat(F.lit(f"{purpose}:{seed}:"), F.coalesce(_c(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("long").cast("double") / F.lit(UNIT)
 
 
-def unit_hash(key, seed: int = 42) -> Column:
-    k = _pmod(_c(key).cast("long") + F.lit(seed))
-    h1 = _pmod(k * A + C)
-    h2 = _pmod((h1 + F.lit(seed)) * A + C)
-    return h2.cast("double") / F.lit(float(M31))
-
-
-def unit_hash_sql(key: str, seed: int = 42) -> str:
-    """The same function as ANSI SQL text (used by the oracle queries)."""
-    def pm(x):
-        return f"((({x}) % {M31} + {M31}) % {M31})"
-    k = pm(f"cast({key} as bigint) + {seed}")
-    h1 = pm(f"{k} * {A} + {C}")
-    h2 = pm(f"({h1} + {seed}) * {A} + {C}")
-    return f"(cast({h2} as double) / {float(M31)})"
+def unit_hash_sql(key: str, seed: int = 42, purpose: str = "split") -> str:
+    """The same function as SQL text (used by the oracle queries)."""
+    text = f"'{purpose}:{seed}:' || coalesce(cast({key} as varchar), '')"
+    return f"(cast(cast('0x' || substr(md5({text}), 1, {HEX_DIGITS}) as bigint) as double) / {UNIT})"

@@ -59,6 +59,9 @@ _STOP_TESTED = [w for w in CLEAN_STOPWORDS if len(w) > 2 and w.isalpha()]
 # Irregular noun plurals for the lemma step (T16: no WordNet offline; a
 # user dictionary table can extend this, see operators.lemmas).
 IRREGULAR_LEMMAS = {
+    "movies": "movie", "calories": "calorie", "brownies": "brownie", "cookies": "cookie", "pies": "pie",
+    "ties": "tie", "lies": "lie", "smoothies": "smoothie", "veggies": "veggie", "foodies": "foodie",
+    "lenses": "lens", "buses": "bus", "gases": "gas", "viruses": "virus", "bonuses": "bonus",
     "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth",
     "mice": "mouse", "geese": "goose", "leaves": "leaf", "knives": "knife", "wives": "wife",
     "lives": "life", "halves": "half", "shelves": "shelf", "loaves": "loaf", "wolves": "wolf",
@@ -105,7 +108,8 @@ def lemma_rule(x: Column) -> Column:
             .when(x.isin(*SINGULAR_S), x)
             .when(x.endswith("sses"), _drop(x, 2))
             .when(x.endswith("ies") & (F.length(x) > 4), F.concat(_drop(x, 3), F.lit("y")))
-            .when(_ends(x, "xes", "zes", "ches", "shes"), _drop(x, 2))
+            .when(x.endswith("aches") & ~_ends(x, "eaches", "oaches"), _drop(x, 1))
+            .when(_ends(x, "xes", "zzes", "ches", "shes"), _drop(x, 2))
             .when(_ends(x, "ss", "us", "is"), x)
             .when(x.endswith("s"), _drop(x, 1))
             .otherwise(x))
@@ -116,16 +120,20 @@ def lemma(x: Column) -> Column:
     return F.coalesce(F.try_element_at(irregular, x), lemma_rule(x))
 
 
-def clean_tokens(col) -> Column:
-    """P3g-P3i: split, drop stopwords (negations kept) and short tokens, lemmatise."""
+def clean_tokens(col, lemmatise: bool = True) -> Column:
+    """P3g-P3i: split, drop stopwords (negations kept) and short tokens, lemmatise.
+
+    Without ``lemmatise`` the tokens stay inflected, as a dictionary table
+    (``operators.lemmas``) must see them.
+    """
     toks = F.split(normalise(col), " ")
     kept = F.filter(toks, lambda t: (F.length(t) > 2) & ~t.isin(*_STOP_TESTED))
-    return F.transform(kept, lemma)
+    return F.transform(kept, lemma) if lemmatise else kept
 
 
-def clean_text(col) -> Column:
+def clean_text(col, lemmatise: bool = True) -> Column:
     """The full cleaning chain, tokens joined by single spaces."""
-    return F.array_join(clean_tokens(col), " ")
+    return F.array_join(clean_tokens(col, lemmatise), " ")
 
 
 def fill_cleaned(cleaned="cleaned", summary="Summary", text="Text") -> Column:
@@ -155,7 +163,8 @@ def clean_text_sql(col: str) -> str:
     rule = (f"case when length(x) <= 3 then x when list_contains({_sql_list(SINGULAR_S)}, x) then x "
             "when suffix(x, 'sses') then regexp_replace(x, 'es$', '') "
             "when suffix(x, 'ies') and length(x) > 4 then regexp_replace(x, 'ies$', 'y') "
-            "when regexp_matches(x, '(xes|zes|ches|shes)$') then regexp_replace(x, 'es$', '') "
+            "when suffix(x, 'aches') and not regexp_matches(x, '(eaches|oaches)$') then regexp_replace(x, 's$', '') "
+            "when regexp_matches(x, '(xes|zzes|ches|shes)$') then regexp_replace(x, 'es$', '') "
             "when regexp_matches(x, '(ss|us|is)$') then x "
             "when suffix(x, 's') then regexp_replace(x, 's$', '') else x end")
     lem = f"coalesce(case x {irregular} end, {rule})"

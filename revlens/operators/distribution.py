@@ -54,7 +54,7 @@ def kpi(pred: DataFrame, now=None, f1_score: float | None = None, window_s: int
     """Total rows, distinct products, rows per second over the last minute
     (rounded to 2) and, when given, the model F1 as a percentage.
 
-    ``now`` defaults to the newest inserted_at. One pass: count,
+    ``now`` defaults to the clock. One pass: count,
     count(distinct ProductId) (map-side de-duplicated before the shuffle,
     so a dominant product costs nothing extra) and a conditional count.
     """

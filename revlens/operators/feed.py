@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +149,11 @@ def _safe_pattern(spark, q: str) -> str:
     as a literal. The check runs in Spark's own dialect on one literal row, so
     a Python-only construct such as ``(?P<name>...)`` is caught as well."""
     try:
-        spark.range(1).select(F.lit("").rlike("(?i)" + q)).collect()
+        spark.range(1).select(F.lit("").rlike("(?iu)" + q)).collect()
         return q
-    except Exception:  # noqa: BLE001 - any compile error means: search literally
+    except PySparkException as e:
+        if "PATTERN" not in f"{e.getCondition()} {e}".upper():
+            raise  # not about the pattern
         return re.escape(q)
 
 
@@ -166,7 +169,7 @@ def search(df: DataFrame, q: str | None, limit: int = 20, literal: bool = False)
         hit = (F.lower(F.coalesce("Summary", F.lit(""))).contains(needle)
                | F.lower(F.coalesce("Text", F.lit(""))).contains(needle))
     else:
-        pat = "(?i)" + _safe_pattern(df.sparkSession, q)
+        pat = "(?iu)" + _safe_pattern(df.sparkSession, q)
         hit = (F.coalesce(F.col("Summary").rlike(pat), F.lit(False))
                | F.coalesce(F.col("Text").rlike(pat), F.lit(False)))
     return df.filter(hit).orderBy("Id").limit(limit)

@@ -1,15 +1,12 @@
 """Lemma dictionary as a table (P3i with a user-supplied ``lemmas`` table: form, lemma).
 
-Two plans, chosen by a bounded count of the dictionary:
+One plan at every dictionary size: the tokens of each distinct text are exploded
+with their position, left-joined to the dictionary (Spark broadcasts it when
+its size allows) and put back in order. The key is the text itself, so rows
+with a NULL or a repeated id keep their own words; a group is one text's tokens.
 
-* up to ``MAP_MAX`` entries: the dictionary becomes a map literal inside the
-  token ``transform`` -- no join, no shuffle, the text never moves;
-* larger: tokens are exploded with their position, left-joined to the
-  dictionary (broadcast only below ``BROADCAST_MAX`` rows, else a shuffle
-  join) and put back in order per document. A group here is one document's
-  tokens, bounded by that document's length.
-
-Words missing from the dictionary fall back to the built-in rules.
+The text should hold raw tokens (``clean_text(.., lemmatise=False)``): the
+dictionary is looked up first, the built-in rules only for words it lacks.
 """
 
 from __future__ import annotations
@@ -18,36 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.text import lemma
-from revlens.operators.grids import checked_broadcast
-
-MAP_MAX = 50_000
-BROADCAST_MAX = 2_000_000
 
 
-def lemmatize_with(df: DataFrame, lemmas: DataFrame, text_col: str = "cleaned", id_col: str = "Id",
-                   out_col: str | None = None) -> DataFrame:
-    """Re-lemmatise the space-separated tokens of ``text_col`` with a dictionary table."""
+def lemmatize_with(df: DataFrame, lemmas: DataFrame, text_col: str = "cleaned", out_col: str | None = None) -> DataFrame:
+    """Lemmatise the space-separated tokens of ``text_col`` with a dictionary table; NULL texts give ''."""
     out_col = out_col or text_col
-    dic = lemmas.select("form", "lemma").dropna().dropDuplicates(["form"])
-    n = dic.limit(MAP_MAX + 1).count()
-    if n <= MAP_MAX:
-        pairs = dic.collect()  # at most MAP_MAX short strings, checked above
-        if not pairs:
-            m = F.create_map().cast("map<string,string>")
-        else:
-            m = F.map_from_arrays(F.array(*[F.lit(r.form) for r in pairs]),
-                                  F.array(*[F.lit(r.lemma) for r in pairs]))
-        toks = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), " "), lambda t: t != "")
-        mapped = F.transform(toks, lambda t: F.coalesce(F.try_element_at(m, t), lemma(t)))
-        return df.withColumn(out_col, F.array_join(mapped, " "))
-
-    toks = (df.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), " ")).alias("pos", "tok"))
-            .filter(F.col("tok") != ""))
-    side, _ = checked_broadcast(dic, BROADCAST_MAX)
-    joined = toks.join(side, toks["tok"] == side["form"], "left")
+    dic = lemmas.select("form", "lemma").dropna().groupBy("form").agg(F.min("lemma").alias("lemma"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    toks = (df.select(text.alias("_key")).distinct()
+            .select("_key", F.posexplode(F.split("_key", " ")).alias("pos", "tok")).filter(F.col("tok") != ""))
+    joined = toks.join(dic, toks["tok"] == dic["form"], "left")
     word = F.coalesce(F.col("lemma"), lemma(F.col("tok")))
-    per_doc = (joined.groupBy(id_col)
-               .agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), word.alias("w")))).alias("_t"))
-               .select(id_col, F.array_join(F.transform("_t", lambda x: x["w"]), " ").alias("_lem")))
-    return (df.join(per_doc, id_col, "left")
-            .withColumn(out_col, F.coalesce(F.col("_lem"), F.lit(""))).drop("_lem"))
+    per_text = (joined.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), word.alias("w")))).alias("_t"))
+                .select("_key", F.array_join(F.transform("_t", lambda x: x["w"]), " ").alias("_lem")))
+    return (df.withColumn("_key", text).join(per_text, "_key", "left")
+            .withColumn(out_col, F.coalesce(F.col("_lem"), F.lit(""))).drop("_lem", "_key"))

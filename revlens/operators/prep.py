@@ -52,51 +52,58 @@ def stratified_split(df: DataFrame, train: float = 0.8, val: float = 0.1, seed:
     return df.withColumn("split", split)
 
 
+MAX_CLASSES = 1000
+
+
 def stratified_split_exact(df: DataFrame, train_pct: int = 80, val_pct: int = 10, seed: int = 42,
-                           key_col: str = "Id", label_col: str = "sentiment",
-                           partitions: int | None = None) -> DataFrame:
+                           key_col: str = "Id", label_col: str = "sentiment", buckets: int = 4096) -> DataFrame:
     """L9 with exact per-class sizes: in every class of n rows, ordered by the
     seeded hash, the first n - ceil(n * (100 - train_pct) / 100) rows are train;
     of the rest, ceil(rest * test_pct / (val_pct + test_pct)) are test and the
     others val (the split sizes of a two-step 80/20 then 50/50 split).
 
-    The rank inside a class is found without a per-class window (one class
-    may hold most rows):
-    1. range-partition by (class, hash, id): each partition holds a
-       contiguous slice of the global order;
-    2. rank rows inside their (partition, class) group -- bounded by the
-       partition size;
-    3. add the number of same-class rows in all earlier partitions, from a
-       table of per-(partition, class) counts (partitions x classes rows,
-       broadcast; 100 000 partitions x 3 classes is still only 300 000 rows).
+    No class is ranked as a whole (one may hold most rows), and nothing
+    depends on how rows are partitioned:
+    1. rows are counted per (class, hash bucket); only key and label are read;
+    2. running totals of the counts name the bucket in which each class passes
+       from train to val and from val to test (one row per class on the driver);
+    3. every other bucket lies on one side: its rows are assigned by comparison,
+       in place; only rows of the (at most two) boundary buckets are ranked.
     """
-    spark = df.sparkSession
-    # As many ranges as the session's shuffle width (sized from the input by
-    # session.apply_scale_conf) or the core count, whichever is larger, so a
-    # range -- and the rank sort inside it -- stays at shuffle-partition size.
-    n_parts = partitions or max(spark.sparkContext.defaultParallelism,
-                                int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     test_pct = 100 - train_pct - val_pct
-    u = unit_hash(key_col, seed)
-    ranged = (df.withColumn("_u", u)
-              .repartitionByRange(n_parts, F.col(label_col), F.col("_u"), F.col(key_col))
-              .withColumn("_pid", F.spark_partition_id()))
-    part_counts = ranged.groupBy("_pid", label_col).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(label_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part_counts.select(
-        "_pid", label_col, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(label_col)).alias("_class_n"))
-    in_part = Window.partitionBy("_pid", label_col).orderBy("_u", key_col)
-    ranked = (ranged.withColumn("_r", F.row_number().over(in_part) - 1)
-              .join(F.broadcast(offsets), ["_pid", label_col])
-              .withColumn("_rank", F.col("_off") + F.col("_r")))
-    n = F.col("_class_n")
-    n_rest = idiv_ceil(n * (100 - train_pct), 100)
-    n_test = idiv_ceil(n_rest * test_pct, val_pct + test_pct)
-    n_train = n - n_rest
-    split = (F.when(F.col("_rank") < n_train, F.lit(TRAIN))
-             .when(F.col("_rank") < n - n_test, F.lit(VAL)).otherwise(F.lit(TEST)))
-    return ranked.withColumn("split", split).drop("_u", "_pid", "_r", "_off", "_class_n", "_rank")
+    marked = (df.withColumn("_u", unit_hash(key_col, seed))
+              .withColumn("_b", F.floor(F.col("_u") * buckets).cast("int")))
+    counts = marked.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum("_n").over(Window.partitionBy(label_col))
+    rest = idiv_ceil(n * (100 - train_pct), 100)
+    test = idiv_ceil(rest * test_pct, val_pct + test_pct)
+    totals = counts.select(label_col, "_b", "_n", F.sum("_n").over(upto).alias("_upto"),
+                           (n - rest).alias("_val_from"), (n - test).alias("_test_from"))
+    passes = lambda at: F.min(F.when(F.col("_upto") > F.col(at), F.struct("_b", (F.col("_upto") - F.col("_n")).alias("o"))))
+    edges = (totals.groupBy(label_col).agg(F.first("_val_from").alias("v"), F.first("_test_from").alias("t"),
+                                           passes("_val_from").alias("bv"), passes("_test_from").alias("bt"))
+             .limit(MAX_CLASSES + 1).collect())
+    if len(edges) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label_col}")
+    bucket, at = F.col("_b"), F.col("_rank")
+    sure, ranked, offset, on_edge = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0), F.lit(False)
+    for r in edges:
+        own = F.col(label_col).eqNullSafe(F.lit(r[label_col]))
+        bv, bt = (e["_b"] if e else buckets for e in (r["bv"], r["bt"]))
+        mixed = (bucket == bv) | (bucket == bt)
+        on_edge = on_edge | (own & mixed)
+        sure = F.when(own & ~mixed, F.when(bucket < bv, F.lit(TRAIN)).when(bucket < bt, F.lit(VAL))
+                      .otherwise(F.lit(TEST))).otherwise(sure)
+        ranked = F.when(own, F.when(at < r["v"], F.lit(TRAIN)).when(at < r["t"], F.lit(VAL))
+                        .otherwise(F.lit(TEST))).otherwise(ranked)
+        for e in (r["bv"], r["bt"]):
+            if e:
+                offset = F.when(own & (bucket == e["_b"]), F.lit(e["o"])).otherwise(offset)
+    inside = Window.partitionBy(label_col, "_b").orderBy("_u", key_col)
+    last = (marked.filter(on_edge).withColumn("_rank", offset + F.row_number().over(inside) - 1)
+            .withColumn("split", ranked).drop("_rank"))
+    return marked.filter(~on_edge).withColumn("split", sure).unionByName(last).drop("_u", "_b")
 
 
 def idiv_ceil(a, b):
@@ -124,7 +131,7 @@ def undersample_majority(df: DataFrame, fraction: float | None = None, ratio: fl
     """
     if fraction is None:
         fraction = undersample_fraction(class_counts(df), ratio)
-    u = unit_hash(key_col, seed + 1)
+    u = unit_hash(key_col, seed, "undersample")
     keep = (F.col("sentiment") != POSITIVE) | (u < F.lit(float(fraction)))
     return df.filter(F.col("sentiment").isNotNull() & keep)
 
@@ -155,7 +162,7 @@ def examples_per_class(df: DataFrame, k: int = 2, seed: int = 42, label_col: str
     ``row_number() <= k`` is planned with a partial WindowGroupLimit, so
     each task forwards only k rows per class to the shuffle.
     """
-    u = unit_hash(key_col, seed)
+    u = unit_hash(key_col, seed, "example")
     rn = F.row_number().over(Window.partitionBy(label_col).orderBy(u, F.col(key_col)))
     return df.withColumn("_rn", rn).filter(F.col("_rn") <= k).withColumnRenamed("_rn", "example")
 

@@ -82,7 +82,7 @@ def sample_by_label(df: DataFrame, k: int, label_col: str = "sentiment_label",
     A label whose candidates fall short of k is redone with threshold 1,
     so the result is exact.
     """
-    u = unit_hash(key_col, seed)
+    u = unit_hash(key_col, seed, "sample")
     counts = {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}
 
     def threshold(n):

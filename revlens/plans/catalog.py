@@ -177,13 +177,15 @@ def q_label_shares(spark, d):
     return distribution.label_shares(_pb(spark, d))
 
 
+KPI_NOW = "2023-06-01 00:00:00"  # a fixed clock before the end of the data, so that rows count
+
+
 @register("kpi", V(f"""
 select count(*) as totalPredictions, count(distinct ProductId) as uniqueProducts,
-       round(count(*) filter (where inserted_at >= {"(select max(inserted_at) from predictions_keyed)"}
-                                                  - interval 60 seconds) / 60.0, 2) as throughput
+       round(count(*) filter (where inserted_at >= timestamp '{KPI_NOW}' - interval 60 seconds) / 60.0, 2) as throughput
 from predictions_keyed""", "predictions_keyed"))
 def q_kpi(spark, d):
-    return distribution.kpi(_pk(spark, d))
+    return distribution.kpi(_pk(spark, d), KPI_NOW)
 
 
 @register("product_vs_global", V("""
@@ -436,6 +438,19 @@ def q_search(spark, d):
     return feed.search(T.reviews(spark, d), SEARCH_TERM, 20).select("Id", "ProductId", "Summary")
 
 
+UNICODE_TERM = "CIÓN"
+
+
+@register("search_unicode", V(f"""
+select Id, ProductId, Summary from reviews
+where coalesce(regexp_matches(Summary, '{UNICODE_TERM}', 'i'), false)
+   or coalesce(regexp_matches(Text, '{UNICODE_TERM}', 'i'), false)
+order by Id limit 20""", "reviews"))
+def q_search_unicode(spark, d):
+    """The match ignores case beyond ASCII."""
+    return feed.search(T.reviews(spark, d), UNICODE_TERM, 20).select("Id", "ProductId", "Summary")
+
+
 @register("text_preview", V("""
 select Id, case when length(coalesce(Text, '')) > 100 then substring(coalesce(Text, ''), 1, 100) || '…'
                 else coalesce(Text, '') end as preview
@@ -462,6 +477,7 @@ select Id, ProductId, UserId, Time, Summary, Text,
        case sentiment when 0 then 'negative' when 1 then 'neutral' when 2 then 'positive' end as sentiment_label
 from reviews"""
 _U_SPLIT = unit_hash_sql("Id", 42)
+_U_EXAMPLE = unit_hash_sql("Id", 42, "example")
 _SPLIT_SQL = f"""
 select *, case when {_U_SPLIT} < 0.8 then 'train' when {_U_SPLIT} < 0.9 then 'val' else 'test' end as split
 from cleaned"""
@@ -537,6 +553,48 @@ def q_split_assignment_exact(spark, d):
     return prep.stratified_split_exact(_cleaned(spark, d)).select("Id", "sentiment", "split")
 
 
+@register("split_exact_wide", V(f"""
+select Id, sentiment, Summary, Text, cleaned,
+       case when r < n - (n * 20 + 99) // 100 then 'train'
+            when r < n - (((n * 20 + 99) // 100) * 10 + 19) // 20 then 'val' else 'test' end as split
+from (select *, row_number() over (partition by sentiment order by {_U_SPLIT}, Id) - 1 as r,
+             count(*) over (partition by sentiment) as n from cleaned) x""", "reviews", ctes={"cleaned": _CLEANED_SQL}))
+def q_split_exact_wide(spark, d):
+    """L9, exact sizes, with the texts kept."""
+    return prep.stratified_split_exact(_cleaned(spark, d)).select("Id", "sentiment", "Summary", "Text", "cleaned", "split")
+
+
+# A fixture with the corpus's imbalance: far more positives than 3 x neutral (the fraction is below 1).
+_SKEWED_SQL = """select Id, case when Id % 20 = 0 then 1 when Id % 20 < 4 then 0 else 2 end as sentiment from reviews"""
+_U_BAL2 = unit_hash_sql("Id", 42, "undersample")
+_U_FOLD = unit_hash_sql("Id", 42, "fold")
+
+
+def _skewed(spark, d):
+    from pyspark.sql import functions as F
+    k = F.col("Id") % 20
+    return T.reviews(spark, d).select("Id", F.when(k == 0, 1).when(k < 4, 0).otherwise(2).alias("sentiment"))
+
+
+@register("undersample_skewed", V(f"""
+select Id, sentiment from skewed where sentiment <> 2
+   or {_U_BAL2} < (select least(3.0 * count(*) filter (where sentiment = 1) / count(*) filter (where sentiment = 2), 1.0) from skewed)""",
+                                  "reviews", ctes={"skewed": _SKEWED_SQL}))
+def q_undersample_skewed(spark, d):
+    """L8 + U1 where rows are dropped: 16 of 20 positive, 1 of 20 neutral."""
+    return prep.undersample_majority(_skewed(spark, d))
+
+
+@register("cv_folds", V(f"""
+select cast(floor({_U_FOLD} * 3) as integer) as fold, sentiment, count(*) as n from skewed group by 1, 2""",
+                        "reviews", ctes={"skewed": _SKEWED_SQL}))
+def q_cv_folds(spark, d):
+    """M3: size of each fold and class; every fold holds every class."""
+    from pyspark.sql import functions as F
+    from revlens.plans import training
+    return (training.with_folds(_skewed(spark, d)).groupBy("fold", "sentiment").agg(F.count(F.lit(1)).alias("n")))
+
+
 @register("split_report", V(f"""
 select split, sentiment, n, split_rows, {share_sql('n', 'split_rows', 100, 1)} as pct_of_split,
        {share_sql('split_rows', 'cast(sum(n) over () as bigint)', 100, 1)} as split_pct
@@ -558,7 +616,7 @@ def q_split_verify(spark, d):
 _BAL_FRACTION_SQL = """(select case when count(*) filter (where sentiment = 2) = 0 then 1.0
         else least(3.0 * count(*) filter (where sentiment = 1) / count(*) filter (where sentiment = 2), 1.0) end
         from train)"""
-_U_BAL = unit_hash_sql("Id", 43)
+_U_BAL = unit_hash_sql("Id", 42, "undersample")
 _BALANCED_SQL = f"""select * from train where sentiment is not null
   and (sentiment <> 2 or {_U_BAL} < {_BAL_FRACTION_SQL})"""
 
@@ -586,20 +644,22 @@ def q_class_weights(spark, d):
 
 @register("examples_per_class", V(f"""
 select Id, sentiment, example from (
-  select Id, sentiment, cast(row_number() over (partition by sentiment order by {_U_SPLIT}, Id) as integer)
+  select Id, sentiment, cast(row_number() over (partition by sentiment order by {_U_EXAMPLE}, Id) as integer)
          as example from cleaned) x where example <= 2""", "reviews", ctes={"cleaned": _CLEANED_SQL}))
 def q_examples_per_class(spark, d):
     return prep.examples_per_class(_cleaned(spark, d), 2).select("Id", "sentiment", "example")
 
 
 # --------------------------------------------------------------------- ML
-# Training reads only these columns; caching them (not the raw texts) keeps the
-# cached table at the size of the cleaned text.
+# Training reads only these columns of the written split table.
 _TRAIN_COLS = ("Id", "cleaned", "sentiment", "split")
 
 
-def _split_spread(spark, d):
-    return _split(spark, d)
+def _written_split(spark, d):
+    """The split table, written once to the shared folder and read back (nothing stays cached)."""
+    path = _scratch(spark, "split")
+    _split(spark, d).select(*_TRAIN_COLS).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("score_test_split")
@@ -608,7 +668,7 @@ def q_score_test_split(spark, d):
     balanced train split and score the test split (no SQL oracle: model fit)."""
     from pyspark.sql import functions as F
     from revlens.plans import scoring, training
-    split_df = _split_spread(spark, d).select(*_TRAIN_COLS).cache()
+    split_df = _written_split(spark, d)
     balanced, _, test = training.training_tables(split_df)
     model = training.fit_logreg(balanced)
     scored = scoring.score(model, test)
@@ -621,14 +681,17 @@ def q_model_selection(spark, d):
     """M2 + M4 + M5 + A9 + S13: logistic regression vs naive Bayes on validation F1,
     test metrics of the winner, as the one-row metadata record."""
     from revlens.plans import training
-    split_df = _split_spread(spark, d).select(*_TRAIN_COLS).cache()
+    split_df = _written_split(spark, d)
     result = training.train(split_df, use_cv=False)
     return training.metadata_frame(spark, result["metadata"]).drop("trained_on")
 
 
 # ---------------------------------------------------------------- quality
 _CHECK_COLS = '"check", status, value, threshold, detail'
-_NOW_SQL = "(select max(inserted_at) from predictions_keyed)"
+# The checks are measured against a fixed clock, so that they can fail and give the same answer when re-run.
+CHECK_NOW = "2024-01-15 12:00:00"
+EARLY_NOW = "2023-06-01 00:00:00"
+_NOW_SQL = f"timestamp '{CHECK_NOW}'"
 _FRESH_SQL = f"""
 select 'stats_freshness' as "check",
        case when total = 0 then 'skip' when recent = 0 then 'fail' else 'ok' end as status,
@@ -690,7 +753,7 @@ def _traffic(spark, d):
 
 @register("stats_freshness", V(_FRESH_SQL, "predictions_keyed"))
 def q_stats_freshness(spark, d):
-    return quality.freshness(_pk(spark, d))
+    return quality.freshness(_pk(spark, d), CHECK_NOW)
 
 
 @register("prediction_quality", V(_QUALITY_SQL, "predictions_keyed", ctes={"q": _Q_CTE}))
@@ -700,7 +763,7 @@ def q_prediction_quality(spark, d):
 
 @register("pipeline_latency", V(_LATENCY_SQL, "predictions_keyed"))
 def q_pipeline_latency(spark, d):
-    return quality.latency(_pk(spark, d))
+    return quality.latency(_pk(spark, d), CHECK_NOW)
 
 
 @register("sentiment_balance", V(_BALANCE_SQL, "predictions_keyed"))
@@ -714,6 +777,65 @@ def q_source_traffic(spark, d):
     return _traffic(spark, d)
 
 
+_LIVE = "event_type in ('purchase', 'signup')"
+
+
+@register("live_traffic", V(_TRAFFIC_SQL.replace("'source_traffic'", "'live_traffic'"), "predictions_keyed", ctes={
+    "per": _PER_SQL.replace("from events", f"from events where {_LIVE}"),
+    "snaps": _SNAP_SQL.replace("'events' as topic", "'predictions-live' as topic")}))
+def q_live_traffic(spark, d):
+    """Q3: the same check over the snapshots of the live topic (here: the events that end in a positive prediction)."""
+    from pyspark.sql import functions as F
+    live = T.table(spark, d, "events").filter(_LIVE)
+    return (quality.traffic(quality.event_snapshots(live, topic="predictions-live"), "live_traffic")
+            .withColumn("run_s", F.unix_seconds("run_time")).drop("run_time"))
+
+
+def _cases_sql(sql: str) -> str:
+    """One check over three tables and clocks: fresh (every row is newer than the clock less the window), late, empty."""
+    parts = []
+    for case, now, where in (("early", EARLY_NOW, "true"), ("late", CHECK_NOW, "true"), ("empty", CHECK_NOW, "Id < 0")):
+        body = sql.replace(_NOW_SQL, f"timestamp '{now}'").replace("from predictions_keyed", f"from predictions_keyed where {where}")
+        parts.append(f"select '{case}' as case_name, * from ({body}) t_{case}")
+    return " union all ".join(parts)
+
+
+def _cases(check, pred):
+    from pyspark.sql import functions as F
+    out = None
+    for case, now, rows in (("early", EARLY_NOW, pred), ("late", CHECK_NOW, pred), ("empty", CHECK_NOW, pred.filter("Id < 0"))):
+        part = check(rows, now).withColumn("case_name", F.lit(case))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("freshness_cases", V(_cases_sql(_FRESH_SQL), "predictions_keyed"))
+def q_freshness_cases(spark, d):
+    """Q4 ok, fail and skip: fresh, late and empty table."""
+    return _cases(quality.freshness, _pk(spark, d))
+
+
+@register("latency_cases", V(_cases_sql(_LATENCY_SQL), "predictions_keyed"))
+def q_latency_cases(spark, d):
+    """Q6 ok, fail and skip."""
+    return _cases(quality.latency, _pk(spark, d))
+
+
+@register("balance_cases", V(" union all ".join(
+    f"select '{n}' as case_name, * from ({_BALANCE_SQL.replace('from predictions_keyed', 'from predictions_keyed where ' + w)}) t_{n}"
+    for n, w in (("all", "true"), ("negative", "sentiment_label = 'negative'"), ("positive", "sentiment_label = 'positive'"),
+                 ("few", "Id < 50"))), "predictions_keyed"))
+def q_balance_cases(spark, d):
+    """Q7 ok, fail on either side, and skip."""
+    from pyspark.sql import functions as F
+    out = None
+    for name, where in (("all", "true"), ("negative", "sentiment_label = 'negative'"),
+                        ("positive", "sentiment_label = 'positive'"), ("few", "Id < 50")):
+        part = quality.balance(_pk(spark, d).filter(where)).withColumn("case_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _STEPS = ("case \"check\" when 'inputs_exist' then 1 when 'source_traffic' then 2 when 'live_traffic' then 3 "
           "when 'stats_freshness' then 4 when 'prediction_labels' then 5 when 'prediction_confidence' then 5 "
           "when 'pipeline_latency' then 6 when 'sentiment_balance' then 7 end")
@@ -739,11 +861,11 @@ def q_quality_report(spark, d):
     pk = _pk(spark, d)
     inputs = quality.inputs_exist(spark, {t: os.path.join(d, f"{t}.parquet") for t in ("events", "lineitem")})
     last_run = _traffic(spark, d).orderBy(F.desc("run_s")).limit(1)
-    return quality.report(inputs, last_run, quality.freshness(pk), quality.prediction_quality(pk),
-                          quality.latency(pk), quality.balance(pk))
+    return quality.report(inputs, last_run, quality.freshness(pk, CHECK_NOW), quality.prediction_quality(pk),
+                          quality.latency(pk, CHECK_NOW), quality.balance(pk))
 
 
-_U_SAMPLE = unit_hash_sql("Id", 42)
+_U_SAMPLE = unit_hash_sql("Id", 42, "sample")
 
 
 @register("sample_per_label", V(f"""
@@ -843,7 +965,7 @@ def q_stream_scoring(spark, d):
     from revlens.sources import messages
     from revlens.streaming import scoring as sscore
     split_df = _split(spark, d)
-    balanced, _, _ = training.training_tables(split_df.select(*_TRAIN_COLS).cache())
+    balanced, _, _ = training.training_tables(_written_split(spark, d))
     model = training.fit_logreg(balanced)
     inbox = _scratch(spark, "inbox")
     test = split_df.filter(F.col("split") == "test").withColumn(

@@ -71,6 +71,11 @@ def fit_naive_bayes(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=tfidf_stages() + [naive_bayes()]).fit(train)
 
 
+def with_folds(df: DataFrame, folds: int = CV_FOLDS, key_col: str = "Id") -> DataFrame:
+    """``fold`` 0 .. folds - 1 from a seeded hash of the id, independent of the split and of undersampling."""
+    return df.withColumn("fold", F.floor(unit_hash(key_col, SEED, "fold") * folds).cast("int"))
+
+
 def cross_validate(train: DataFrame, folds: int = CV_FOLDS, reg_params=None, max_iters=None,
                    parallelism: int = 1, key_col: str = "Id") -> CrossValidatorModel:
     """M3: grid over regParam x maxIter, k folds, weighted F1, seed 42.
@@ -84,7 +89,7 @@ def cross_validate(train: DataFrame, folds: int = CV_FOLDS, reg_params=None, max
             .addGrid(lr.regParam, reg_params or CV_REG_PARAMS)
             .addGrid(lr.maxIter, max_iters or CV_MAX_ITERS)
             .build())
-    data = train.withColumn("fold", F.floor(unit_hash(key_col, SEED) * folds).cast("int"))
+    data = with_folds(train, folds, key_col)
     cv = CrossValidator(estimator=Pipeline(stages=tfidf_stages() + [lr]), estimatorParamMaps=grid,
                         evaluator=evaluator("f1"), numFolds=folds, seed=SEED, parallelism=parallelism,
                         foldCol="fold")

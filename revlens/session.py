@@ -76,13 +76,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset -- local tests -- a scratch folder is created and registered.
+    unset and the master is local a scratch folder is created and registered;
+    on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: executors of a cluster need a shared folder")
     if not path:
         path = tempfile.mkdtemp(prefix="revlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)

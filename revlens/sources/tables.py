@@ -55,7 +55,7 @@ def compact_predictions(spark: SparkSession, src: str, dst: str, files_per_day:
     """Rewrite the stream's batch_id-partitioned prediction table for reading.
 
     Output: partitioned by ingest date, each day range-clustered and sorted by
-    (ProductId, Time), with a Parquet bloom filter on ProductId. Product
+    (ProductId, Time, Id), with a Parquet bloom filter on ProductId. Product
     pages and product filters (``ProductId = x``) then skip whole files
     and row groups by min/max statistics and the bloom filter; trend queries
     prune by date. Runs as one range-partitioned shuffle; it is a written
@@ -72,7 +72,7 @@ def compact_predictions(spark: SparkSession, src: str, dst: str, files_per_day:
     df = df.withColumn("ingest_date", F.to_date(F.col("inserted_at")))
     n = files_per_day or max(spark.sparkContext.defaultParallelism,
                              int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = (df.repartitionByRange(n, "ingest_date", "ProductId")
+    out = (df.repartitionByRange(n, "ingest_date", "ProductId", "Time", "Id")
            .sortWithinPartitions("ingest_date", "ProductId", "Time"))
     (out.write.mode(mode).partitionBy("ingest_date")
      .option("parquet.bloom.filter.enabled#ProductId", "true")
@@ -129,7 +129,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("UserId"),
         (F.lit(REVIEW_EPOCH0) + F.lit(DAY) * F.col("doc_id")).alias("Time"),
         (F.lit(1) + F.col("doc_id") % 5).cast("int").alias("Score"),
-        F.substring("text", 1, 60).alias("Summary"),
+        F.when(F.col("doc_id") % 10 != 0, F.col("source")).alias("Summary"),
         F.col("text").alias("Text"),
     )
 
@@ -165,7 +165,7 @@ from events"""
 
 REVIEWS_SQL = f"""
 select doc_id as Id, source as ProductId, lang as UserId, {REVIEW_EPOCH0} + {DAY} * doc_id as Time,
-       cast(1 + doc_id % 5 as integer) as Score, substring(text, 1, 60) as Summary, text as Text,
+       cast(1 + doc_id % 5 as integer) as Score, case when doc_id % 10 <> 0 then source end as Summary, text as Text,
        case when 1 + doc_id % 5 < 3 then 0 when 1 + doc_id % 5 = 3 then 1 else 2 end as sentiment
 from documents"""
 

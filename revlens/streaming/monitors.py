@@ -1,7 +1,8 @@
 """Stateful stream monitors and progress snapshots (T2s, T3s, T4s, T5s).
 
-State stays bounded: label counters hold one row per label; throughput
-windows are dropped once the watermark passes them.
+Label counters hold one row per label. Throughput windows are kept for as long as
+the query runs in complete mode (``start_snapshot_query``): Spark drops windows behind
+the watermark only in append or update mode.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from revlens.schemas import OFFSET_SNAPSHOT, PREDICTION
 
@@ -34,7 +35,7 @@ def throughput_stream(stream: DataFrame, ts_col: str = "inserted_at", width: str
 def tail_predictions(spark: SparkSession, table_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """T3s: new rows of the stored prediction table as a stream (no id cursor needed:
     the file source remembers which files it has delivered)."""
-    schema = StructType(PREDICTION.fields + [StructField("batch_id", LongType(), True)])
+    schema = StructType(PREDICTION.fields + [StructField("run", StringType(), True), StructField("batch_id", LongType(), True)])
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -8,15 +8,19 @@ Two ways to run it:
 * ``start_single_pass`` scores each micro-batch once and writes both
   outputs from one ``foreachBatch``.
 
-The stats sink writes each micro-batch to ``<table>/batch_id=<id>`` with
-overwrite, so a batch replayed after a failure replaces its own output
-instead of adding duplicates (T8). Everything runs on the executors; no
+The stats sink writes each micro-batch to ``<table>/run=<run>/batch_id=<id>``.
+The run is a name kept in the query's checkpoint: a restart goes on with it,
+while a fresh checkpoint (whose batch ids start at 0 again) or a second
+query gets its own folder and never replaces stored rows. A batch that is already
+committed is skipped when replayed, so neither the table nor a stream
+that tails it sees a row twice (T8). Everything runs on the executors; no
 batch is pulled to the driver.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +48,58 @@ def stamp(batch: DataFrame) -> DataFrame:
     return batch.withColumn("inserted_at", F.current_timestamp())
 
 
-def write_stats_batch(batch: DataFrame, batch_id: int, table_path: str) -> int:
-    """S7 + A26: skip an empty batch; otherwise write it as partition
-    batch_id=<id> (idempotent) and return the rows written, counted by an
+def _fs_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the query that owns this checkpoint: an empty file ``run-<name>`` beside its metadata."""
+    fs, folder = _fs_path(spark, os.path.join(checkpoint, "sink"))
+    if fs.exists(folder):
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("run-"):
+                return name[len("run-"):]
+    name = uuid.uuid4().hex
+    fs, path = _fs_path(spark, os.path.join(checkpoint, "sink", f"run-{name}"))
+    fs.create(path).close()
+    return name
+
+
+def batch_path(table_path: str, run: str, batch_id: int) -> str:
+    return os.path.join(table_path, f"run={run}", f"batch_id={batch_id}")
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    fs, mark = _fs_path(spark, os.path.join(path, "_SUCCESS"))
+    return bool(fs.exists(mark))
+
+
+def write_stats_batch(batch: DataFrame, batch_id: int, table_path: str, run: str = "0") -> int:
+    """S7 + A26: skip an empty or already committed batch; otherwise write it as
+    partition run=<run>/batch_id=<id> and return the rows written, counted by an
     observed metric during the write (no second pass over the batch)."""
-    if batch.isEmpty():
+    path = batch_path(table_path, run, batch_id)
+    if committed(batch.sparkSession, path):
         return 0
-    obs = Observation(f"stats_batch_{batch_id}")
-    out = stamp(batch).observe(obs, F.count(F.lit(1)).alias("rows"))
-    out.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
-    return int(obs.get["rows"])
+    batch = batch.persist()  # scored once for the emptiness test and the write
+    try:
+        if batch.isEmpty():
+            return 0
+        obs = Observation(f"stats_batch_{batch_id}_{uuid.uuid4().hex}")
+        stamp(batch).observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        return int(obs.get["rows"])
+    finally:
+        batch.unpersist()
 
 
 def start_stats_query(scored: DataFrame, table_path: str, checkpoint: str,
                       trigger: str = STATS_TRIGGER, available_now: bool = False):
     """S7 as its own streaming query."""
+    run = run_name(scored.sparkSession, checkpoint)
     w = (scored.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda b, i: write_stats_batch(b, i, table_path)))
+         .foreachBatch(lambda b, i: write_stats_batch(b, i, table_path, run)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
     return w.start()
 
@@ -91,14 +130,17 @@ def start_two_queries(raw: DataFrame, model, table_path: str, checkpoint_root: s
     return q_live, q_stats
 
 
-def write_both_batch(batch: DataFrame, batch_id: int, table_path: str, live_path: str) -> None:
-    """One micro-batch: score once (persisted), write the stats partition and the live records."""
-    if batch.isEmpty():
-        return
+def write_both_batch(batch: DataFrame, batch_id: int, table_path: str, live_path: str, run: str = "0") -> None:
+    """One micro-batch: score once (persisted), write the stats partition and the live records (each unless committed)."""
+    stored, live = batch_path(table_path, run, batch_id), batch_path(live_path, run, batch_id)
     stamped = stamp(batch).persist()
     try:
-        stamped.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
-        live_records(stamped).write.mode("overwrite").json(os.path.join(live_path, f"batch_id={batch_id}"))
+        if stamped.isEmpty():
+            return
+        if not committed(batch.sparkSession, stored):
+            stamped.write.mode("overwrite").parquet(stored)
+        if not committed(batch.sparkSession, live):
+            live_records(stamped).write.mode("overwrite").json(live)
     finally:
         stamped.unpersist()
 
@@ -107,12 +149,13 @@ def start_single_pass(raw: DataFrame, model, table_path: str, live_path: str, ch
                       trigger: str = LIVE_TRIGGER, available_now: bool = False):
     """T1s alternative: one query, each batch scored once, both outputs idempotent per batch."""
     scored = scored_stream(raw, model)
+    run = run_name(scored.sparkSession, checkpoint)
     w = (scored.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda b, i: write_both_batch(b, i, table_path, live_path)))
+         .foreachBatch(lambda b, i: write_both_batch(b, i, table_path, live_path, run)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
     return w.start()
 
 
 def read_stats_table(spark: SparkSession, table_path: str) -> DataFrame:
-    """S9 over the stats sink output (batch_id is a partition column)."""
+    """S9 over the stats sink output (run and batch_id are partition columns)."""
     return spark.read.parquet(table_path)

@@ -209,7 +209,7 @@ def test_heatmap_grid(spark):
 def test_kpi(spark):
     df = preds(spark, [{"ProductId": p, "inserted_at": T0 - dt.timedelta(seconds=s)}
                        for p, s in [("a", 0), ("a", 30), ("b", 61), (None, 120)]])
-    r = distribution.kpi(df, f1_score=0.8274).first()
+    r = distribution.kpi(df, T0, f1_score=0.8274).first()
     assert (r.totalPredictions, r.uniqueProducts, r.throughput, r.f1Score) == (4, 2, 0.03, 82.74)
 
 
@@ -228,14 +228,46 @@ def test_text_preview_and_filters(spark):
     assert feed.by_sentiment(df, "all").count() == 2 and feed.by_sentiment(df, "").count() == 2
 
 
-def test_lemmatize_with_dictionary_both_plans(spark, monkeypatch):
+def test_lemmatize_with_dictionary(spark):
     from revlens.operators import lemmas as L
-    docs = spark.createDataFrame([(1, "geese running boxes"), (2, ""), (3, None)], "Id long, cleaned string")
-    dic = spark.createDataFrame([("running", "run"), ("geese", "goose")], "form string, lemma string")
-    small = {r.Id: r.cleaned for r in L.lemmatize_with(docs, dic).collect()}
-    monkeypatch.setattr(L, "MAP_MAX", 0)
-    big = {r.Id: r.cleaned for r in L.lemmatize_with(docs, dic).collect()}
-    assert small == big == {1: "goose run box", 2: "", 3: ""}
+    rows = [(1, "geese running boxes"), (2, ""), (3, None), (None, "good movies"), (None, "bad movies"), (7, "nice"),
+            (7, "sizes"), (8, "good movies")]
+    docs = spark.createDataFrame(rows, "Id long, cleaned string")
+    dic = spark.createDataFrame([("running", "run"), ("geese", "goose"), ("movies", "film"), (None, "x")],
+                                "form string, lemma string")
+    got = sorted((r.Id or 0, r.cleaned) for r in L.lemmatize_with(docs, dic).collect())
+    assert got == [(0, "bad film"), (0, "good film"), (1, "goose run box"), (2, ""), (3, ""), (7, "nice"), (7, "size"),
+                   (8, "good film")]
+
+
+def test_lemma_pairs(spark):
+    from revlens.functions.text import clean_text, lemma
+    pairs = {"calories": "calorie", "movies": "movie", "brownies": "brownie", "berries": "berry", "sizes": "size",
+             "prizes": "prize", "headaches": "headache", "peaches": "peach", "matches": "match", "lenses": "lens",
+             "buses": "bus", "boxes": "box", "glasses": "glass", "dishes": "dish", "dogs": "dog", "this": "this"}
+    df = spark.createDataFrame([(k,) for k in pairs], "w string")
+    assert {r[0]: r[1] for r in df.select("w", lemma(F.col("w"))).collect()} == pairs
+    assert df.select(clean_text(F.lit("Great movies"), lemmatise=False)).first()[0] == "great movies"
+
+
+def test_draws_of_different_purposes_are_independent(spark):
+    from revlens.functions.hashing import unit_hash
+    from revlens.plans.training import with_folds
+    df = spark.range(1, 60001).select(F.col("id").alias("Id"))
+    u = [unit_hash("Id", 42, p).alias(p) for p in ("split", "undersample", "fold", "sample", "example")]
+    names = ("split", "undersample", "fold", "sample", "example")
+    c = df.select(*u).agg(*[F.corr(a, b).alias(f"{a}_{b}") for a in names for b in names if a < b]).first()
+    assert all(abs(x) < 0.02 for x in c)
+    k = F.col("Id") % 100   # the corpus's mix: 14 negative, 8 neutral, 78 positive
+    mixed = df.withColumn("sentiment", F.when(k < 14, 0).when(k < 22, 1).otherwise(2))
+    train = prep.stratified_split(mixed).filter("split = 'train'")
+    kept = prep.undersample_majority(train)
+    n = {r[0]: r[1] for r in kept.groupBy("sentiment").count().collect()}
+    assert abs(n[2] / (3 * n[1]) - 1) < 0.04
+    sizes = {(r.fold, r.sentiment): r["count"] for r in with_folds(kept).groupBy("fold", "sentiment").count().collect()}
+    assert len(sizes) == 9
+    per = [sum(v for (f, _), v in sizes.items() if f == k) for k in range(3)]
+    assert max(per) / min(per) < 1.06
 
 
 def test_cast_label_and_drop_unusable(spark):
@@ -298,7 +330,7 @@ def test_stratified_split_exact_sizes(spark):
     df = spark.range(0, 5003).select(F.col("id").alias("Id"),
                                      F.when(F.col("id") % 10 < 7, 2).when(F.col("id") % 10 < 9, 0).otherwise(1)
                                      .alias("sentiment"))
-    out = prep.stratified_split_exact(df, partitions=5).cache()
+    out = prep.stratified_split_exact(df, buckets=64).cache()
     got = {(r.sentiment, r.split): r["count"] for r in out.groupBy("sentiment", "split").count().collect()}
     for c in (0, 1, 2):
         n = df.filter(F.col("sentiment") == c).count()
@@ -307,7 +339,7 @@ def test_stratified_split_exact_sizes(spark):
         assert (got[(c, "train")], got[(c, "val")], got[(c, "test")]) == (n - rest, rest - test, test)
     assert out.select("Id").distinct().count() == 5003
     # the same rows whatever the number of range partitions
-    other = prep.stratified_split_exact(df, partitions=3)
+    other = prep.stratified_split_exact(df, buckets=7)
     assert out.join(other, ["Id", "sentiment", "split"]).count() == 5003
 
 

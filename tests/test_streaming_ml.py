@@ -74,9 +74,12 @@ def test_replayed_batch_is_idempotent(spark, trained, scratch):
     table = os.path.join(scratch, "t")
     n = batch.count()
     assert sscore.write_stats_batch(batch, 7, table) == n
-    assert sscore.write_stats_batch(batch, 7, table) == n          # replay of batch 7
+    assert sscore.write_stats_batch(batch, 7, table) == 0          # replay of batch 7: committed, skipped
+    assert sscore.write_stats_batch(batch.limit(1), 7, table, run="other") == 1  # another run's batch 7 replaces nothing
+    names = {sscore.run_name(spark, os.path.join(scratch, "ckpt")) for _ in range(2)}
+    assert len(names) == 1 and sscore.run_name(spark, os.path.join(scratch, "fresh")) not in names
     assert sscore.write_stats_batch(batch.limit(0), 8, table) == 0  # empty batch skipped
-    assert spark.read.parquet(table).count() == batch.count()
+    assert spark.read.parquet(table).count() == batch.count() + 1
 
 
 def test_single_pass_and_monitors(spark, trained, scratch):
