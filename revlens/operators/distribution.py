@@ -73,12 +73,16 @@ def kpi(pred: DataFrame, now=None, f1_score: float | None = None, window_s: int
 def product_vs_global(pred: DataFrame, product_id: str, decimals: int = 1) -> DataFrame:
     """Label shares of one product beside the shares of all products.
 
-    Both sides are one-row conditional aggregates from the same scan; they
-    are stacked into three label rows and joined on the label (3 x 3 rows).
+    One scan and one aggregate: each label is counted over all rows and over
+    the product's, then the one row is turned into three.
     """
-    prod = label_shares(pred.filter(F.col("ProductId") == product_id), decimals)
-    glob = label_shares(pred, decimals)
-    return (prod.select("label", F.col("n").alias("product_n"), F.col("pct").alias("product_pct"))
-            .join(F.broadcast(glob.select("label", F.col("n").alias("global_n"),
-                                          F.col("pct").alias("global_pct"))), "label")
-            .orderBy("label"))
+    lab, own = F.col("sentiment_label"), F.col("ProductId") == product_id
+    counts = pred.agg(*[c for n in LABELS for c in (F.count_if(lab == n).alias(f"g_{n}"),
+                                                    F.count_if(own & (lab == n)).alias(f"p_{n}"))])
+    total = {side: sum((F.col(f"{side}_{n}") for n in LABELS[1:]), F.col(f"{side}_{LABELS[0]}")) for side in "gp"}
+    rows = F.array(*[F.struct(F.lit(n).alias("label"),
+                              F.col(f"p_{n}").alias("product_n"),
+                              share(f"p_{n}", total["p"], 100, decimals).alias("product_pct"),
+                              F.col(f"g_{n}").alias("global_n"),
+                              share(f"g_{n}", total["g"], 100, decimals).alias("global_pct")) for n in LABELS])
+    return counts.select(F.inline(rows)).orderBy("label")

@@ -44,9 +44,13 @@ def _label_fallback() -> Column:
 
 
 def format_prediction(df: DataFrame) -> DataFrame:
-    """P11 + P12 + P20: the display record of a stored prediction."""
+    """P11 + P12 + P20: the display record of a stored prediction; its id is ``Id``, or
+    the store's ``_id`` where ``Id`` is missing, NULL or 0."""
+    own = F.col("Id").cast("string")
+    if "_id" in df.columns:
+        own = F.coalesce(F.when(F.col("Id") != 0, own), F.col("_id").cast("string"))
     return df.select(
-        F.col("Id").cast("string").alias("id"),
+        own.alias("id"),
         F.coalesce(F.col("ProductId"), F.lit("")).alias("productId"),
         F.coalesce(F.col("UserId"), F.lit("")).alias("userId"),
         F.coalesce(F.col("Summary"), F.lit("")).alias("summary"),

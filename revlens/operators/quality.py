@@ -33,6 +33,11 @@ def _row(check: str, status: Column, value: Column, threshold: float | None, det
             F.lit(threshold).cast("double").alias("threshold"), detail.alias("detail")]
 
 
+def _result(check: str, status: Column, value: Column, threshold: float | None, detail: Column) -> Column:
+    """A check's row as a struct, for one aggregate that answers several checks."""
+    return F.struct(*_row(check, status, value, threshold, detail))
+
+
 def _now(now) -> Column:
     if isinstance(now, Column):
         return now.cast("timestamp")
@@ -81,18 +86,23 @@ def traffic(snapshots: DataFrame, check: str = "source_traffic") -> DataFrame:
     return s.select("run_time", "topic", *_row(check, status, F.coalesce(delta, F.lit(0)), 0.0, detail))
 
 
-def freshness(pred: DataFrame, now=None) -> DataFrame:
-    """Q4: rows inserted in the last two minutes; value = rows per second over the window."""
-    p = with_now(pred, now)
+def _freshness_parts() -> list[Column]:
     recent = F.count_if(F.col("inserted_at").cast("timestamp")
                         >= F.col("_now") - F.expr(f"INTERVAL {FRESH_WINDOW_S} SECONDS"))
-    agg = p.agg(F.count(F.lit(1)).alias("total"), recent.alias("recent"))
+    return [F.count(F.lit(1)).alias("total"), recent.alias("recent")]
+
+
+def _freshness_result() -> Column:
     status = (F.when(F.col("total") == 0, F.lit("skip")).when(F.col("recent") == 0, F.lit("fail"))
               .otherwise(F.lit("ok")))
     detail = F.concat(F.lit("+"), F.col("recent").cast("string"), F.lit(" rows/2min, total "),
                       F.col("total").cast("string"))
-    return agg.select(*_row("stats_freshness", status, F.col("recent") / F.lit(float(FRESH_WINDOW_S)),
-                            0.0, detail))
+    return _result("stats_freshness", status, F.col("recent") / F.lit(float(FRESH_WINDOW_S)), 0.0, detail)
+
+
+def freshness(pred: DataFrame, now=None) -> DataFrame:
+    """Q4: rows inserted in the last two minutes; value = rows per second over the window."""
+    return with_now(pred, now).agg(*_freshness_parts()).select(F.inline(F.array(_freshness_result())))
 
 
 def prediction_quality(pred: DataFrame) -> DataFrame:
@@ -112,38 +122,56 @@ def prediction_quality(pred: DataFrame) -> DataFrame:
     d1 = F.concat(F.col("unlabelled").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" unlabelled"))
     d2 = F.concat(F.lit("mean confidence over "), F.col("n").cast("string"), F.lit(" rows, "),
                   F.col("null_conf").cast("string"), F.lit(" without confidence"))
-    a = agg.select(*_row("prediction_labels", s1, F.col("unlabelled"), float(MAX_UNLABELLED), d1))
-    b = agg.select(*_row("prediction_confidence", s2, F.round("mean_conf", 6), MIN_MEAN_CONFIDENCE, d2))
-    return a.unionByName(b)
+    both = F.array(_result("prediction_labels", s1, F.col("unlabelled"), float(MAX_UNLABELLED), d1),
+                   _result("prediction_confidence", s2, F.round("mean_conf", 6), MIN_MEAN_CONFIDENCE, d2))
+    return agg.select(F.inline(both))
 
 
-def latency(pred: DataFrame, now=None) -> DataFrame:
-    """Q6: seconds from the newest inserted_at to ``now``; above 60 fails, empty skips."""
-    p = with_now(pred, now)
-    agg = p.agg(F.max(F.col("inserted_at").cast("timestamp")).alias("last"), F.max("_now").alias("now"))
+def _latency_parts() -> list[Column]:
+    return [F.max(F.col("inserted_at").cast("timestamp")).alias("last"), F.max("_now").alias("now")]
+
+
+def _latency_result() -> Column:
     lag = (F.unix_micros("now") - F.unix_micros("last")) / F.lit(1e6)
     status = (F.when(F.col("last").isNull(), F.lit("skip")).when(lag > MAX_LAG_S, F.lit("fail"))
               .otherwise(F.lit("ok")))
     detail = F.coalesce(F.concat(F.lit("lag "), F.round(lag, 0).cast("long").cast("string"), F.lit(" s")),
                         F.lit("no rows"))
-    return agg.select(*_row("pipeline_latency", status, lag, float(MAX_LAG_S), detail))
+    return _result("pipeline_latency", status, lag, float(MAX_LAG_S), detail)
 
 
-def balance(pred: DataFrame) -> DataFrame:
-    """Q7: fewer than 100 rows -> skip; positive share > 95 % or negative > 60 % -> fail.
+def latency(pred: DataFrame, now=None) -> DataFrame:
+    """Q6: seconds from the newest inserted_at to ``now``; above 60 fails, empty skips."""
+    return with_now(pred, now).agg(*_latency_parts()).select(F.inline(F.array(_latency_result())))
 
-    Shares are of all rows (unknown labels included in the total, like the reference)."""
-    lab = F.col("sentiment_label")
-    agg = pred.agg(F.count(F.lit(1)).alias("total"),
-                   *[F.count_if(lab == n).alias(n) for n in LABELS])
-    pos = F.col("positive").cast("double") * 100.0 / F.col("total")
-    neg = F.col("negative").cast("double") * 100.0 / F.col("total")
+
+def _balance_parts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("sentiment_label") == n).alias(n) for n in LABELS]]
+
+
+def _balance_result() -> Column:
+    pos = F.try_divide(F.col("positive").cast("double") * 100.0, F.col("total"))
+    neg = F.try_divide(F.col("negative").cast("double") * 100.0, F.col("total"))
     status = (F.when(F.col("total") < MIN_ROWS_FOR_BALANCE, F.lit("skip"))
               .when(pos > MAX_POSITIVE_PCT, F.lit("fail"))
               .when(neg > MAX_NEGATIVE_PCT, F.lit("fail")).otherwise(F.lit("ok")))
     detail = F.concat(F.lit("positive "), F.col("positive").cast("string"), F.lit(", negative "),
                       F.col("negative").cast("string"), F.lit(", total "), F.col("total").cast("string"))
-    return agg.select(*_row("sentiment_balance", status, F.round(pos, 6), MAX_POSITIVE_PCT, detail))
+    return _result("sentiment_balance", status, F.round(pos, 6), MAX_POSITIVE_PCT, detail)
+
+
+def balance(pred: DataFrame) -> DataFrame:
+    """Q7: fewer than 100 rows -> skip; positive share > 95 % or negative > 60 % -> fail.
+
+    Shares are of all rows (unknown labels included in the total, like the reference)."""
+    return pred.agg(*_balance_parts()).select(F.inline(F.array(_balance_result())))
+
+
+def table_checks(pred: DataFrame, now=None) -> DataFrame:
+    """Q4, Q6 and Q7 from one scan and one aggregate of the prediction table."""
+    parts = _freshness_parts() + _latency_parts() + _balance_parts()[1:]
+    results = F.array(_freshness_result(), _latency_result(), _balance_result())
+    return with_now(pred, now).agg(*parts).select(F.inline(results))
 
 
 def report(*checks: DataFrame) -> DataFrame:
@@ -171,18 +199,18 @@ def event_snapshots(events: DataFrame, every_minutes: int = 5, topic: str = "eve
     The running total is a two-level prefix sum: a running sum inside each
     day (windows partitioned by day) plus the total of all earlier days (a
     window over one row per day). No window ever holds more than one day of
-    run intervals or the list of days. The interval axis itself is one
-    sequence: its size is the time span divided by the interval (about
-    105 000 rows per year at 5 minutes), independent of the event volume,
-    and the per-interval counts are aggregated (partial, then shuffled)
-    before they meet it.
+    run intervals or the list of days. The interval axis is ``spark.range``
+    between the first and last interval (two numbers read first): its rows are made
+    by many tasks, so one event with a far-off year makes a long axis but no
+    large array or task. Events without a time are in no interval; a table without
+    any gives no snapshots.
     """
     step = every_minutes * 60
     t = F.unix_seconds(F.col(ts_col).cast("timestamp"))
     run_end = (F.floor(t / step) + 1) * step
-    per = events.groupBy(run_end.alias("run_s")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = per.agg(F.min("run_s").alias("lo"), F.max("run_s").alias("hi"))
-    runs = bounds.select(F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("run_s"))
+    lo, hi = events.agg(F.min(run_end), F.max(run_end)).first()
+    runs = events.sparkSession.range(lo or 0, hi + step if hi is not None else 0, step).withColumnRenamed("id", "run_s")
+    per = events.filter(F.col(ts_col).isNotNull()).groupBy(run_end.alias("run_s")).agg(F.count(F.lit(1)).alias("n"))
     grid = (runs.join(per, "run_s", "left").fillna(0, subset=["n"])
             .withColumn("day", F.floor((F.col("run_s") - 1) / 86400)))
     in_day = Window.partitionBy("day").orderBy("run_s").rowsBetween(Window.unboundedPreceding, 0)
@@ -190,6 +218,6 @@ def event_snapshots(events: DataFrame, every_minutes: int = 5, topic: str = "eve
     before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = days.select("day", F.coalesce(F.sum("day_n").over(before), F.lit(0)).alias("offset"))
     return (grid.withColumn("in_day", F.sum("n").over(in_day))
-            .join(F.broadcast(offsets), "day")
+            .join(offsets, "day")
             .select(F.timestamp_seconds("run_s").alias("run_time"), F.lit(topic).alias("topic"),
                     (F.col("offset") + F.col("in_day")).cast("long").alias("total")))

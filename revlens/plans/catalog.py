@@ -679,10 +679,11 @@ def q_score_test_split(spark, d):
 @register("model_selection")
 def q_model_selection(spark, d):
     """M2 + M4 + M5 + A9 + S13: logistic regression vs naive Bayes on validation F1,
-    test metrics of the winner, as the one-row metadata record."""
+    test metrics of the winner, as the one-row metadata record (M3: logistic
+    regression cross-validated over the whole grid, 3 x 2 points in 3 folds)."""
     from revlens.plans import training
     split_df = _written_split(spark, d)
-    result = training.train(split_df, use_cv=False)
+    result = training.train(split_df)
     return training.metadata_frame(spark, result["metadata"]).drop("trained_on")
 
 
@@ -778,11 +779,12 @@ def q_source_traffic(spark, d):
 
 
 _LIVE = "event_type in ('purchase', 'signup')"
+_LIVE_SNAP_SQL = _SNAP_SQL.replace("'events' as topic", "'predictions-live' as topic")
+_LIVE_TRAFFIC_SQL = _TRAFFIC_SQL.replace("'source_traffic'", "'live_traffic'")
 
 
-@register("live_traffic", V(_TRAFFIC_SQL.replace("'source_traffic'", "'live_traffic'"), "predictions_keyed", ctes={
-    "per": _PER_SQL.replace("from events", f"from events where {_LIVE}"),
-    "snaps": _SNAP_SQL.replace("'events' as topic", "'predictions-live' as topic")}))
+@register("live_traffic", V(_LIVE_TRAFFIC_SQL, "predictions_keyed", ctes={
+    "per": _PER_SQL.replace("from events", f"from events where {_LIVE}"), "snaps": _LIVE_SNAP_SQL}))
 def q_live_traffic(spark, d):
     """Q3: the same check over the snapshots of the live topic (here: the events that end in a positive prediction)."""
     from pyspark.sql import functions as F
@@ -850,19 +852,23 @@ from (select *, min(case when status = 'fail' then step end) over () as ff
                cast(0.0 as double) as threshold,
                'all inputs present' as detail
         union all (select {_CHECK_COLS} from traffic order by run_s desc limit 1)
+        union all (select {_CHECK_COLS} from live order by run_s desc limit 1)
         union all {_FRESH_SQL}
         union all {_QUALITY_SQL}
         union all {_LATENCY_SQL}
         union all {_BALANCE_SQL}) u) v) w""", "predictions_keyed",
-                              ctes={"q": _Q_CTE, "per": _PER_SQL, "snaps": _SNAP_SQL, "traffic": _TRAFFIC_SQL}))
+                              ctes={
+                                  "q": _Q_CTE, "per": _PER_SQL, "snaps": _SNAP_SQL, "traffic": _TRAFFIC_SQL,
+                                  "live_per": _PER_SQL.replace("from events", f"from events where {_LIVE}"),
+                                  "live_snaps": _LIVE_SNAP_SQL.replace("from per", "from live_per").replace("join per", "join live_per"),
+                                  "live": _LIVE_TRAFFIC_SQL.replace("from snaps", "from live_snaps")}))
 def q_quality_report(spark, d):
     import os
     from pyspark.sql import functions as F
     pk = _pk(spark, d)
     inputs = quality.inputs_exist(spark, {t: os.path.join(d, f"{t}.parquet") for t in ("events", "lineitem")})
-    last_run = _traffic(spark, d).orderBy(F.desc("run_s")).limit(1)
-    return quality.report(inputs, last_run, quality.freshness(pk, CHECK_NOW), quality.prediction_quality(pk),
-                          quality.latency(pk, CHECK_NOW), quality.balance(pk))
+    last_run, last_live = (runs.orderBy(F.desc("run_s")).limit(1) for runs in (_traffic(spark, d), q_live_traffic(spark, d)))
+    return quality.report(inputs, last_run, last_live, quality.table_checks(pk, CHECK_NOW), quality.prediction_quality(pk))
 
 
 _U_SAMPLE = unit_hash_sql("Id", 42, "sample")
@@ -899,20 +905,32 @@ def q_word_frequencies_sampled(spark, d):
 
 
 # -------------------------------------------------------------- streaming
+MAX_FILES_PER_BATCH = 64
+
+
 def _as_file_stream(spark, df, name: str, batches: int = 4):
-    """Write ``df`` as parquet files in ts order and open it as a stream that
-    delivers them in about ``batches`` micro-batches (state carried over).
+    """Replay ``df`` in ingest-time order as a file stream of at least ``batches`` micro-batches.
 
-    The file count follows the input's scan splits (at least ``batches``), so
-    each file stays at split size however large the table grows.
+    The file source delivers files by the time they were written, so the time
+    slices are written one after the other (the slice range reaches the scan). A
+    slice is one micro-batch of at most MAX_FILES_PER_BATCH files of
+    scan-split size: the batch does not grow with the table.
     """
     from pyspark.sql import functions as F
     path = _scratch(spark, name)
-    files = max(batches, df.rdd.getNumPartitions())
-    (df.repartitionByRange(files, F.col("inserted_at")).sortWithinPartitions("inserted_at")
-     .write.parquet(path))
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches))
-            .parquet(path))
+    splits = df.rdd.getNumPartitions()
+    slices = max(batches, -(-splits // MAX_FILES_PER_BATCH))
+    files = -(-splits // slices)
+    ts = F.col("inserted_at")
+    cuts = df.select(F.percentile_approx(F.unix_micros(ts), [i / slices for i in range(1, slices)])).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(edges, edges[1:]):
+        rows = df if lo is None else df.filter(ts > F.timestamp_micros(F.lit(lo)))
+        if hi is not None:
+            below = ts <= F.timestamp_micros(F.lit(hi))
+            rows = rows.filter(below | ts.isNull() if lo is None else below)
+        rows.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _run_complete(stream_df, spark, name: str):
@@ -938,13 +956,19 @@ def q_stream_label_counters(spark, d):
 select w_start // 1000000 as window_start_s, (w_start + 60000000) // 1000000 as window_end_s, count(*) as n
 from (select (epoch_us(inserted_at) // 10000000) * 10000000 - k * 10000000 as w_start
       from predictions_keyed, (select range as k from range(6)) ks) x
+where w_start + 60000000 <= (select epoch_ms(max(inserted_at)) * 1000 - 120000000 from predictions_keyed)
 group by w_start""", "predictions_keyed"))
 def q_stream_throughput(spark, d):
-    """T5s: sliding 60 s / 10 s ingest windows with a watermark over a multi-batch stream."""
+    """T5s: sliding 60 s / 10 s ingest windows over a multi-batch stream in append mode:
+    the windows that the two-minute watermark has closed, each stored once."""
     from pyspark.sql import functions as F
     from revlens.streaming import monitors
     stream = _as_file_stream(spark, _pk(spark, d), "keyed-stream")
-    out = _run_complete(monitors.throughput_stream(stream), spark, "throughput")
+    path = _scratch(spark, "throughput")
+    q = monitors.start_append_query(monitors.throughput_stream(stream), path, _scratch(spark, "throughput-ckpt"),
+                                    available_now=True)
+    q.awaitTermination()
+    out = monitors.read_closed(spark, path)
     return out.select(F.unix_seconds("window_start").alias("window_start_s"),
                       F.unix_seconds("window_end").alias("window_end_s"), "n")
 
@@ -971,13 +995,13 @@ def q_stream_scoring(spark, d):
     test = split_df.filter(F.col("split") == "test").withColumn(
         "cleaned", F.when(F.col("Id") % 2 == 0, F.col("cleaned")))
     # At least 4 message files (so the stream runs several micro-batches), more
-    # when the test split spans more scan splits; about 4 batches either way.
+    # when the test split spans more scan splits; a batch has at most MAX_FILES_PER_BATCH.
     files = max(4, test.rdd.getNumPartitions())
     messages.write_message_files(messages.publish_reviews(test).repartition(files), inbox)
     root = _scratch(spark, "stream")
     table = os.path.join(root, "predictions")
     q_live, q_stats = sscore.start_two_queries(
-        messages.message_files_source(spark, inbox, max_files_per_trigger=-(-files // 4)), model, table,
+        messages.message_files_source(spark, inbox, max_files_per_trigger=min(MAX_FILES_PER_BATCH, -(-files // 4))), model, table,
         os.path.join(root, "ckpt"), live_path=os.path.join(root, "live"), available_now=True)
     q_live.awaitTermination()
     q_stats.awaitTermination()
@@ -1014,13 +1038,12 @@ def q_message_roundtrip(spark, d):
 
 
 @register("split_files_roundtrip", V("""
-select Id, split, sentiment, nullif(cleaned, '') as cleaned, cast(length(coalesce(Text, '')) as integer) as text_len
+select Id, split, sentiment, cleaned, cast(length(coalesce(Text, '')) as integer) as text_len
 from splits""", "reviews",
                                      ctes={"cleaned": _CLEANED_SQL, "splits": _SPLIT_SQL}))
 def q_split_files_roundtrip(spark, d):
     """S10 -> S2: splits written as quote-all CSV partitioned by split, read back
-    with the fixed schema (multi-line texts included). An empty field reads back
-    as NULL, as with the reference's CSV reader."""
+    with the fixed schema (multi-line texts included); '' and NULL stay apart."""
     from pyspark.sql import functions as F
     from revlens.sources import files
     path = _scratch(spark, "splits")
@@ -1031,7 +1054,7 @@ def q_split_files_roundtrip(spark, d):
 
 @register("raw_reviews_csv", V("""
 select Id, ProductId, UserId, cast(null as varchar) as ProfileName, Score, Time,
-       nullif(Summary, '') as Summary, nullif(Text, '') as Text from reviews""", "reviews"))
+       Summary, Text from reviews""", "reviews"))
 def q_raw_reviews_csv(spark, d):
     """The raw corpus written as CSV (quoted, multi-line texts) and scanned back
     with the fixed raw-review schema -- no inference pass."""

@@ -39,7 +39,8 @@ def _final_only(plan: str) -> str:
 
 def summary(df) -> dict:
     """Summary of the final (adaptive) plan, read after the query has run."""
-    df.collect()  # runs through this DataFrame's own QueryExecution, so its plan becomes final
+    # Runs this DataFrame's own plan (which becomes final) and counts rows on the executors: nothing is collected.
+    df._jdf.queryExecution().toRdd().count()
     plan = _final_only(df._jdf.queryExecution().executedPlan().toString())
     plan = re.sub(r"ReusedExchange \[[^\]]*\], Exchange", "ReusedExchange", plan)
     shuffles = re.findall(r"(?<!Reused)Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobinPartitioning)", plan)

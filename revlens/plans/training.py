@@ -8,12 +8,12 @@ one ``PipelineModel`` that batch and stream scoring load alike.
 from __future__ import annotations
 
 import datetime as _dt
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,24 +76,41 @@ def with_folds(df: DataFrame, folds: int = CV_FOLDS, key_col: str = "Id") -> Dat
     return df.withColumn("fold", F.floor(unit_hash(key_col, SEED, "fold") * folds).cast("int"))
 
 
+@dataclass
+class CrossValidated:
+    """Result of ``cross_validate``: mean held-out F1 of each grid point, and the pipeline refitted with the best."""
+    params: list[dict]
+    avgMetrics: list[float]
+    best: dict
+    bestModel: PipelineModel
+
+
 def cross_validate(train: DataFrame, folds: int = CV_FOLDS, reg_params=None, max_iters=None,
-                   parallelism: int = 1, key_col: str = "Id") -> CrossValidatorModel:
+                   key_col: str = "Id") -> CrossValidated:
     """M3: grid over regParam x maxIter, k folds, weighted F1, seed 42.
 
-    Folds come from a seeded hash of the review id (``foldCol``) rather than
-    a per-partition random sampler, so the same rows land in the same fold
-    on any cluster and after a recomputed partition.
+    Folds come from a seeded hash of the review id rather than a per-partition
+    random sampler, so the same rows land in the same fold on any cluster and
+    after a recomputed partition. The feature stages do not depend on the grid:
+    they are fitted once per fold (on its training rows alone), the features are kept
+    for the fold's fits and released after it. The first of equal grid points wins.
     """
-    lr = logreg()
-    grid = (ParamGridBuilder()
-            .addGrid(lr.regParam, reg_params or CV_REG_PARAMS)
-            .addGrid(lr.maxIter, max_iters or CV_MAX_ITERS)
-            .build())
+    grid = [{"regParam": r, "maxIter": m} for r in reg_params or CV_REG_PARAMS for m in max_iters or CV_MAX_ITERS]
     data = with_folds(train, folds, key_col)
-    cv = CrossValidator(estimator=Pipeline(stages=tfidf_stages() + [lr]), estimatorParamMaps=grid,
-                        evaluator=evaluator("f1"), numFolds=folds, seed=SEED, parallelism=parallelism,
-                        foldCol="fold")
-    return cv.fit(data)
+    means = [0.0] * len(grid)
+    for fold in range(folds):
+        rest, held = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
+        features = Pipeline(stages=tfidf_stages()).fit(rest)
+        fit_on, judge_on = (features.transform(rows).select("features", "sentiment", "classWeight").persist()
+                            for rows in (rest, held))
+        try:
+            for at, params in enumerate(grid):
+                means[at] += evaluate(logreg(**params).fit(fit_on), judge_on)["f1"] / folds
+        finally:
+            fit_on.unpersist()
+            judge_on.unpersist()
+    best = grid[max(range(len(grid)), key=lambda at: (means[at], -at))]
+    return CrossValidated(grid, means, best, fit_logreg(train, **best))
 
 
 def evaluate(model, df: DataFrame) -> dict:
@@ -104,7 +121,7 @@ def evaluate(model, df: DataFrame) -> dict:
     which would need one pass each.
     """
     from revlens.operators.evaluation import model_metrics
-    preds = model.transform(df).select("sentiment", "prediction")
+    preds = pipeline_of(model).transform(df).select("sentiment", "prediction")
     m = model_metrics(preds, "sentiment", "prediction", decimals=None).first()
     return {"f1": m["f1_weighted"], "accuracy": m["accuracy"],
             "weightedPrecision": m["weighted_precision"], "weightedRecall": m["weighted_recall"]}
@@ -112,7 +129,7 @@ def evaluate(model, df: DataFrame) -> dict:
 
 def pipeline_of(model) -> PipelineModel:
     """The plain pipeline inside a cross-validated model, or the model itself."""
-    return model.bestModel if isinstance(model, CrossValidatorModel) else model
+    return model.bestModel if isinstance(model, CrossValidated) else model
 
 
 def select_best(candidates: dict) -> tuple[str, object, float]:

@@ -8,7 +8,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from revlens.schemas import MODEL_METADATA, RAW_REVIEW, SPLIT_REVIEW
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+# NULL is written as \N; a quoted empty field is '' and an unquoted one NULL when read.
+NULL_MARK = "\\N"
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+               "nullValue": NULL_MARK, "emptyValue": ""}
+MAX_RECORDS_PER_FILE = 1_000_000   # a multi-line CSV file is read by one task
 
 
 def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +28,8 @@ def read_split_csv(spark: SparkSession, path: str) -> DataFrame:
 # Written values are kept exactly: every field quoted, quotes escaped by
 # doubling, and no trimming of leading/trailing spaces (Spark trims by default).
 CSV_WRITE_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"',
-                     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+                     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+                     "nullValue": NULL_MARK, "emptyValue": "", "maxRecordsPerFile": str(MAX_RECORDS_PER_FILE)}
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:

@@ -1,8 +1,10 @@
 """Stateful stream monitors and progress snapshots (T2s, T3s, T4s, T5s).
 
-Label counters hold one row per label. Throughput windows are kept for as long as
-the query runs in complete mode (``start_snapshot_query``): Spark drops windows behind
-the watermark only in append or update mode.
+Label counters hold one row per label (complete mode, ``start_snapshot_query``).
+Throughput windows run in append mode (``start_append_query``): a window is written
+once, when the watermark has passed its end, and its state is dropped, so the
+state holds only the open windows however long the query runs. (In complete
+mode Spark would keep every window.)
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from revlens.schemas import OFFSET_SNAPSHOT, PREDICTION
+from revlens.streaming.scoring import batch_path, committed, run_name
 
 
 def label_counters(scored: DataFrame) -> DataFrame:
@@ -73,6 +76,37 @@ def start_snapshot_query(result: DataFrame, path: str, checkpoint: str, availabl
     return w.start()
 
 
+def write_closed_batch(batch: DataFrame, batch_id: int, path: str, run: str) -> None:
+    """One append-mode micro-batch -> ``path/run=<run>/batch_id=<id>``; a committed batch is skipped when replayed."""
+    target = batch_path(path, run, batch_id)
+    if not committed(batch.sparkSession, target):
+        batch.write.mode("overwrite").parquet(target)
+
+
+def start_append_query(result: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+                       trigger: str = "10 seconds"):
+    """Run a watermarked aggregate in append mode into a parquet table: each closed window is stored once.
+
+    As in the stats sink the run's name lives in the checkpoint, so neither a
+    restart nor a second query replaces or repeats stored windows.
+    """
+    run = run_name(result.sparkSession, checkpoint)
+    w = (result.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda b, i: write_closed_batch(b, i, path, run)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+    return w.start()
+
+
+def read_closed(spark: SparkSession, path: str) -> DataFrame:
+    """The closed windows written by ``start_append_query``."""
+    return spark.read.parquet(path).drop("run", "batch_id")
+
+
+def state_rows(query) -> list[int]:
+    """Rows in the query's state after each micro-batch, from its progress reports."""
+    return [sum(op.get("numRowsTotal", 0) for op in p.get("stateOperators") or []) for p in query.recentProgress or []]
+
+
 def read_snapshot(spark: SparkSession, path: str, query=None) -> DataFrame:
     """The newest complete result written by ``start_snapshot_query``.
 
