@@ -153,8 +153,8 @@ def _sql_list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-def clean_text_sql(col: str) -> str:
-    """``clean_text`` as DuckDB SQL (RE2), for the oracle queries."""
+def clean_text_sql(col: str, dictionary: str = "null") -> str:
+    """``clean_text`` as DuckDB SQL (RE2), for the oracle queries; ``dictionary`` is looked up before the rules."""
     s = f"lower(coalesce({col}, ''))"
     s = f"regexp_replace({s}, '{TAG_RE}', ' ', 'g')"
     s = f"regexp_replace({s}, '{URL_RE}', ' ', 'g')"
@@ -167,7 +167,7 @@ def clean_text_sql(col: str) -> str:
             "when regexp_matches(x, '(xes|zzes|ches|shes)$') then regexp_replace(x, 'es$', '') "
             "when regexp_matches(x, '(ss|us|is)$') then x "
             "when suffix(x, 's') then regexp_replace(x, 's$', '') else x end")
-    lem = f"coalesce(case x {irregular} end, {rule})"
+    lem = f"coalesce({dictionary}, case x {irregular} end, {rule})"
     kept = (f"list_filter(string_split({s}, ' '), "
             f"lambda x: length(x) > 2 and not list_contains({_sql_list(_STOP_TESTED)}, x))")
     return f"array_to_string(list_transform({kept}, lambda x: {lem}), ' ')"

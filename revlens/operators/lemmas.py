@@ -2,8 +2,9 @@
 
 One plan at every dictionary size: the tokens of each distinct text are exploded
 with their position, left-joined to the dictionary (Spark broadcasts it when
-its size allows) and put back in order. The key is the text itself, so rows
-with a NULL or a repeated id keep their own words; a group is one text's tokens.
+its size allows) and put back in order. The key is the text's SHA-256, so rows
+with a NULL or a repeated id keep their own words, a group is one text's tokens, and
+the shuffles carry a digest beside each token instead of the text.
 
 The text should hold raw tokens (``clean_text(.., lemmatise=False)``): the
 dictionary is looked up first, the built-in rules only for words it lacks.
@@ -22,11 +23,12 @@ def lemmatize_with(df: DataFrame, lemmas: DataFrame, text_col: str = "cleaned",
     out_col = out_col or text_col
     dic = lemmas.select("form", "lemma").dropna().groupBy("form").agg(F.min("lemma").alias("lemma"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    toks = (df.select(text.alias("_key")).distinct()
-            .select("_key", F.posexplode(F.split("_key", " ")).alias("pos", "tok")).filter(F.col("tok") != ""))
+    key = F.sha2(text, 256)
+    toks = (df.select(key.alias("_key"), text.alias("_text")).dropDuplicates(["_key"])
+            .select("_key", F.posexplode(F.split("_text", " ")).alias("pos", "tok")).filter(F.col("tok") != ""))
     joined = toks.join(dic, toks["tok"] == dic["form"], "left")
     word = F.coalesce(F.col("lemma"), lemma(F.col("tok")))
     per_text = (joined.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), word.alias("w")))).alias("_t"))
                 .select("_key", F.array_join(F.transform("_t", lambda x: x["w"]), " ").alias("_lem")))
-    return (df.withColumn("_key", text).join(per_text, "_key", "left")
+    return (df.withColumn("_key", key).join(per_text, "_key", "left")
             .withColumn(out_col, F.coalesce(F.col("_lem"), F.lit(""))).drop("_lem", "_key"))

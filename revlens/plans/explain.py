@@ -17,7 +17,8 @@ MARKERS = ["BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastN
            "BatchEvalPython", "ArrowEvalPython", "ReusedExchange"]
 # Queries that fit a model or run a stream: summarised from their result table only.
 SIDE_EFFECT = {"score_test_split", "model_selection", "stream_scoring", "stream_label_counters",
-               "stream_throughput", "split_files_roundtrip", "raw_reviews_csv"}
+               "stream_throughput", "split_files_roundtrip", "raw_reviews_csv", "stream_replay",
+               "stream_batch_counts", "scored_rows", "stream_equals_batch", "test_export", "stats_file"}
 
 
 def _final_only(plan: str) -> str:

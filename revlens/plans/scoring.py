@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.labels import label_name
 
+# The columns of a stored prediction and of the test export.
 OUTPUT_COLUMNS = ["Id", "ProductId", "UserId", "Time", "Summary", "Text", "cleaned", "true_sentiment",
                   "prediction", "sentiment_label", "confidence"]
 EXPORT_COLUMNS = ["Id", "ProductId", "UserId", "Time", "Summary", "Text", "sentiment",

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.text import fill_cleaned
-from revlens.plans.scoring import OUTPUT_COLUMNS, score
+from revlens.plans.scoring import prediction_record, score
 from revlens.sources.messages import decode_reviews, live_records
 
 LIVE_TRIGGER = "1 second"
@@ -40,7 +40,7 @@ def prepare(parsed: DataFrame) -> DataFrame:
 
 def scored_stream(raw: DataFrame, model) -> DataFrame:
     """S4 + P4 + M6 + P5 + P6 + P7 on a stream (or a batch) of raw messages."""
-    return score(model, prepare(decode_reviews(raw))).select(*OUTPUT_COLUMNS)
+    return prediction_record(score(model, prepare(decode_reviews(raw))))
 
 
 def stamp(batch: DataFrame) -> DataFrame:

@@ -416,3 +416,36 @@ def test_newest_rows_pages_on_numeric_time_equal_full_sort(spark):
         for offset in (0, 5, 20, 35, 40, 60):
             got = [r.Id for r in feed.newest_rows(df, size, "Time", offset=offset).collect()]
             assert got == full[offset:offset + size], (size, offset)
+
+
+def test_csv_keeps_empty_and_null_apart(spark, scratch):
+    import os
+    from revlens.schemas import RAW_REVIEW
+    from revlens.sources import files
+    rows = [(1, None, "", None, None, None, None, None, "", " a\n\"b\""), (2, "p", None, None, None, None, 3, 4, None, None)]
+    df = spark.createDataFrame(rows, RAW_REVIEW)
+    path = os.path.join(scratch, "csv")
+    files.write_csv(df, path)
+    assert sorted(map(tuple, files.read_reviews_csv(spark, path).collect())) == sorted(map(tuple, df.collect()))
+    with open(os.path.join(scratch, "plain.csv"), "w") as f:   # a foreign file: an unquoted empty field is NULL
+        f.write(",".join(RAW_REVIEW.names) + "\n1,,x,,,,,,\"\",t\n")
+    got = files.read_reviews_csv(spark, os.path.join(scratch, "plain.csv")).first()
+    assert got[1] is None and got[8] == "" and got[9] == "t"
+
+
+def test_product_comparison_without_the_product(spark):
+    from revlens.operators import distribution
+    df = spark.createDataFrame([("a", "negative"), (None, "positive"), ("b", None)], "ProductId string, sentiment_label string")
+    got = {r.label: (r.product_n, r.product_pct, r.global_n, r.global_pct) for r in distribution.product_vs_global(df, "z").collect()}
+    assert got == {"negative": (0, 0.0, 1, 50.0), "neutral": (0, 0.0, 0, 0.0), "positive": (0, 0.0, 1, 50.0)}
+
+
+def test_event_snapshots_far_off_event_and_no_events(spark):
+    from revlens.operators import quality
+    df = spark.sql("select cast(ts as timestamp) as ts from values ('2024-01-01 00:01:00'), ('2024-01-03 00:01:00'), (null) v(ts)")
+    got = quality.event_snapshots(df)
+    assert got.count() == 2 * 288 + 1 and got.agg(F.max("total"), F.min("total")).first()[:] == (2, 1)
+    assert quality.event_snapshots(df.filter("ts is null")).count() == 0
+    checks = {r.check: r.status for r in quality.table_checks(
+        spark.createDataFrame([], "inserted_at timestamp, sentiment_label string")).collect()}
+    assert checks == {"stats_freshness": "skip", "pipeline_latency": "skip", "sentiment_balance": "skip"}

@@ -145,7 +145,7 @@ def test_cross_validation_small(spark, trained):
     _, split_df = trained
     balanced, val, _ = training.training_tables(split_df)
     cv = training.cross_validate(balanced, folds=2, reg_params=[0.1], max_iters=[5])
-    assert len(cv.avgMetrics) == 1
+    assert len(cv.avgMetrics) == 1 and cv.best == {"regParam": 0.1, "maxIter": 5}
     best = training.pipeline_of(cv)
     assert "probability" in best.transform(val).columns
     name, _, f1 = training.select_best({"LogisticRegression": (cv, 0.5), "NaiveBayes": (None, 0.5)})
@@ -273,3 +273,43 @@ def test_recent_rows_cutoff_reaches_the_scan(spark, scratch):
     q.collect()
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert any("GreaterThanOrEqual(inserted_at," in line for line in plan.splitlines() if "PushedFilters" in line)
+
+
+def test_cross_validation_equals_a_fit_per_fold(spark, trained):
+    """Features are fitted once per fold: the mean F1 equals whole pipelines fitted on each fold's training rows."""
+    _, split_df = trained
+    balanced, _, _ = training.training_tables(split_df)
+    cv = training.cross_validate(balanced, folds=2, reg_params=[0.01, 0.1], max_iters=[5])
+    data = training.with_folds(balanced, 2)
+    want = []
+    for reg in (0.01, 0.1):
+        scores = [training.evaluate(training.fit_logreg(data.filter(f"fold <> {k}"), regParam=reg, maxIter=5),
+                                    data.filter(f"fold = {k}"))["f1"] for k in range(2)]
+        want.append(sum(scores) / 2)
+    assert cv.avgMetrics == pytest.approx(want, abs=1e-6)
+    assert cv.params[cv.avgMetrics.index(max(cv.avgMetrics))] == cv.best
+
+
+def test_throughput_append_keeps_state_flat_and_equals_the_batch(spark, scratch):
+    """Closed windows are stored once and equal the batch counts; the state holds the open windows only."""
+    import datetime as dt
+    from revlens.plans import catalog
+    rows = tables.predictions_keyed(spark, SF_SMALL).withColumn(
+        "inserted_at", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, Id * 7)"))
+    stream = catalog._as_file_stream(spark, rows, "flat")
+    out = os.path.join(scratch, "out")
+    q = monitors.start_append_query(monitors.throughput_stream(stream), out, os.path.join(scratch, "ck"), available_now=True)
+    q.awaitTermination(120)
+    last = rows.agg(F.max("inserted_at")).first()[0] - dt.timedelta(minutes=2)
+    want = {(r.window_start, r.n) for r in monitors.throughput_stream(rows).collect() if r.window_end <= last}
+    got = [(r.window_start, r.n) for r in monitors.read_closed(spark, out).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    assert max(monitors.state_rows(q)[1:]) < 40 + len(want) / 2 and monitors.state_rows(q)[-1] < 40
+
+
+def test_append_query_skips_a_committed_batch(spark, scratch):
+    one = spark.range(3).toDF("Id")
+    for _ in range(2):
+        monitors.write_closed_batch(one, 0, os.path.join(scratch, "t"), "r")
+    monitors.write_closed_batch(one, 0, os.path.join(scratch, "t"), "s")
+    assert sorted(r.Id for r in monitors.read_closed(spark, os.path.join(scratch, "t")).collect()) == [0, 0, 1, 1, 2, 2]
