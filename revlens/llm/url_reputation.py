@@ -70,8 +70,8 @@ def _strength(nodes: DataFrame) -> DataFrame:
 
 
 def _posterior(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (.., n, s, mean of the parent) with the posterior's a and b; one-row prior weight joined in."""
-    return (nodes.join(F.broadcast(_strength(nodes)), F.lit(True))
+    """``nodes`` (.., n, s, mean of the parent) with the posterior's a and b; the prior weight is a scalar subquery."""
+    return (nodes.withColumn("weight", _strength(nodes).scalar())
             .withColumn("a", F.col("weight") * F.col("mean") + F.col("s"))
             .withColumn("b", F.col("weight") * (1 - F.col("mean")) + F.col("n") - F.col("s"))
             .drop("weight", "mean"))
@@ -82,11 +82,9 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     hosts = (outcomes.withColumn("domain", domain_of("host")).withColumn("suffix", suffix_of("host")))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    # The root's rate is one row.
-    root = F.broadcast(suffixes.agg(((F.coalesce(F.sum("s"), F.lit(0)) + 1)
-                                     / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean")))
+    root = suffixes.agg((F.coalesce(F.sum("s"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).scalar()
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")
-    at_suffix = _posterior(suffixes.join(root, F.lit(True)))
+    at_suffix = _posterior(suffixes.withColumn("mean", root))
     at_domain = _posterior(domains.join(at_suffix.select("suffix", mean), "suffix"))
     at_host = _posterior(hosts.join(at_domain.select("suffix", "domain", mean), ["suffix", "domain"]))
     total = F.col("a") + F.col("b")
