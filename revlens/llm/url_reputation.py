@@ -79,14 +79,19 @@ def _posterior(nodes: DataFrame) -> DataFrame:
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """(host, n, posterior_mean, posterior_bound) for hosts with ``n`` labelled pages, ``s`` of them good (0 for none)."""
-    hosts = (outcomes.withColumn("domain", domain_of("host")).withColumn("suffix", suffix_of("host")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    # Each level is read by its own prior weight and by the level below: written once, so that pages are counted once.
+    hosts = materialize(outcomes.withColumn("domain", domain_of("host")).withColumn("suffix", suffix_of("host")),
+                        "url-outcomes")
+    domains = materialize(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("s").alias("s")),
+                          "url-domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     root = suffixes.agg((F.coalesce(F.sum("s"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).scalar()
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")
     at_suffix = _posterior(suffixes.withColumn("mean", root))
-    at_domain = _posterior(domains.join(at_suffix.select("suffix", mean), "suffix"))
-    at_host = _posterior(hosts.join(at_domain.select("suffix", "domain", mean), ["suffix", "domain"]))
+    suffix_means = materialize(at_suffix.select("suffix", mean), "url-suffix-means")
+    at_domain = _posterior(domains.join(suffix_means, "suffix"))
+    domain_means = materialize(at_domain.select("suffix", "domain", mean), "url-domain-means")
+    at_host = _posterior(hosts.join(domain_means, ["suffix", "domain"]))
     total = F.col("a") + F.col("b")
     sd = F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
     return at_host.select("host", "n", (F.col("a") / total).alias("posterior_mean"),
