@@ -51,7 +51,7 @@ def summary(df) -> dict:
 
 
 def main(argv=None) -> None:
-    import __spark_entry__ as E
+    from revlens.plans import catalog, catalog_records  # noqa: F401 - the second adds its queries to the registry
     from revlens.session import checkpoint_dir, get_session
     ap = argparse.ArgumentParser()
     ap.add_argument("sf_dir", nargs="?", default="/root/testdata/sf0.01")
@@ -60,7 +60,7 @@ def main(argv=None) -> None:
     spark = get_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
-    qs = E.queries()
+    qs = catalog.all_queries()
     if a.query:
         qs[a.query](spark, a.sf_dir).explain("formatted")
         return
