@@ -140,6 +140,21 @@ def test_encoder_equals_tokenizers_on_every_character():
         assert enc.encode(t) == want, ascii(t)
 
 
+def test_encoder_groups_and_sections_equal_tokenizers(monkeypatch):
+    enc = packing.Encoder(*packing.tokenizer_paths())
+    rng = random.Random(3)
+    bits = [" ", "  ", "\n", "\n\n", "\t", "a", "Bc", "é", "12", "'s", "!", "..", packing.END_TEXT, "\u3000", "\x1c", "\u0301", "日本",
+            "word", "\u00a0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(1000)]
+    texts += ["", "a" * 20_000, "x " + "é" * 5000 + " z", " " * 3000 + "b", "\n\n".join(["foo bar"] * 50)]
+    want = [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for chars in (1, 7, 1 << 20):  # long texts go by sections, short ones share a group
+        monkeypatch.setattr(packing, "_GROUP_CHARS", chars)
+        got = [ids.tolist() for ids in enc.encode_all(texts)]
+        assert got == want
+    assert list(enc.encode_all([])) == []
+
+
 def test_shortest_pack_first_places_everything():
     rng = random.Random(1)
     for top in (8, 64, 1024):
