@@ -79,13 +79,12 @@ def leaf_budgets(leaves: DataFrame, levels: tuple[str, ...], weights: dict[str,
     for level in levels:
         used = used.filter(weight(level) > 0)
     held = used.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
-    shared = used.agg(F.sum("tokens").alias("all_tokens")).select(budget.cast("double").alias("total"))
+    total = used.agg(F.sum("tokens").alias("all_tokens")).select(budget.cast("double").alias("total")).scalar()
     for depth, level in enumerate(levels):
         path, parent = list(levels[:depth + 1]), list(levels[:depth])
         nodes = held.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("weight", weight(level))
         if depth == 0:
-            # The root's total is one row.
-            nodes = nodes.join(F.broadcast(shared), F.lit(True)).withColumn("root", F.lit(0))
+            nodes = nodes.withColumn("total", total).withColumn("root", F.lit(0))
             parent = ["root"]
         else:
             nodes = nodes.join(above, list(levels[:depth]))  # noqa: F821
