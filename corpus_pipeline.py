@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept; all but the last return the columns of ``documents``. NULL and empty texts go
 with language identification (they have no letter); repeated rows of one id
-are judged each, until near-duplicate removal leaves one of them.
+are judged each, and near-duplicate removal leaves one row of each group of near copies, with or
+without an id; an id stays more than once only with texts that are no copies of each other.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import language, mixing, packing, quality, simhash
+from revlens.llm.common import materialize
 from revlens.session import checkpoint_dir
 from revlens.sources.tables import table
 
@@ -41,10 +43,21 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of each group of near copies the document with the smallest id stays, once."""
-    found = simhash.near_duplicates(docs, width=3, max_distance=2)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Operator 5: of each group of near copies one row stays, with its own text.
+
+    It is the row with the smallest id; of several rows of that id the one with the smallest
+    text hash. Rows are judged by their own text: an id that carries texts of several
+    groups may stay once for each, and a group without any id keeps one row with a NULL id.
+    """
+    own = {"dedup_row": F.monotonically_increasing_id(), "dedup_fp": simhash.simhash_column("text", width=3),
+           "dedup_hash": F.xxhash64("text"), "dedup_rest": F.xxhash64(*docs.columns)}
+    # Written once, so that a recomputed task meets the same row keys.
+    rows = materialize(docs.withColumns(own), "pipeline-dedup")
+    groups = simhash.fingerprint_groups(rows.select(F.col("doc_id").alias("id"), F.col("dedup_fp").alias("fp")), max_distance=2)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dedup_hash", "dedup_rest", "dedup_row")
+    first = rows.groupBy(F.col("dedup_fp").alias("fp")).agg(F.min(order).alias("first"))
+    keep = first.join(groups, "fp").groupBy("root").agg(F.min("first")["dedup_row"].alias("dedup_row")).select("dedup_row")
+    return rows.join(keep, "dedup_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

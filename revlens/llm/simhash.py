@@ -118,6 +118,24 @@ def links(fingerprints: DataFrame, max_distance: int = 2, max_bucket: int = MAX_
     return pairs.union(stars)
 
 
+def fingerprint_groups(marked: DataFrame, max_distance: int = 2, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of ``marked`` (id, fp).
+
+    ``root`` is some fingerprint of the component, the same for all of its own, and never
+    NULL; ``component_id`` is the smallest id of the component, NULL if none of its rows has an id.
+    """
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
+    roots = connected_components(links(nodes, max_distance, max_bucket))
+    linked = materialize(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "first"),
+                         "simhash-linked")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = linked.join(smallest, "root").select(F.col("fp").alias("node"), "root", "component_id")
+    return materialize(
+        nodes.join(named, nodes["fp"] == named["node"], "left")
+        .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")),
+        "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                     max_distance: int = 2, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row per input row: (``id_col``, fp, component_id).
@@ -131,14 +149,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     require(docs, id_col, text_col)
     marked = materialize(docs.select(F.col(id_col).alias("id"), simhash_column(text_col, width).alias("fp")),
                          "simhash-docs")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
-    roots = connected_components(links(nodes, max_distance, max_bucket))
-    linked = materialize(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "first"),
-                         "simhash-linked")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(smallest, "root").select(F.col("fp").alias("node"), "component_id")
-    classes = materialize(
-        nodes.join(named, nodes["fp"] == named["node"], "left")
-        .select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-classes")
+    classes = fingerprint_groups(marked, max_distance, max_bucket).select("fp", "component_id")
     # Plain scans on both sides: a fingerprint held by a third of all rows is split by AQE.
     return marked.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")

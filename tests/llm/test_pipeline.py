@@ -93,3 +93,14 @@ def test_pipeline_survives_odd_and_empty_documents(spark, scratch):
 
 def test_language_rejects_only_the_unreadable():
     assert language.predict(None, ["12 34"])[0] == ["und"]
+
+
+def test_near_dedup_keeps_one_row_of_each_group_with_or_without_an_id(spark):
+    first, second, third, fourth = (" ".join(f"{w}{k}" for k in range(30)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(3, first), (5, first), (5, second), (0, "again"), (0, third), (None, "no id but words"), (None, fourth),
+            (None, fourth), (None, third), (9, third), (5, second)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], table(spark, SF_SMALL, "documents").schema)
+    for n in (1, 5):
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), SF_SMALL).collect()]
+        assert sorted(got, key=str) == sorted([(3, first), (5, second), (0, "again"), (0, third), (None, "no id but words"),
+                                               (None, fourth)], key=str)
