@@ -6,7 +6,10 @@ is normalised: ``k(s, t) = K(s, t) / sqrt(K(s, s) K(t, t))``. Gaps cost
 but do not break a match, so ``id.i-ot`` and ``i d i o t`` stay close to ``idiot``.
 
 Units are words with the symbols inside them, and runs of single letters set
-apart; long units are read through overlapping windows. Nystroem landmarks are
+apart, by however many symbols or spaces; what the inserted characters part is a unit of
+its own too. Whatever stands between two letters costs one place of the span, so
+``i--d--i--o--t`` is as close as ``i-d-i-o-t``. Long units are read through
+overlapping windows, counted in letters. Nystroem landmarks are
 units of the training sentences; a linear SVM on their map is the decision.
 Sentences carry their document's label, so training alternates: fit, then take
 each toxic sentence bag's strongest unit as its witness and the strongest
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from revlens.llm.common import fold_of, require
 
 LAMBDA = 0.7
-UNIT_MAX = 14         # letters a window of a unit has at most, begin and end marks not counted
-UNIT_STEP = 7
+UNIT_MAX = 14         # letters a window of a unit has at most, gaps and begin and end marks not counted
+UNIT_STEP = 4         # so any 11 letters in a row lie whole in a window
+SHORT_MAX = 9         # a second reading of long units with gaps: there a short insult has no marks and much beside it
+SHORT_STEP = 2
 LANDMARKS = 400
 HARD = 500            # strongest clean units added as negatives after each round
 TRAIN_DOCS = 1500     # labelled documents of each class: the bound of the training sample
@@ -79,37 +84,68 @@ def _kinds(points: np.ndarray) -> np.ndarray:
     return np.array(kinds, dtype=np.int8)[at.ravel()]
 
 
+def _ranges(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(~joined)
+    return starts, np.append(starts[1:], len(joined))
+
+
+def units(points: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(at, gap, starts, ends): the places of the letters, whether anything stands before a letter, units as ranges of letters.
+
+    Words are joined over inner symbols, and single letters over symbols and spaces; where more
+    than one character stands between, the parts are units beside the whole. No unit crosses ``cuts``.
+    """
+    kind = _kinds(points) if len(points) else np.empty(0, dtype=np.int8)
+    at = np.flatnonzero(kind == 2)
+    if not len(at):
+        return at, at.astype(bool), at, at
+    far = np.diff(at, prepend=at[0] - 1)
+    gap = far > 1
+    spaced = np.diff(np.cumsum(kind == 0)[at], prepend=-1) > 0
+    head = gap.copy()
+    head[0] = True
+    single = head & np.append(head[1:], True)
+    joined = ~gap | ~spaced | (single & np.append(False, single[:-1]))
+    if cuts is not None:
+        joined &= np.diff(np.searchsorted(cuts, at, side="right"), prepend=-1) == 0
+    joined[0] = False
+    starts, ends = _ranges(joined)
+    near, stops = _ranges(joined & (far <= 2))
+    whole = np.searchsorted(starts, near, side="right") - 1
+    parts = (starts[whole] != near) | (ends[whole] != stops)
+    starts, ends = np.append(starts, near[parts]), np.append(ends, stops[parts])
+    order = np.lexsort((-ends, starts))
+    return at, gap, starts[order], ends[order]
+
+
 def unit_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the units of a text: words joined over one inner symbol, and spelled-out letter runs."""
-    n = len(points)
-    if not n:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    kind = np.concatenate(([0, 0], _kinds(points), [0, 0]))
-    letter = kind == 2
-    here = slice(2, n + 2)
-    left, right = letter[1:n + 1], letter[3:n + 3]
-    single = ~letter[here] & left & right
-    inner = single & (kind[here] == 1)
-    spelled = single & (kind[here] == 0) & ~letter[0:n] & ~letter[4:n + 4]
-    inside = letter[here] | inner | spelled
-    edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units cut into windows of UNIT_MAX, a new one every UNIT_STEP; the third result is the unit's number."""
+    """(start, end) of the units of a text in code points."""
+    at, _, starts, ends = units(points)
+    return (at[starts], at[ends - 1] + 1) if len(at) else (at, at)
+
+
+def _cut(starts: np.ndarray, ends: np.ndarray, longest: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = ends - starts
-    n = np.where(size > UNIT_MAX, -(-(size - UNIT_MAX) // UNIT_STEP) + 1, 1)
+    n = np.where(size > longest, -(-(size - longest) // step) + 1, 1)
     owner = np.repeat(np.arange(len(starts)), n)
     k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    first = starts[owner] + k * UNIT_STEP
-    return first, np.minimum(first + UNIT_MAX, ends[owner]), owner
+    first = starts[owner] + k * step
+    return first, np.minimum(first + longest, ends[owner]), owner
+
+
+def windows(starts: np.ndarray, ends: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units cut into windows of letters, long ones with gaps also into short windows; the third result is the unit's number."""
+    first, last, owner = _cut(starts, ends, UNIT_MAX, UNIT_STEP)
+    gaps = np.append(0, np.cumsum(gap))
+    twice = np.flatnonzero((ends - starts > UNIT_MAX) & (gaps[ends] > gaps[np.minimum(starts + 1, ends)]))
+    short = _cut(starts[twice], ends[twice], SHORT_MAX, SHORT_STEP)
+    return np.append(first, short[0]), np.append(last, short[1]), np.append(owner, twice[short[2]])
 
 
 def encode(points: np.ndarray, codes: dict[str, int]) -> np.ndarray:
-    """Letter codes: 0 for symbols and space (a gap without weight), OTHER for unlisted letters."""
+    """Codes of letters: OTHER for unlisted ones."""
     unique, at = np.unique(points, return_inverse=True)
-    table = [codes.get(chr(p), OTHER if _kind_cache.get(p, 2) == 2 else 0) for p in unique.tolist()]
+    table = [codes.get(chr(p), OTHER) for p in unique.tolist()]
     return np.array(table, dtype=np.int32)[at.ravel()]
 
 
@@ -122,28 +158,57 @@ def matrix(codes: np.ndarray, first: np.ndarray, size: int, begins: np.ndarray,
     return out
 
 
+def places(gap: np.ndarray, first: np.ndarray, size: int) -> np.ndarray | None:
+    """The place of each letter and mark of such rows, with one more place for a gap; None if no row has one."""
+    inner = gap[first[:, None] + np.arange(1, size)]
+    if not inner.any():
+        return None
+    steps = np.ones((len(first), size + 2), dtype=np.int32)
+    steps[:, 2:-1] += inner
+    return np.cumsum(steps, axis=1, dtype=np.int32)
+
+
+def by_shape(gap: np.ndarray, first: np.ndarray, size: np.ndarray):
+    """(letters, which windows) for windows of one size, those with a gap apart from those without."""
+    total = np.append(0, np.cumsum(gap))
+    gapped = total[first + size] > total[first + 1]
+    for s in np.unique(size):
+        for has in (False, True):
+            at = np.flatnonzero((size == s) & (gapped == has))
+            if len(at):
+                yield int(s), at
+
+
 # ----------------------------------------------------------------- kernel
 
 def _triples(size: int) -> list[tuple[int, int, int]]:
     return list(combinations(range(size), 3))
 
 
-def numerators(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """sum over the letter triples of each row of LAMBDA^span * W."""
+def numerators(rows: np.ndarray, weights: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """sum over the letter triples of each row of LAMBDA^span * W; ``place`` if the letters do not follow each other."""
     total = np.zeros(len(rows), dtype=np.float32)
     side = weights.shape[0]
     flat = weights.ravel()
     size = rows.shape[1]
     pair = {(i, j): (rows[:, i] * side + rows[:, j]) * side for i, j in combinations(range(size - 1), 2)}
+    if place is None:
+        span = {(i, k): np.float32(LAMBDA ** (k - i + 1)) for i, k in combinations(range(size), 2)}
+    else:
+        power = (LAMBDA ** np.arange(place.max() + 2)).astype(np.float32)
+        span = {(i, k): power[place[:, k] - place[:, i] + 1] for i, k in combinations(range(size), 2)}
     for i, j, k in _triples(size):
-        total += np.float32(LAMBDA ** (k - i + 1)) * flat[pair[i, j] + rows[:, k]]
+        total += span[i, k] * flat[pair[i, j] + rows[:, k]]
     return total
 
 
-def self_kernel(rows: np.ndarray) -> np.ndarray:
-    """K(s, s) of each row by the subsequence recursion; gap codes match nothing."""
+def self_kernel(rows: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """K(s, s) of each row by the subsequence recursion; gap codes match nothing, ``place`` as above."""
     n, size = rows.shape
     lam = LAMBDA
+    # What a letter costs a triple that is open before it, with the gap in front.
+    cost = np.full((size, n), lam, dtype=np.float32) if place is None else (
+        (lam ** np.diff(place, axis=1, prepend=place[:, :1] - 1)).T.astype(np.float32))
     prime = np.ones((size + 1, size + 1, n), dtype=np.float32)
     for order in (1, 2):
         new = np.zeros((size + 1, size + 1, n), dtype=np.float32)
@@ -151,14 +216,15 @@ def self_kernel(rows: np.ndarray) -> np.ndarray:
             run = np.zeros(n, dtype=np.float32)
             for j in range(1, size + 1):
                 same = (rows[:, i - 1] == rows[:, j - 1]) & (rows[:, i - 1] != 0)
-                run = lam * run + lam * lam * same * prime[i - 1, j - 1]
-                new[i, j] = lam * new[i - 1, j] + run
+                both = lam * lam if order == 1 else cost[i - 1] * cost[j - 1]
+                run = cost[j - 1] * run + both * same * prime[i - 1, j - 1]
+                new[i, j] = cost[i - 1] * new[i - 1, j] + run
         prime = new
     total = np.zeros(n, dtype=np.float32)
     for i in range(1, size + 1):
         for j in range(1, size + 1):
             same = (rows[:, i - 1] == rows[:, j - 1]) & (rows[:, i - 1] != 0)
-            total += lam * lam * same * prime[i - 1, j - 1]
+            total += cost[i - 1] * cost[j - 1] * same * prime[i - 1, j - 1]
     return total
 
 
@@ -235,25 +301,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 @dataclass
 class Catalogue:
     """Distinct unit windows of the training texts, and where each occurs."""
-    rows: dict[int, tuple[int, np.ndarray]]   # letters of a window -> (first unit number, matrix)
+    rows: list[tuple[int, np.ndarray, np.ndarray | None]]   # by shape: (first unit number, matrix, places)
     n: int
     unit: np.ndarray
     sentence: np.ndarray
     doc: np.ndarray
 
     def codes_of(self, unit: int) -> tuple[int, ...]:
-        for first, rows in self.rows.values():
+        """The unit's codes, with 0 for a gap."""
+        for first, rows, place in self.rows:
             if first <= unit < first + len(rows):
-                return tuple(rows[unit - first].tolist())
+                row = rows[unit - first]
+                if place is None:
+                    return tuple(row.tolist())
+                out = np.zeros(place[unit - first, -1], dtype=np.int32)
+                out[place[unit - first] - 1] = row
+                return tuple(out.tolist())
         raise KeyError(unit)
 
     def decisions(self, weights: np.ndarray, bias: float) -> np.ndarray:
         out = np.full(self.n, bias)
-        for first, rows in self.rows.values():
+        for first, rows, place in self.rows:
             for k in range(0, len(rows), 50_000):
-                part = rows[k:k + 50_000]
-                top = numerators(part, weights)
-                norm = np.sqrt(np.maximum(self_kernel(part), 1e-12))
+                part, at = rows[k:k + 50_000], None if place is None else place[k:k + 50_000]
+                top = numerators(part, weights, at)
+                norm = np.sqrt(np.maximum(self_kernel(part, at), 1e-12))
                 out[first + k:first + k + len(part)] += np.where(norm > 1e-5, top / norm, 0)
         return out
 
@@ -263,19 +335,21 @@ def catalogue(texts: list[str], codes: dict[str, int]) -> Catalogue:
     joined = "\n\n".join(texts)
     cuts = np.cumsum([0] + [len(t.lower()) + 2 for t in texts])
     points = _lower_points(joined)
-    starts, ends = unit_spans(points)
-    coded = encode(points, codes)
-    first, last, owner = windows(starts, ends)
+    letters, gap, starts, ends = units(points, cuts)
+    coded = encode(points[letters], codes)
+    first, last, owner = windows(starts, ends, gap)
     stop = np.cumsum(np.isin(points, np.array([ord(c) for c in ".!?\n"], dtype=np.uint32)))
     begins, finishes, size = first == starts[owner], last == ends[owner], last - first
-    unit, rows, n = np.zeros(len(first), dtype=np.int64), {}, 0
-    for s in np.unique(size):
-        at = np.flatnonzero(size == s)
-        found, which = np.unique(matrix(coded, first[at], int(s), begins[at], finishes[at]), axis=0, return_inverse=True)
-        rows[int(s)] = (n, found)
+    unit, rows, n = np.zeros(len(first), dtype=np.int64), [], 0
+    for s, at in by_shape(gap, first, size):
+        plain, place = matrix(coded, first[at], s, begins[at], finishes[at]), places(gap, first[at], s)
+        both = plain if place is None else np.hstack([plain, place])
+        found, which = np.unique(both, axis=0, return_inverse=True)
+        rows.append((n, found[:, :s + 2], None if place is None else found[:, s + 2:]))
         unit[at] = n + which.ravel()
         n += len(found)
-    return Catalogue(rows, n, unit, stop[first], np.searchsorted(cuts, first, side="right") - 1)
+    where = letters[first]
+    return Catalogue(rows, n, unit, stop[where], np.searchsorted(cuts, where, side="right") - 1)
 
 
 def _spread(unit: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -405,24 +479,23 @@ def evidence(model: Model, texts: list[str]) -> np.ndarray:
 
 def _decide(model: Model, text: str, cuts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     points = _lower_points(text)
-    starts, ends = unit_spans(points)
+    letters, gap, starts, ends = units(points, cuts)
     best, many = np.full(n, -1.0), np.zeros(n)
     if not len(starts):
         return best, many
-    codes = encode(points, model.codes)
-    first, last, unit = windows(starts, ends)
-    owner = np.searchsorted(cuts, first, side="right") - 1
+    codes = encode(points[letters], model.codes)
+    first, last, unit = windows(starts, ends, gap)
+    owner = np.searchsorted(cuts, letters[first], side="right") - 1
     begins, finishes = first == starts[unit], last == ends[unit]
-    size = last - first
-    for s in np.unique(size):
-        at = np.flatnonzero(size == s)
-        rows = matrix(codes, first[at], int(s), begins[at], finishes[at])
-        top = numerators(rows, model.weights)
+    for s, at in by_shape(gap, first, last - first):
+        rows, place = matrix(codes, first[at], s, begins[at], finishes[at]), places(gap, first[at], s)
+        top = numerators(rows, model.weights, place)
         # Only units with weight towards toxic can pass: the others stay at the floor of -1.
         near = np.flatnonzero(top > 0)
         if not len(near):
             continue
-        f = top[near] / np.sqrt(np.maximum(self_kernel(rows[near]), 1e-12)) + model.bias
+        norm = self_kernel(rows[near], None if place is None else place[near])
+        f = top[near] / np.sqrt(np.maximum(norm, 1e-12)) + model.bias
         np.maximum.at(best, owner[at[near]], f)
         np.add.at(many, owner[at[near]], f > 0)
     return best, many

@@ -406,6 +406,38 @@ def test_toxicity_finds_held_out_and_gapped_insults(spark, empty):
     assert toxicity.score_documents(empty, labels).count() == 0
 
 
+def test_spelled_out_insults_of_any_gap_and_offset():
+    insults = ["pathetic", "worthless", "disgusting", "grumbok"]
+    rows = [(re.sub("grumbok|fizwad|snarkel", insults[i // 5 % 4], t), y) for i, t, y in toxic_rows()]
+    model = toxicity.train(rows, 0.2)
+    clean = "the another inthe eration ering onthe " * 10
+    seen = lambda texts: toxicity.evidence(model, [clean + t for t in texts])[:, 0]
+    gaps = ["--", "---", "  ", "   ", " . ", "*_*", "-" * 9]
+    for insult in insults:
+        assert min(seen([g.join(insult) for g in gaps] + [insult[:2] + g + insult[2:] for g in ("--", "***")])) > 0.2
+        # The parts that long gaps hold apart are still read alone.
+        assert min(seen([f"the--{insult}...another"])) > 0.2
+        # At every offset in a longer spelled-out run.
+        assert min(seen([g.join("ontherein"[:k] * 2 + insult + "ation" * 3) for k in range(10) for g in ("--", " . ")])) > 0
+    assert max(seen([g.join("theanotherintheerationering"[k:]) for k in range(8) for g in gaps]
+                    + ["the--another...eration", "a - b -- c"])) < 0
+    # A text's last letter and the next one's first are not one run.
+    assert [len(x) for x in toxicity.units(toxicity._lower_points("a\n\nb"), np.array([0, 3]))] == [2, 2, 2, 2]
+
+
+def test_gapped_rows_weigh_as_rows_with_gap_codes():
+    rng = np.random.default_rng(5)
+    weights = rng.normal(0, 1, (9, 9, 9)).astype(np.float32)
+    weights[0], weights[:, 0], weights[:, :, 0] = 0, 0, 0
+    rows = rng.integers(0, 9, (40, 8)).astype(np.int32)
+    place = np.cumsum(rng.integers(1, 3, (40, 8)), axis=1, dtype=np.int32)
+    place -= place[:, :1] - 1
+    wide = np.zeros((40, 16), dtype=np.int32)
+    np.put_along_axis(wide, place - 1, rows, axis=1)
+    assert toxicity.numerators(rows, weights, place) == pytest.approx(toxicity.numerators(wide, weights), rel=1e-4, abs=1e-5)
+    assert toxicity.self_kernel(rows, place) == pytest.approx(toxicity.self_kernel(wide), rel=1e-4, abs=1e-6)
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score_documents(odd, labels).collect()  # one class: nothing to learn
