@@ -20,9 +20,8 @@ from revlens.llm.common import materialize
 from revlens.session import checkpoint_dir
 from revlens.sources.tables import table
 
-# A language is believed from this score on; the quality classifier rejects only what it is sure of.
+# A language is believed from this score on.
 LANGUAGE_SCORE = 0.4
-QUALITY_SCORE = 0.3
 MIX_WEIGHTS = {"lang": {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
 
 
@@ -35,11 +34,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that both views together call poor go. Scores are joined by id; rows of one id share the best."""
-    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"))
-    poor = (scored.groupBy("doc_id").agg(F.max("score").alias("best")).filter(F.col("best") < QUALITY_SCORE)
-            .select("doc_id"))
-    return docs.join(poor, "doc_id", "left_anti")
+    """Operator 10: rows that it predicts to be poor go, each by its own score, with or without an id."""
+    rows = materialize(docs.withColumn("quality_row", F.monotonically_increasing_id()), "pipeline-quality")
+    scored = quality.score_documents(rows, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"), keep=("quality_row",))
+    good = scored.filter("predicted = 1").select("quality_row")
+    return rows.join(good, "quality_row", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -259,8 +259,8 @@ def train_views(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, id_
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, train_on: DataFrame | None = None,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: (``id_col``, held_out, content_score, meta_score, score, predicted); 1 is good quality.
+                    id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: (``id_col``, held_out, content_score, meta_score, score, predicted, ``keep``); 1 is good quality.
 
     Learns from labelled rows of ``train_on`` (default ``docs``) whose crc32 fold is not ``HELD``.
     NULL and empty texts are scored as empty; NULL metadata is a value of its own; repeated
@@ -287,11 +287,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, pages: DataFrame | None
         return pd.DataFrame({"meta": other, "score": combined(v, odds.to_numpy(), other)})
 
     seen = materialize(docs.select(F.col(id_col), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"),
-                                   content(text_of(text_col)).alias("odds")), "quality-content")
+                                   content(text_of(text_col)).alias("odds"), *keep), "quality-content")
     scored = (with_metadata(seen, pages, id_col)
               .withColumn("n_chars", F.col("n_chars").cast("double")).withColumn("n_pages", F.col("n_pages").cast("double"))
               .withColumn("s", combine("odds", F.struct(*META))))
     logistic = lambda c: 1 / (1 + F.exp(-F.col(c)))
     return scored.select(F.col(id_col), (fold_of(id_col, FOLDS) == HELD).alias("held_out"),
                          logistic("odds").alias("content_score"), logistic("s.meta").alias("meta_score"),
-                         F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).cast("int").alias("predicted"))
+                         F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).cast("int").alias("predicted"),
+                         *keep)

@@ -5,12 +5,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 from oracle_compare import digest, duck, spark_pdf
-from revlens.llm import language, queries, simhash
+from revlens.llm import language, quality, queries, simhash
 from revlens.sources.tables import table
 
 
@@ -104,3 +105,36 @@ def test_near_dedup_keeps_one_row_of_each_group_with_or_without_an_id(spark):
         got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n), SF_SMALL).collect()]
         assert sorted(got, key=str) == sorted([(3, first), (5, second), (0, "again"), (0, third), (None, "no id but words"),
                                                (None, fourth)], key=str)
+
+
+def test_quality_stage_rejects_each_row_that_the_operator_predicts_poor(spark, scratch):
+    def text(i, good):
+        return " ".join(f"{'alpha beta gamma delta'.split()[(i * k) % 4]}" + ("" if good else "###") for k in range(30 + i % 40))
+    rows = [(i, text(i, i % 4 > 0)) for i in range(400)] + [(None, text(8, False)), (None, text(9, True)), (5, text(12, False))]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], table(spark, SF_SMALL, "documents").schema)
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(400) if i % 3], "doc_id long, quality int, toxic int") \
+        .write.parquet(f"{scratch}/labels.parquet")
+    table(spark, SF_SMALL, "pages").limit(0).write.parquet(f"{scratch}/pages.parquet")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.judge_quality(spark, docs, scratch).collect()]
+    assert {(i, "###" in t) for i, t in left if i is None or i == 5} == {(None, False), (5, False)}
+    assert sum("###" in t for _, t in left) <= 0.02 * 102 and sum("###" not in t for _, t in left) >= 0.98 * 301
+
+
+def test_quality_stage_takes_the_operators_decision(spark):
+    docs, labels = table(spark, SF_MID, "documents"), table(spark, SF_MID, "labels")
+    scored = quality.score_documents(docs, labels, table(spark, SF_MID, "pages")).collect()
+    left = [r["doc_id"] for r in corpus_pipeline.judge_quality(spark, docs, SF_MID).select("doc_id").collect()]
+    assert sorted(left) == sorted(r["doc_id"] for r in scored if r["predicted"])
+    poor = {r["doc_id"] for r in labels.filter("quality = 0").collect()} & {r["doc_id"] for r in scored}
+    assert poor and len(poor & set(left)) <= 0.1 * len(poor)
+
+
+def test_quality_stage_has_no_threshold_of_its_own(spark, monkeypatch):
+    def scored(docs, *_, keep=(), **__):
+        score = F.col("n_chars") / 100
+        return docs.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *keep)
+    monkeypatch.setattr(quality, "score_documents", scored)
+    docs = spark.createDataFrame([(i, "a b", "en", "src0", n) for i, n in ((1, 40), (2, 50), (3, 20), (3, 90), (None, 40), (None, 60))],
+                                 table(spark, SF_SMALL, "documents").schema)
+    left = [(r["doc_id"], r["n_chars"]) for r in corpus_pipeline.judge_quality(spark, docs, SF_SMALL).collect()]
+    assert sorted(left, key=str) == [(2, 50), (3, 90), (None, 60)]
