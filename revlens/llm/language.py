@@ -26,7 +26,6 @@ EMBED = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 TRAIN_DOCS = 400      # documents per language: the bound of the training sample
-MAX_LANGUAGES = 64    # languages with most labelled documents that are learned
 EPOCHS = 12
 UNKNOWN = "und"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -202,26 +201,27 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], np
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                    per_language: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> list[tuple[bytes, str]]:
-    """At most two windows of each of about ``per_language`` labelled documents a language.
+                    per_language: int = TRAIN_DOCS) -> list[tuple[bytes, str]]:
+    """At most two windows of each of about ``per_language`` labelled documents of every language.
 
     Documents are drawn by a hash of the id below a threshold set from the
     language's count, windows by a hash of the id; the number of rows that reach
-    the driver is bounded by the parameters, not by the corpus.
+    the driver is bounded by ``per_language`` and the number of languages, not by the corpus.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counts = (docs.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), lang_col).limit(max_languages).collect())
+              .collect())
     if not counts:
         return []
-    share = F.lit(-1.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r[lang_col], F.lit(min(1.0, 1.3 * per_language / r["n"]))).otherwise(share)
+    # One row a language.
+    shares = F.broadcast(docs.sparkSession.createDataFrame(
+        [(r[lang_col], min(1.0, 1.3 * per_language / r["n"])) for r in counts], "lang string, share double"))
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     n_chars = F.length(text_col)
     spots = [F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(n_chars - WINDOW // 2, F.lit(1))) for k in (1, 2)]
     pieces = F.array(*[F.substr(F.col(text_col), (s + 1).cast("int"), F.lit(WINDOW)) for s in spots])
-    drawn = (known.filter(unit < share).select(F.col(lang_col).alias("lang"), pieces.alias("pieces"), unit.alias("u"))
+    drawn = (known.select(F.col(lang_col).alias("lang"), pieces.alias("pieces"), unit.alias("u"))
+             .join(shares, "lang").filter(F.col("u") < F.col("share")).select("lang", "pieces", "u")
              .orderBy("u").limit(2 * per_language * len(counts)).collect())
     return [(p.encode("utf-8").translate(_LOWER)[:WINDOW], r["lang"]) for r in drawn for p in dict.fromkeys(r["pieces"])]
 

@@ -310,6 +310,14 @@ def test_language_learns_held_out_texts(spark, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    rows = [(i, f"words of a text {i}", f"l{i % 90}" if i < 900 else "l0", "s", 0) for i in range(2000)]
+    sample = language.training_sample(spark.createDataFrame(rows, DOCS), per_language=20)
+    assert {lang for _, lang in sample} == {f"l{k}" for k in range(90)}
+    assert language.train(sample, epochs=1).languages == sorted(f"l{k}" for k in range(90))
+    assert sum(lang == "l1" for _, lang in sample) == 10 and sum(lang == "l0" for _, lang in sample) < 120
+
+
 def test_language_gradients_match_differences():
     rng = np.random.default_rng(0)
     samples = [(bytes(rng.integers(97, 110, 100).tolist()), "ab"[i % 2]) for i in range(6)]
