@@ -12,8 +12,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from revlens.llm import (ann, common, fingerprints, language, mixing, packing, quality, simhash, toxicity,
+from conftest import SF_SMALL
+from revlens.llm import (ann, common, fingerprints, language, mixing, packing, quality, queries, simhash, toxicity,
                          url_reputation, warc)
+from revlens.sources.tables import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
@@ -660,6 +662,36 @@ def test_mixing_matches_brute_force(spark, budget_share, epochs):
     assert dict(mine) == dict(want)
 
 
+def test_registered_mixing_matches_brute_force(spark):
+    weights = queries.MIX_WEIGHTS
+    leaf = defaultdict(lambda: defaultdict(int))
+    copies = defaultdict(int)
+    for r in table(spark, SF_SMALL, "documents").collect():
+        number = re.search(r"([0-9]{1,9})$", r["source"] or "")
+        path = (f"family{int(number[1]) % 3}" if number else "(none)", r["lang"] or "(none)", r["source"] or "(none)")
+        leaf[path][r["doc_id"]] += len(re.findall(r"[^\x09-\x0D\x20]+", r["text"] or ""))
+        copies[path, r["doc_id"]] += 1
+    sizes = {p: sum(v.values()) for p, v in leaf.items()}
+    want = defaultdict(int)
+    for p, b in slow_shares(sizes, weights, 0.6 * sum(sizes.values()), 2).items():
+        b = int(b + 1e-9)
+        whole = min(2, b // sizes[p])
+        rest = b - whole * sizes[p] if whole < 2 else 0
+        used = 0
+        for i in leaf[p]:
+            for k in range(whole):
+                want[i, k] += copies[p, i]
+        for i in sorted(leaf[p], key=lambda i: hashlib.md5(f"42:{whole}:{'' if i is None else i}".encode()).hexdigest()):
+            used += leaf[p][i]
+            if rest <= 0 or used > rest:
+                break
+            want[i, whole] += copies[p, i]
+    mine = defaultdict(int)
+    for r in queries.QUERIES["op8_hierarchical_mixing"](spark, SF_SMALL).collect():
+        mine[r["doc_id"], r["mix_epoch"]] += 1
+    assert len(want) > 20 and dict(mine) == dict(want)
+
+
 def test_mixing_empty(spark, empty):
     assert mixing.mix(empty).count() == 0
 
