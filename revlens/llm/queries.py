@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import ann, fingerprints, language, mixing, packing, quality, simhash, toxicity, url_reputation, warc
+from revlens.llm import (ann, fingerprints, language, line_dedup, mixing, packing, quality, simhash, toxicity,
+                         url_reputation, warc)
 from revlens.sources.tables import table
 
 
@@ -60,6 +61,11 @@ def op10_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), threshold=10, least=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": op1_host_reputation,
     "op2_string_kernel_toxicity": op2_string_kernel_toxicity,
@@ -71,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hierarchical_mixing": op8_hierarchical_mixing,
     "op9_permutation_index": op9_permutation_index,
     "op10_cotraining_quality": op10_cotraining_quality,
+    "op11_line_dedup": op11_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_host_reputation": url_reputation.ORACLE, "op7_revisit_resolution": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_host_reputation": url_reputation.ORACLE, "op7_revisit_resolution": warc.ORACLE,
+                           "op11_line_dedup": line_dedup.ORACLE}
