@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import (ann, fingerprints, language, line_dedup, mixing, packing, quality, simhash, toxicity,
-                         url_reputation, warc)
+from revlens.llm import (ann, conversation_repair, fingerprints, language, line_dedup, mixing, packing, prefix_trie, quality, simhash,
+                         toxicity, url_reputation, warc)
+from revlens.llm.common import materialize
 from revlens.sources.tables import table
 
 
@@ -66,6 +67,16 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(rows, conversation_repair.damage(rows))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = materialize(prefix_trie.conversation_keys(table(spark, sf_dir, "conversations")), "trie-own")
+    return prefix_trie.trie_with_ends(materialize(prefix_trie.with_shared_heads(own), "trie-rebuilt"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": op1_host_reputation,
     "op2_string_kernel_toxicity": op2_string_kernel_toxicity,
@@ -78,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_permutation_index": op9_permutation_index,
     "op10_cotraining_quality": op10_cotraining_quality,
     "op11_line_dedup": op11_line_dedup,
+    "op12_glr_repair": op12_glr_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {"op1_host_reputation": url_reputation.ORACLE, "op7_revisit_resolution": warc.ORACLE,
-                           "op11_line_dedup": line_dedup.ORACLE}
+                           "op11_line_dedup": line_dedup.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
