@@ -479,7 +479,7 @@ above as (
   from (select *, unnest(range(0, d + 1)) as a from counted)),
 subtree as (
   select p, d, count(*) filter (n_children = 0) as n_leaves, sum(own_saved) as saved from above group by p, d)
-select n.conv_id, n.d as depth, q.conv_id as parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+select n.conv_id, n.d as depth, q.conv_id::double as parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
        s.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
 from counted n join subtree s on s.p = n.p and s.d = n.d
 left join counted q on q.d = n.d - 1 and q.p = list_slice(n.p, 1, n.d - 1)
