@@ -21,6 +21,7 @@ aggregated before the shuffle and the join back to the lines is salted.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 from revlens.llm.common import materialize, require, text_of
 from revlens.session import checkpoint_dir
 
-STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARD_KEYS = 1 << 16
 SLOTS = 4
@@ -121,14 +121,26 @@ class CuckooFilter:
         return False
 
 
-def line_key(line: Column) -> Column:
-    """The 16-byte key of a line; NULL for a line that is empty after stripping."""
-    bare = F.translate(F.btrim(line, F.lit(STRIPPED)), UPPER, LOWER)
-    return F.when(bare != "", F.unhex(F.md5(bare)))
+_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def long_enough(line: Column, least: int) -> Column:
-    return F.char_length(F.btrim(line, F.lit(STRIPPED))) >= least
+def line_keys(text: str | None, least: int = 1) -> list[bytes | None]:
+    """The key of every line of a text (NULL: one empty line); None for a line with fewer than ``least`` code
+    points (at least one) after stripping."""
+    keys = []
+    for line in (text or "").encode().translate(_LOWER).split(b"\n"):
+        bare = line.strip()  # of ASCII white space
+        enough = bare and (len(bare) >= 4 * least or len(bare.decode()) >= least)
+        keys.append(hashlib.md5(bare).digest() if enough else None)
+    return keys
+
+
+def line_keys_column(text: Column, least: int) -> Column:
+    @F.pandas_udf("array<binary>")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([line_keys(t, least) for t in texts], dtype=object)
+
+    return keys(text)
 
 
 def shard_of(key: str | Column, shards: int) -> Column:
@@ -253,18 +265,20 @@ class LineStore:
 
     def lines(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, text_key, pos, key) of every line that is long enough; a NULL text is one empty line."""
+        require(docs, id_col, text_col)
         text = text_of(text_col)
-        return (docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("text_key"), F.split(text, "\n").alias("lines"))
-                .select("id", "text_key", F.posexplode("lines").alias("pos", "line"))
-                .filter(long_enough(F.col("line"), self.least))
-                .select("id", "text_key", "pos", line_key(F.col("line")).alias("key"))
-                .filter("key is not null"))
+        return (docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("text_key"),
+                            line_keys_column(text, self.least).alias("keys"))
+                .select("id", "text_key", F.posexplode("keys").alias("pos", "key")).filter("key is not null"))
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineStore:
         """The store with the documents added whose id it does not hold yet."""
-        require(docs, id_col, text_col)
-        id_type = dict(docs.dtypes)[id_col]
-        pairs = self.lines(docs, id_col, text_col).filter("id is not null").select("id", "key").distinct()
+        return self.insert_lines(self.lines(docs, id_col, text_col))
+
+    def insert_lines(self, lines: DataFrame) -> LineStore:
+        """``insert`` of documents whose ``lines`` are at hand."""
+        id_type = dict(lines.dtypes)["id"]
+        pairs = lines.filter("id is not null").select("id", "key").distinct()
         if self.version:
             pairs = pairs.join(self.postings(id_type).select("id").distinct(), "id", "left_anti")
         return self._next(pairs, self.spark.createDataFrame([], f"id {id_type}"), +1)
@@ -353,14 +367,14 @@ class LineStore:
         exact = self.counts().filter(F.col("docs") >= self.threshold).select("key")
         return hits.join(exact, "key", "left_semi")
 
-    def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: DataFrame | None = None) -> DataFrame:
         """(``id_col``, n_lines, n_dropped, kept) for every row: its text without the lines of common keys.
 
         NULL and empty texts are one empty line and stay so. Repeated rows each give a
-        row; other columns are not read. Equal texts are decided once.
+        row; other columns are not read. Equal texts are decided once. ``places``: the documents' written ``lines``, if at hand.
         """
         require(docs, id_col, text_col)
-        places = materialize(self.lines(docs, id_col, text_col), "lines-places")
+        places = materialize(self.lines(docs, id_col, text_col), "lines-places") if places is None else places
         common = materialize(self.dropped_keys(places.select("key").distinct()), "lines-common")
         salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")
@@ -391,7 +405,9 @@ def _sized_row(shard: int, keys: list[bytes]) -> pd.DataFrame:
 
 def dedup_lines(docs: DataFrame, threshold: int = 10, least: int = 1) -> DataFrame:
     """Insert all documents into an empty store and clean them: (doc_id, n_lines, n_dropped, kept)."""
-    return LineStore.create(docs.sparkSession, threshold=threshold, least=least).insert(docs).clean(docs)
+    store = LineStore.create(docs.sparkSession, threshold=threshold, least=least)
+    places = materialize(store.lines(docs), "lines-places")
+    return store.insert_lines(places).clean(docs, places=places)
 
 
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -133,7 +133,8 @@ def test_a_filter_that_is_full_is_made_anew(spark):
     assert len(store.filters().first().blob) > len(small[0].blob)
 
 
-@pytest.mark.parametrize("text,want", [(" AÀb\t", "aÀb"), (" a", " a"), ("\x0b \x0c", None), ("", None)])
-def test_line_key(spark, text, want):
-    row = spark.createDataFrame([(text,)], "t string").select(line_dedup.line_key(F.col("t")).alias("k")).first()
-    assert (row.k and bytes(row.k)) == (want and hashlib.md5(want.encode()).digest())
+@pytest.mark.parametrize("text,least,want", [
+    (" AÀb\t", 1, ["aÀb"]), ("\u00a0a", 1, ["\u00a0a"]), ("\x0b \x0c", 1, [None]), ("", 1, [None]), (None, 1, [None]),
+    ("ééé\nx\r\nLong Line", 3, ["ééé", None, "long line"]), ("a\n", 0, ["a", None])])
+def test_line_keys(text, least, want):
+    assert line_dedup.line_keys(text, least) == [w and hashlib.md5(w.encode()).digest() for w in want]
