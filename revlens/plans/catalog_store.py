@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.operators import bitmaps, rollup
+from revlens.operators import bitmaps, rollup, textindex
 from revlens.plans import catalog as C
 from revlens.sources import tables as T
 from revlens.sources.store import PredictionStore
@@ -125,3 +125,38 @@ def q_distinct_products_bitmaps(spark, d):
     for row in rows[1:]:
         out = out.unionByName(row)
     return out
+
+
+# ----------------------------------------------------------------- search
+# Every match contains the literal runs "worth" and "ess"; RE2 and Java read the pattern alike.
+INDEXED_PATTERN = "worth(l|L)?[a-z]ess"
+
+
+def _indexed(spark, d):
+    """The reviews stored in id order, and the trigram index of them."""
+    stored, index = C._scratch(spark, "reviews"), C._scratch(spark, "trigrams")
+    T.reviews(spark, d).repartitionByRange("Id").sortWithinPartitions("Id").write.parquet(stored)
+    rows = spark.read.parquet(stored)
+    textindex.write_index(T.spread(rows), index)
+    return rows, spark.read.schema(textindex.POSTINGS).parquet(index)
+
+
+def _search_sql(pattern: str) -> str:
+    return V(f"""
+select Id, ProductId, Summary from reviews
+where coalesce(regexp_matches(Summary, '{pattern}', 'i'), false) or coalesce(regexp_matches(Text, '{pattern}', 'i'), false)
+order by Id limit 20""", "reviews")
+
+
+@register("search_indexed", _search_sql(INDEXED_PATTERN))
+def q_search_indexed(spark, d):
+    """P17 by the trigram index: a regex whose literal runs name the candidates."""
+    rows, index = _indexed(spark, d)
+    return textindex.search(rows, index, INDEXED_PATTERN, 20).select("Id", "ProductId", "Summary")
+
+
+@register("search_indexed_unicode", _search_sql(C.UNICODE_TERM))
+def q_search_indexed_unicode(spark, d):
+    """P17 by the trigram index: a literal beyond ASCII, in another case than the texts."""
+    rows, index = _indexed(spark, d)
+    return textindex.search(rows, index, C.UNICODE_TERM, 20).select("Id", "ProductId", "Summary")
