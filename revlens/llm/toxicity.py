@@ -42,11 +42,11 @@ SHORT_MAX = 9         # a second reading of long units with gaps: there a short
 SHORT_STEP = 2
 LANDMARKS = 400
 HARD = 500            # strongest clean units added as negatives after each round
-TRAIN_DOCS = 1500     # labelled documents of each class: the bound of the training sample
-TRAIN_CHARS = 6000    # code points of a training document that are read, at a hashed place
+TRAIN_DOCS = 1000     # labelled documents of each class: the bound of the training sample
 ROUNDS = 6
 ALPHABET = 60         # letters with a code of their own; rarer ones share one without weight
-_CHUNK = 400_000      # code points at a time
+_CHUNK = 2_000_000    # code points at a time
+_BLOCK = 50_000       # distinct windows decided at a time
 BEGIN, END, OTHER = 1, 2, 3
 
 
@@ -65,23 +65,27 @@ class Model:
 
 # ------------------------------------------------------------------ units
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def _lower_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return _points(text.lower())
 
 
-_kind_cache: dict[int, int] = {}
+_POINTS = 0x110000
+_KINDS = np.full(_POINTS, -1, dtype=np.int8)   # filled as characters are met
 
 
 def _kinds(points: np.ndarray) -> np.ndarray:
     """0 white space, 1 symbol, 2 letter or digit."""
-    unique, at = np.unique(points, return_inverse=True)
-    kinds = []
-    for p in unique.tolist():
-        if p not in _kind_cache:
+    kinds = _KINDS[points]
+    if (kinds < 0).any():
+        for p in np.unique(points[kinds < 0]).tolist():
             c = chr(p)
-            _kind_cache[p] = 2 if c.isalnum() else 0 if c.isspace() else 1
-        kinds.append(_kind_cache[p])
-    return np.array(kinds, dtype=np.int8)[at.ravel()]
+            _KINDS[p] = 2 if c.isalnum() else 0 if c.isspace() else 1
+        kinds = _KINDS[points]
+    return kinds
 
 
 def _ranges(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,14 +148,15 @@ def windows(starts: np.ndarray, ends: np.ndarray, gap: np.ndarray) -> tuple[np.n
 
 def encode(points: np.ndarray, codes: dict[str, int]) -> np.ndarray:
     """Codes of letters: OTHER for unlisted ones."""
-    unique, at = np.unique(points, return_inverse=True)
-    table = [codes.get(chr(p), OTHER) for p in unique.tolist()]
-    return np.array(table, dtype=np.int32)[at.ravel()]
+    table = np.full(_POINTS, OTHER, dtype=np.int32)
+    for letter, code in codes.items():
+        table[ord(letter)] = code
+    return table[points]
 
 
 def matrix(codes: np.ndarray, first: np.ndarray, size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Windows of one size as rows, with marks where they begin or end their unit (else a gap code)."""
-    out = np.zeros((len(first), size + 2), dtype=np.int32)
+    out = np.zeros((len(first), size + 2), dtype=codes.dtype)
     out[:, 1:-1] = codes[first[:, None] + np.arange(size)]
     out[begins, 0] = BEGIN
     out[ends, -1] = END
@@ -456,15 +461,10 @@ def evidence(model: Model, texts: list[str]) -> np.ndarray:
 
     for i, text in enumerate(texts):
         if len(text) > _CHUNK:
-            # A very long text goes by slices that begin at white space; a unit is never split by more than a window.
-            best, many, at = -1.0, 0.0, 0
-            while at < len(text):
-                end = min(len(text), at + _CHUNK)
-                space = text.rfind(" ", at + 1, end) if end < len(text) else -1
-                end = space if space > at else end
-                piece = text[at:end]
-                b, m = _decide(model, piece, np.array([0, len(piece.lower()) + 1]), 1)
-                best, many, at = max(best, b[0]), many + m[0], end
+            best, many = -1.0, 0.0
+            for piece in slices(text.lower(), _CHUNK):
+                b, m = _decide(model, piece, np.array([0, len(piece) + 1]), 1)
+                best, many = max(best, b[0]), many + m[0]
             out[i] = best, np.log1p(many)
             continue
         group.append(i)
@@ -477,27 +477,73 @@ def evidence(model: Model, texts: list[str]) -> np.ndarray:
     return out
 
 
+def slices(lowered: str, size: int):
+    """A long text in parts of about ``size`` code points that end between units: a unit is always read whole."""
+    at, room = 0, size
+    while at < len(lowered):
+        piece = lowered[at:at + room]
+        if at + room < len(lowered):
+            letters, _, starts, ends = units(_points(piece))
+            # The last letter at which no earlier unit goes on; what follows it may go on past the end.
+            free = np.flatnonzero(starts[1:] >= np.maximum.accumulate(ends)[:-1]) if len(starts) else []
+            cut = int(letters[starts[free[-1] + 1]]) if len(free) else 0 if len(starts) else len(piece)
+            if not cut:
+                room *= 2
+                continue
+            piece = piece[:cut]
+        yield piece
+        at, room = at + len(piece), size
+
+
+def distinct_rows(rows: np.ndarray, inner: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(a row number of each distinct row, the distinct row that each row is) by codes and gaps.
+
+    Codes of six bits and gap bits fill two words, which are told apart exactly; their mix only orders them.
+    """
+    high, low = np.zeros(len(rows), dtype=np.uint64), np.zeros(len(rows), dtype=np.uint64)
+    for j in range(rows.shape[1]):
+        word = high if j < 10 else low
+        np.left_shift(word, np.uint64(6), out=word)
+        word |= rows[:, j].astype(np.uint64)
+    for j in range(0 if inner is None else inner.shape[1]):
+        np.left_shift(low, np.uint64(1), out=low)
+        low |= inner[:, j].astype(np.uint64)
+    mixed = high * np.uint64(0x9E3779B97F4A7C15) ^ (low * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+    _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
+    if (high != high[first[which]]).any() or (low != low[first[which]]).any():
+        _, first, which = np.unique(np.stack([high, low], axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, which.ravel()
+
+
 def _decide(model: Model, text: str, cuts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     points = _lower_points(text)
     letters, gap, starts, ends = units(points, cuts)
     best, many = np.full(n, -1.0), np.zeros(n)
     if not len(starts):
         return best, many
-    codes = encode(points[letters], model.codes)
+    codes = encode(points[letters], model.codes).astype(np.int8)
     first, last, unit = windows(starts, ends, gap)
     owner = np.searchsorted(cuts, letters[first], side="right") - 1
     begins, finishes = first == starts[unit], last == ends[unit]
     for s, at in by_shape(gap, first, last - first):
-        rows, place = matrix(codes, first[at], s, begins[at], finishes[at]), places(gap, first[at], s)
-        top = numerators(rows, model.weights, place)
-        # Only units with weight towards toxic can pass: the others stay at the floor of -1.
-        near = np.flatnonzero(top > 0)
-        if not len(near):
-            continue
-        norm = self_kernel(rows[near], None if place is None else place[near])
-        f = top[near] / np.sqrt(np.maximum(norm, 1e-12)) + model.bias
-        np.maximum.at(best, owner[at[near]], f)
-        np.add.at(many, owner[at[near]], f > 0)
+        # Windows repeat: each distinct one is decided once.
+        rows = matrix(codes, first[at], s, begins[at], finishes[at])
+        inner = gap[first[at][:, None] + np.arange(1, s)] if s > 1 else None
+        some, which = distinct_rows(rows, inner if inner is not None and inner.any() else None)
+        decided = np.full(len(some), -np.inf, dtype=np.float64)
+        for k in range(0, len(some), _BLOCK):
+            part = some[k:k + _BLOCK]
+            chosen, place = rows[part].astype(np.int32), places(gap, first[at[part]], s)
+            top = numerators(chosen, model.weights, place)
+            # Only units with weight towards toxic can pass: the others stay at the floor of -1.
+            near = np.flatnonzero(top > 0)
+            if len(near):
+                norm = self_kernel(chosen[near], None if place is None else place[near])
+                decided[k + near] = top[near] / np.sqrt(np.maximum(norm, 1e-12)) + model.bias
+        f = decided[which]
+        strong = np.flatnonzero(f > -np.inf)
+        np.maximum.at(best, owner[at[strong]], f[strong])
+        np.add.at(many, owner[at[strong]], f[strong] > 0)
     return best, many
 
 
@@ -510,28 +556,24 @@ def score(model: Model | None, texts: list[str]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
-                    per_class: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> tuple[list[tuple[str, int]], float]:
-    """At most ``per_class`` labelled documents of each class by hash order of the id, and the toxic share of all.
+                    per_class: int = TRAIN_DOCS) -> tuple[list[tuple[str, int]], float]:
+    """At most ``per_class`` labelled documents of each class by hash order of the id, whole, and the toxic share of all.
 
-    A longer document gives a passage of ``chars`` code points at a hashed place. Labels of
-    an id that repeats count as toxic if any of them is.
+    Labels of an id that repeats count as toxic if any of them is.
     """
-    one = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(
+    one = labels.select(F.col(id_col).alias("id"), "toxic").filter("toxic is not null and id is not null").groupBy("id").agg(
         F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in one.filter(F.col("toxic").isin(0, 1)).groupBy("toxic")
               .agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64(F.col(id_col), F.lit("toxicity"))
-    drawn = [r for y in (0, 1) for r in one.filter(F.col("toxic") == y).orderBy(order, id_col).limit(per_class).collect()]
+    order = F.xxhash64(F.col("id"), F.lit("toxicity"))
+    drawn = [r for y in (0, 1) for r in one.filter(F.col("toxic") == y).orderBy(order, "id").limit(per_class).collect()]
     if not drawn:
         return [], 0.0
     # At most 2 * per_class ids.
-    picked = F.broadcast(docs.sparkSession.createDataFrame([(r[id_col], r["toxic"]) for r in drawn],
-                                                           f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, toxic int"))
-    span = F.greatest(F.length(text_col) - chars, F.lit(0)) + 1
-    part = F.substr(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col)), span) + 1).cast("int"), F.lit(chars))
-    rows = (docs.filter(F.col(text_col).isNotNull()).join(picked, id_col)
-            .select(F.col(id_col).alias("id"), part.alias("text"), "toxic").dropDuplicates(["id"])
-            .limit(2 * per_class).collect())
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(r["id"], r["toxic"]) for r in drawn],
+                                                           f"id {docs.schema[id_col].dataType.simpleString()}, toxic int"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    rows = texts.join(picked, "id").select("id", "text", "toxic").dropDuplicates(["id"]).limit(2 * per_class).collect()
     rows.sort(key=lambda r: r["id"])
     return [(r["text"], r["toxic"]) for r in rows], counts.get(1, 0) / max(1, sum(counts.values()))
 

@@ -410,7 +410,7 @@ def test_toxicity_finds_held_out_and_gapped_insults(spark, empty):
     plain, *gapped = toxicity.evidence(model, [clean + w for w in (
         "", "grumbok", "grum-bok", "g r u m b o k", "g.r.u.m.b.o.k", "gru*mbok")])[:, 0]
     assert plain < 0 and min(gapped) > 0.2
-    long = clean * 3000
+    long = clean * 15_000
     assert len(long) > 2 * toxicity._CHUNK
     assert toxicity.evidence(model, [long, long + " fizwad"])[:, 0].tolist()[1] > 0.2 > toxicity.evidence(model, [long])[0, 0]
     assert toxicity.score_documents(empty, labels).count() == 0
@@ -435,6 +435,61 @@ def test_spelled_out_insults_of_any_gap_and_offset():
     assert [len(x) for x in toxicity.units(toxicity._lower_points("a\n\nb"), np.array([0, 3]))] == [2, 2, 2, 2]
 
 
+def slow_evidence(model, text):
+    """Every unit window of a text by the definition: its normalised feature map times the weights."""
+    letters, gap, starts, ends = toxicity.units(toxicity._lower_points(text))
+    codes = toxicity.encode(toxicity._lower_points(text)[letters], model.codes)
+    best, many = -1.0, 0
+    for a, b, u in zip(*toxicity.windows(starts, ends, gap)):
+        unit = [toxicity.BEGIN if a == starts[u] else 0]
+        for k in range(a, b):
+            unit += ([0] if k > a and gap[k] else []) + [int(codes[k])]
+        map_ = toxicity.features((*unit, toxicity.END if b == ends[u] else 0))
+        f = sum(v * float(model.weights[key >> 20, key >> 10 & 1023, key & 1023]) for key, v in map_.items())
+        if f > 0:
+            best, many = max(best, f + model.bias), many + (f + model.bias > 0)
+    return best, np.log1p(many)
+
+
+def test_evidence_equals_the_definition_window_by_window():
+    rows = toxic_rows(150)
+    model = toxicity.train([(t, y) for _, t, y in rows], 0.2)
+    texts = [t[:400] for _, t, _ in rows[:12]] + ["", "f-i-z w a d, grum--bok a b c", "x" * 60 + " fizwad" * 3, "g.r u.m b.o k" * 4]
+    got = toxicity.evidence(model, texts)
+    assert got == pytest.approx(np.array([slow_evidence(model, t) for t in texts]), rel=1e-3, abs=1e-4)
+
+
+def test_slices_of_a_long_text_end_between_units(monkeypatch):
+    rows = toxic_rows(150)
+    model = toxicity.train([(t, y) for _, t, y in rows], 0.2)
+    clean = "the another inthe eration ering onthe " * 10
+    for insult in ("f i z w a d", "f--i . z--w..a d", "fiz--wad", "fizwad"):
+        for offset in range(0, 40):
+            text = clean + "on " * (offset // 3) + "a" * (offset % 3) + " - " + insult + " " + clean
+            whole = toxicity.evidence(model, [text])
+            for size in (len(clean) + 20, len(clean) + 21, 60):
+                with monkeypatch.context() as m:
+                    m.setattr(toxicity, "_CHUNK", size)
+                    assert "".join(toxicity.slices(text.lower(), size)) == text.lower()
+                    assert (toxicity.evidence(model, [text]) == whole).all(), (insult, offset, size)
+    spelled = "a b " * 500 + "f i z w a d " + "c d " * 500  # one unit, longer than a slice: read whole
+    whole = toxicity.evidence(model, [spelled])
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "_CHUNK", 100)
+        assert (toxicity.evidence(model, [spelled]) == whole).all()
+    assert list(toxicity.slices(" . - " * 100, 50)) and list(toxicity.slices("", 50)) == []
+
+
+def test_distinct_rows_tell_codes_and_gaps_apart():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 64, (3000, 16)).astype(np.int8)[rng.integers(0, 200, 3000)]
+    inner = rng.integers(0, 2, (3000, 13)).astype(bool)[rng.integers(0, 5, 3000)]
+    for gaps in (None, inner):
+        first, which = toxicity.distinct_rows(rows, gaps)
+        both = rows if gaps is None else np.hstack([rows, gaps])
+        assert (both[first[which]] == both).all() and len(first) == len(np.unique(both, axis=0))
+
+
 def test_gapped_rows_weigh_as_rows_with_gap_codes():
     rng = np.random.default_rng(5)
     weights = rng.normal(0, 1, (9, 9, 9)).astype(np.float32)
@@ -450,7 +505,10 @@ def test_gapped_rows_weigh_as_rows_with_gap_codes():
 
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    odd = odd.withColumns({c: F.lit("clash") for c in ("toxic", "held_out", "predicted", "quality")})
     got = toxicity.score_documents(odd, labels).collect()  # one class: nothing to learn
+    both = spark.createDataFrame([(4, 1, 0), (5, 1, 1), (8, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_documents(odd, both).count() == len(ODD)
     assert len(got) == len(ODD) and all(r["score"] == 0 and r["predicted"] == 0 for r in got)
     model = toxicity.train([(t, y) for _, t, y in toxic_rows(150)], 0.2)
     scores = toxicity.score(model, [t or "" for _, t in ODD])
