@@ -965,7 +965,7 @@ def q_stream_throughput(spark, d):
     from revlens.streaming import monitors
     stream = _as_file_stream(spark, _pk(spark, d), "keyed-stream")
     path = _scratch(spark, "throughput")
-    q = monitors.start_append_query(monitors.throughput_stream(stream), path, _scratch(spark, "throughput-ckpt"),
+    q = monitors.start_append_query(monitors.closed_throughput(stream), path, _scratch(spark, "throughput-ckpt"),
                                     available_now=True)
     q.awaitTermination()
     out = monitors.read_closed(spark, path)

@@ -51,7 +51,7 @@ def summary(df) -> dict:
 
 
 def main(argv=None) -> None:
-    from revlens.plans import catalog, catalog_records, catalog_store  # noqa: F401 - the others add their queries to the registry
+    from revlens.plans import catalog, catalog_records, catalog_store, catalog_streams  # noqa: F401 - the others add their queries to the registry
     from revlens.session import checkpoint_dir, get_session
     ap = argparse.ArgumentParser()
     ap.add_argument("sf_dir", nargs="?", default="/root/testdata/sf0.01")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from revlens.schemas import LIVE_RECORD, STREAM_REVIEW
 
@@ -62,10 +63,43 @@ def message_files_source(spark: SparkSession, path: str, max_files_per_trigger:
     return r.json(path)
 
 
+# Why a message is not a review.
+NO_VALUE, NOT_JSON, WRONG_TYPE, NO_ID = "no value", "not json", "wrong type", "no id"
+
+
+def decode(raw: DataFrame) -> DataFrame:
+    """Message value (bytes or text) -> ``review`` by a fixed schema, ``reason`` (NULL for a review) and the value as text.
+
+    A message is rejected whole: one of its fields with another type than the schema's, a value that is no
+    JSON object, no value at all, or a review without an id.
+    """
+    text = F.col("value").cast("string")
+    schema = StructType(STREAM_REVIEW.fields + [StructField("_corrupt", StringType(), True)])
+    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # Spark's parser ignores what follows a value; as the first of two elements the text must end where its value does.
+    whole = F.get_json_object(F.concat(F.lit("["), text, F.lit(',"end of message"]')), "$[1]") == "end of message"
+    rows = raw.select(whole.alias("whole"), F.col("key").cast("string").alias("key"), text.alias("value"), parsed.alias("d"))
+    reason = (F.when(F.col("value").isNull() | (F.trim("value") == ""), F.lit(NO_VALUE))
+              .when(~F.coalesce("whole", F.lit(False)), F.lit(NOT_JSON))
+              .when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), F.lit(WRONG_TYPE))
+              .when(F.col("d.Id").isNull(), F.lit(NO_ID)))
+    review = F.struct(*[F.col(f"d.{f.name}").alias(f.name) for f in STREAM_REVIEW.fields])
+    return rows.select("key", "value", review.alias("review"), reason.alias("reason"))
+
+
+def accepted(decoded: DataFrame) -> DataFrame:
+    """The reviews among decoded messages."""
+    return decoded.filter("reason is null").select("review.*")
+
+
+def rejected(decoded: DataFrame) -> DataFrame:
+    """(reason, key, value) of the messages that are no reviews, as they came."""
+    return decoded.filter("reason is not null").select("reason", "key", "value")
+
+
 def decode_reviews(raw: DataFrame) -> DataFrame:
-    """Message value (bytes or text) -> review columns by a fixed schema."""
-    return (raw.select(F.from_json(F.col("value").cast("string"), STREAM_REVIEW).alias("d"))
-            .select("d.*"))
+    """The review columns of the messages that are reviews; the others are for ``rejected``."""
+    return accepted(decode(raw))
 
 
 def publish_reviews(df: DataFrame, label_col: str = "sentiment") -> DataFrame:
@@ -100,6 +134,7 @@ def write_message_files(messages: DataFrame, path: str, mode: str = "append") ->
 
 def live_records(scored: DataFrame) -> DataFrame:
     """Compact keyed live record {id, productId, summary, sentiment, confidence, time}."""
+    # The keys of a live record.
     value = F.to_json(F.struct(
         F.col("Id").alias("id"), F.col("ProductId").alias("productId"), F.col("Summary").alias("summary"),
         F.col("sentiment_label").alias("sentiment"), F.col("confidence").alias("confidence"),

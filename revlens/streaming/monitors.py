@@ -10,6 +10,7 @@ mode Spark would keep every window.)
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ def label_counters(scored: DataFrame) -> DataFrame:
 
 def throughput_stream(stream: DataFrame, ts_col: str = "inserted_at", width: str = "60 seconds",
                       slide: str = "10 seconds", watermark: str = "2 minutes") -> DataFrame:
-    """T5s: rows per sliding window of ingest time, finalised after the watermark."""
+    """T5s: rows per sliding window of ingest time, finalised after the watermark (any output mode)."""
     ts = F.col(ts_col).cast("timestamp")
     return (stream.withColumn("_ts", ts).withWatermark("_ts", watermark)
             .groupBy(F.window("_ts", width, slide).alias("w"))
@@ -35,6 +36,20 @@ def throughput_stream(stream: DataFrame, ts_col: str = "inserted_at", width: str
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
 
 
+def closed_throughput(stream: DataFrame, ts_col: str = "inserted_at", width: str = "60 seconds",
+                      slide: str = "10 seconds", watermark: str = "2 minutes") -> DataFrame:
+    """T5s in append mode: the windows of ``throughput_stream`` that the watermark has closed.
+
+    Rows are counted once, in windows of one slide; only these counts go on, by their window's
+    time, into the sliding windows that hold them, so that an event is one row for the state and not
+    one for each of its windows. ``width`` is a whole number of slides.
+    """
+    buckets = (stream.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", watermark)
+               .groupBy(F.window("_ts", slide).alias("b")).agg(F.count(F.lit(1)).alias("k")))
+    return (buckets.groupBy(F.window(F.window_time("b"), width, slide).alias("w")).agg(F.sum("k").alias("n"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
+
+
 def tail_predictions(spark: SparkSession, table_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """T3s: new rows of the stored prediction table as a stream (no id cursor needed:
     the file source remembers which files it has delivered)."""
@@ -137,30 +152,27 @@ def batch_latency(query) -> dict:
 
 
 def offsets_total(progress: dict | None) -> dict[str, int]:
-    """T2s: end offsets of a query's last progress, summed per source description."""
+    """T2s: end offsets of a query's last progress, summed per source that counts messages (Kafka: {topic: {partition:
+    offset}}). Other sources' offsets are no message counts and are left out."""
     out: dict[str, int] = {}
-    if not progress:
-        return out
-    for src in progress.get("sources", []):
+    for src in (progress or {}).get("sources", []):
         end = src.get("endOffset")
-        total = 0
-        if isinstance(end, dict):          # Kafka: {topic: {partition: offset}}
-            for parts in end.values():
-                if isinstance(parts, dict):
-                    total += sum(int(v) for v in parts.values())
-        elif isinstance(end, dict) is False and end is not None:
+        if isinstance(end, str):
             try:
-                total = int(str(end).strip('{}"').split(":")[-1])   # file source: {"logOffset":N}
+                end = json.loads(end)
             except ValueError:
-                total = 0
-        out[src.get("description", "source")] = total
+                end = None
+        if isinstance(end, dict) and end and all(isinstance(parts, dict) for parts in end.values()):
+            out[src.get("description", "source")] = sum(int(v) for parts in end.values() for v in parts.values())
     return out
 
 
 def progress_snapshot(spark: SparkSession, query, topic: str,
                       run_time: _dt.datetime | None = None) -> DataFrame:
-    """T2s: one snapshot row (run_time, topic, total) from a running query's progress."""
+    """T2s: one snapshot row (run_time, topic, total) from a running query's progress: end offsets where the source
+    counts messages, else the rows read in the progress reports that the query still holds
+    (``streaming.progress`` keeps them all)."""
     totals = offsets_total(query.lastProgress)
-    total = sum(totals.values())
+    total = sum(totals.values()) if totals else sum(p.get("numInputRows") or 0 for p in query.recentProgress or [])
     run_time = run_time or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     return spark.createDataFrame([(run_time, topic, total)], OFFSET_SNAPSHOT)

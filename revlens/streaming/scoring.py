@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.text import fill_cleaned
 from revlens.plans.scoring import prediction_record, score
-from revlens.sources.messages import decode_reviews, live_records
+from revlens.sources.messages import accepted, decode, decode_reviews, live_records, rejected
 
 LIVE_TRIGGER = "1 second"
 STATS_TRIGGER = "10 seconds"
@@ -39,7 +39,7 @@ def prepare(parsed: DataFrame) -> DataFrame:
 
 
 def scored_stream(raw: DataFrame, model) -> DataFrame:
-    """S4 + P4 + M6 + P5 + P6 + P7 on a stream (or a batch) of raw messages."""
+    """S4 + P4 + M6 + P5 + P6 + P7 on a stream (or a batch) of raw messages; what is no review is not scored."""
     return prediction_record(score(model, prepare(decode_reviews(raw))))
 
 
@@ -145,17 +145,55 @@ def write_both_batch(batch: DataFrame, batch_id: int, table_path: str, live_path
         stamped.unpersist()
 
 
+def write_rejected_batch(messages: DataFrame, batch_id: int, path: str, run: str = "0") -> None:
+    """One micro-batch of rejected messages -> ``path/run=<run>/batch_id=<id>``; nothing for a batch without any or stored already."""
+    target = batch_path(path, run, batch_id)
+    if not committed(messages.sparkSession, target) and not messages.isEmpty():
+        messages.write.mode("overwrite").parquet(target)
+
+
+def start_rejected_query(raw: DataFrame, path: str, checkpoint: str, trigger: str = STATS_TRIGGER, available_now: bool = False):
+    """The rejected messages of a stream as a query of their own, beside the two of ``start_two_queries``."""
+    run = run_name(raw.sparkSession, checkpoint)
+    w = (rejected(decode(raw)).writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda b, i: write_rejected_batch(b, i, path, run)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+    return w.start()
+
+
+def write_message_batch(batch: DataFrame, batch_id: int, model, table_path: str, live_path: str, rejected_path: str,
+                        run: str = "0") -> None:
+    """One micro-batch of raw messages: decoded once (persisted), reviews scored into both outputs, the others into the rejected table."""
+    decoded = decode(batch).persist()
+    try:
+        write_both_batch(prediction_record(score(model, prepare(accepted(decoded)))), batch_id, table_path, live_path, run)
+        write_rejected_batch(rejected(decoded), batch_id, rejected_path, run)
+    finally:
+        decoded.unpersist()
+
+
 def start_single_pass(raw: DataFrame, model, table_path: str, live_path: str, checkpoint: str,
-                      trigger: str = LIVE_TRIGGER, available_now: bool = False):
-    """T1s alternative: one query, each batch scored once, both outputs idempotent per batch."""
-    scored = scored_stream(raw, model)
-    run = run_name(scored.sparkSession, checkpoint)
-    w = (scored.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda b, i: write_both_batch(b, i, table_path, live_path, run)))
+                      trigger: str = LIVE_TRIGGER, available_now: bool = False, rejected_path: str | None = None):
+    """T1s alternative: one query, each batch decoded and scored once, every output idempotent per batch."""
+    run = run_name(raw.sparkSession, checkpoint)
+    if rejected_path is None:
+        w = (scored_stream(raw, model).writeStream.option("checkpointLocation", checkpoint)
+             .foreachBatch(lambda b, i: write_both_batch(b, i, table_path, live_path, run)))
+    else:
+        w = (raw.writeStream.option("checkpointLocation", checkpoint)
+             .foreachBatch(lambda b, i: write_message_batch(b, i, model, table_path, live_path, rejected_path, run)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
     return w.start()
 
 
+def once_per_message(stream: DataFrame, event_time: str, delay: str, keys: tuple[str, ...] = ("Id",)) -> DataFrame:
+    """Messages that are delivered again are dropped (T1s, T3s): the first of each key within ``delay`` of event time stays.
+
+    The state holds the keys of the last ``delay`` only; a repeat that comes later than that is a new message.
+    """
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def read_stats_table(spark: SparkSession, table_path: str) -> DataFrame:
     """S9 over the stats sink output (run and batch_id are partition columns)."""
     return spark.read.parquet(table_path)
