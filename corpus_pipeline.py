@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import language, mixing, packing, quality, simhash
-from revlens.llm.common import materialize
+from revlens.llm.common import materialize, whole_row
 from revlens.session import checkpoint_dir
 from revlens.sources.tables import table
 
@@ -28,17 +28,18 @@ MIX_WEIGHTS = {"lang": {"en": 3.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents without a letter, or whose language is not believed, go."""
     net = language.train(language.training_sample(docs))
-    judged = docs.withColumn("judged_language", language.predict_column(net, "text"))
-    keep = (F.col("judged_language.lang_pred") != language.UNKNOWN) & (F.col("judged_language.score") >= LANGUAGE_SCORE)
-    return judged.filter(keep).drop("judged_language")
+    judged = docs.select(whole_row(docs), language.predict_column(net, "text").alias("judged"))
+    keep = (F.col("judged.lang_pred") != language.UNKNOWN) & (F.col("judged.score") >= LANGUAGE_SCORE)
+    return judged.filter(keep).select("row.*")
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: rows that it predicts to be poor go, each by its own score, with or without an id."""
-    rows = materialize(docs.withColumn("quality_row", F.monotonically_increasing_id()), "pipeline-quality")
-    scored = quality.score_documents(rows, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"), keep=("quality_row",))
+    rows = materialize(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("quality_row")), "pipeline-quality")
+    seen = rows.select(*[f"row.{c}" for c in ("doc_id", "text", "lang", "source", "n_chars")], "quality_row")
+    scored = quality.score_documents(seen, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages"), keep=("quality_row",))
     good = scored.filter("predicted = 1").select("quality_row")
-    return rows.join(good, "quality_row", "left_semi").select(*docs.columns)
+    return rows.join(good, "quality_row", "left_semi").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,20 +49,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text hash. Rows are judged by their own text: an id that carries texts of several
     groups may stay once for each, and a group without any id keeps one row with a NULL id.
     """
-    own = {"dedup_row": F.monotonically_increasing_id(), "dedup_fp": simhash.simhash_column("text", width=3),
-           "dedup_hash": F.xxhash64("text"), "dedup_rest": F.xxhash64(*docs.columns)}
     # Written once, so that a recomputed task meets the same row keys.
-    rows = materialize(docs.withColumns(own), "pipeline-dedup")
-    groups = simhash.fingerprint_groups(rows.select(F.col("doc_id").alias("id"), F.col("dedup_fp").alias("fp")), max_distance=2)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "dedup_hash", "dedup_rest", "dedup_row")
-    first = rows.groupBy(F.col("dedup_fp").alias("fp")).agg(F.min(order).alias("first"))
+    rows = materialize(docs.select(
+        whole_row(docs), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("dedup_row"),
+        simhash.simhash_column("text", width=3).alias("fp"), F.xxhash64("text").alias("hash"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")), "pipeline-dedup")
+    groups = simhash.fingerprint_groups(rows.select("id", "fp"), max_distance=2)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "rest", "dedup_row")
+    first = rows.groupBy("fp").agg(F.min(order).alias("first"))
     keep = first.join(groups, "fp").groupBy("root").agg(F.min("first")["dedup_row"].alias("dedup_row")).select("dedup_row")
-    return rows.join(keep, "dedup_row", "left_semi").select(*docs.columns)
+    return rows.join(keep, "dedup_row", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: token budgets by domain, language and source; a document stands once for each epoch that takes it."""
-    return mixing.mix(docs, MIX_WEIGHTS, budget_share=1.0, max_epochs=2).select(*docs.columns)
+    return mixing.mix_rows(docs, MIX_WEIGHTS, budget_share=1.0, max_epochs=2).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
