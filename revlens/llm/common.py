@@ -46,6 +46,11 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``: they come back by ``select("row.*")``, whatever an operator names its own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of an undirected edge list (columns ``a``, ``b``).
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import materialize, require, text_of
+from revlens.llm.common import materialize, require, text_of, whole_row
 
 SEED = 42
 BUCKET_DIGITS = 4     # hex digits of the order hash that name a bucket: 65536 a leaf
@@ -133,10 +133,14 @@ def plan_epochs(docs: DataFrame, id_col: str, levels: tuple[str, ...], weights:
     return leaves, materialize(last, "mix-edge")
 
 
+OUTPUT = ("mix_domain", "mix_epoch", "mix_tokens")
+
+
 def mix(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, budget_share: float = 1.0,
         max_epochs: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """Selected rows of ``docs`` (columns ``keep``, default all) with ``mix_domain``, ``mix_epoch``, ``mix_tokens``.
+    """Selected rows of ``docs`` (columns ``keep``, default all) with ``mix_domain``, ``mix_epoch``, ``mix_tokens``
+    (an input column of one of these names gives way; ``mix_rows`` keeps it).
 
     The root's budget is ``budget_share`` of all words. A row stands once for
     each epoch that takes it (``mix_epoch`` 0, 1, ...). NULL language or source
@@ -146,14 +150,24 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, bud
     not shuffled: leaves are joined by size, and only rows of a leaf's boundary bucket look
     up whether they are inside the prefix.
     """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in OUTPUT]
+    rows = mix_rows(docs, weights, budget_share, max_epochs, seed, id_col, text_col, source_col, lang_col, keep)
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *OUTPUT)
+
+
+def mix_rows(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, budget_share: float = 1.0,
+             max_epochs: int = 2, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
+             source_col: str = "source", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """``mix`` with the input columns unchanged in one struct ``row``, beside the three of its own."""
     require(docs, id_col, text_col, source_col, lang_col)
     keep = docs.columns if keep is None else keep
     levels = tuple(f"mix_{x}" for x in LEVELS)
-    marked = (docs.select(*keep, *[F.col(c).alias(f"mix_{k}") for k, c in (("id", id_col),)],
-                          domain_of(source_col).alias("mix_domain"),
-                          F.coalesce(F.col(lang_col), F.lit(MISSING)).alias("mix_lang"),
-                          F.coalesce(F.col(source_col), F.lit(MISSING)).alias("mix_source"),
-                          word_tokens(text_col).alias("mix_tokens")))
+    marked = docs.select((whole_row(docs.select(*[F.col(f"`{c}`") for c in keep])) if keep else F.struct(F.lit(0).alias("none")).alias("row")),
+                         F.col(id_col).alias("mix_id"),
+                         domain_of(source_col).alias("mix_domain"),
+                         F.coalesce(F.col(lang_col), F.lit(MISSING)).alias("mix_lang"),
+                         F.coalesce(F.col(source_col), F.lit(MISSING)).alias("mix_source"),
+                         word_tokens(text_col).alias("mix_tokens"))
     narrow = marked.select("mix_id", *levels, F.col("mix_tokens").alias("tokens"))
     named = {f"mix_{k}": v for k, v in (weights or {}).items()}
     leaves, last = plan_epochs(narrow, "mix_id", levels, named, budget_share, max_epochs, seed)
@@ -173,4 +187,4 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, bud
               .withColumn("mix_more", F.coalesce("found", F.lit(0))).drop("found"))
     taken = sure.unionByName(unsure).withColumn("mix_n", F.col("mix_epochs") + F.col("mix_more")).filter("mix_n > 0")
     return (taken.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
-            .select(*keep, "mix_domain", "mix_epoch", "mix_tokens"))
+            .select("row", *OUTPUT))

@@ -17,7 +17,7 @@ from revlens.sources.tables import table
 
 def test_queries_are_registered_once_per_operator():
     names = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(queries.ORACLES) <= set(E.oracle_sql())
 
 
@@ -92,6 +92,25 @@ def test_pipeline_survives_odd_and_empty_documents(spark, scratch):
         assert docs.count() >= least
 
 
+CLASHES = ["row", "judged", "judged_language", "quality_row", "dedup_row", "dedup_fp", "dedup_hash", "dedup_rest", "id", "fp", "hash", "rest",
+           "root", "first", "mix_domain", "mix_epoch", "mix_tokens", "mix_id", "mix_lang", "mix_source", "mix_epochs", "mix_edge", "found",
+           "edge_id", "score", "predicted", "lang_pred", "toxic", "quality", "with.dot"]
+
+
+def test_columns_with_the_stages_own_names_come_back_unchanged(spark, scratch):
+    docs = table(spark, SF_SMALL, "documents").limit(60)
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF_SMALL)
+        assert got.columns == docs.columns, name
+        path = f"{scratch}/{name}"
+        got.write.parquet(path)
+        rows = spark.read.parquet(path).collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHES), name
+    packed = corpus_pipeline.pack(spark, docs, SF_SMALL)
+    assert len(set(packed.columns)) == len(packed.columns) and packed.count() >= 60
+
+
 def test_language_rejects_only_the_unreadable():
     assert language.predict(None, ["12 34"])[0] == ["und"]
 
