@@ -1,4 +1,4 @@
-"""Registered queries, fourth part: what streams reject, receive twice and report of themselves.
+"""Registered queries, fourth part: what streams reject, receive twice and report of themselves; lemmas decided by the corpus.
 
 Importing the module adds them to ``catalog.REGISTRY``.
 """
@@ -9,7 +9,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from revlens.operators import quality
+from revlens.functions.text import IRREGULAR_LEMMAS, SINGULAR_S, clean_text, clean_text_sql, full_text
+from revlens.operators import lemmas, quality
 from revlens.plans import catalog as C
 from revlens.sources import messages
 from revlens.sources import tables as T
@@ -99,3 +100,38 @@ def q_traffic_of_stream(spark, d):
     runs = quality.traffic(snapshots(spark, table))
     totals = runs.withColumn("messages", F.regexp_extract("detail", "offset (\\d+)", 1).cast("long"))
     return totals.groupBy("status").agg(F.max("messages").alias("messages"))
+
+
+# ------------------------------------------------------------------ lemmas
+_RAW = "coalesce(Summary, '') || '. ' || coalesce(Text, '')"
+_IRREGULAR_SQL = ", ".join(f"('{k}', '{v}')" for k, v in IRREGULAR_LEMMAS.items())
+_SINGULAR_SQL = ", ".join(f"'{w}'" for w in SINGULAR_S)
+
+
+@register("corpus_lemmas", V(f"""
+select r.Id, coalesce(x.lemmas, '') as cleaned from raw r left join (
+  select Id, string_agg(coalesce(i.lemma, p.base, t.w), ' ' order by t.pos) as lemmas
+  from tok t left join irregular i on i.form = t.w left join pick p on p.w = t.w group by Id) x on x.Id = r.Id""", "reviews", ctes={
+    # The cleaning chain without its last step: every token is its own lemma.
+    "raw": f"select Id, {clean_text_sql(_RAW, 'x')} as t from reviews",
+    "tok": "select Id, w, pos from (select Id, unnest(string_split(t, ' ')) as w, generate_subscripts(string_split(t, ' '), 1) as pos from raw) where w <> ''",
+    "vocab": "select w, count(*) as n from tok group by w",
+    "irregular": f"select form, lemma from (values {_IRREGULAR_SQL}) v(form, lemma)",
+    "plural": f"""select w, left(w, -1) as one, left(w, -2) as two, left(w, -3) as three from vocab
+       where w not in ({_SINGULAR_SQL}) and w not in (select form from irregular)""",
+    "maybe": r"""
+       select w, one as base from plural where regexp_matches(w, '[^s]s$')
+       union select w, two from plural where regexp_matches(w, '(s|x|z|ch|sh|o)es$')
+       union select w, two || 'is' from plural where regexp_matches(w, 'ses$')
+       union select w, three from plural where regexp_matches(w, 'zzes$')
+       union select w, three || unnest(['f', 'fe']) from plural where regexp_matches(w, 'ves$')
+       union select w, three || 'y' from plural where regexp_matches(w, 'ies$')
+       union select w, two || 'an' from plural where regexp_matches(w, 'men$')""",
+    "pick": """select m.w, m.base from maybe m join vocab v on v.w = m.base
+       qualify row_number() over (partition by m.w order by v.n desc, m.base) = 1"""}))
+def q_corpus_lemmas(spark, d):
+    """P3i decided by the corpus: plural endings are detached where the base is a word of the texts."""
+    raw = T.spread(T.reviews(spark, d)).select("Id", clean_text(full_text(), lemmatise=False).alias("cleaned"))
+    stored = C._scratch(spark, "tokens")
+    raw.write.parquet(stored)  # cleaned once, read for the vocabulary, the tokens and the result
+    return lemmas.lemmatize_by_corpus(spark.read.parquet(stored))
