@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 from revlens.llm.common import materialize, require
 
 PIVOTS = 1024
-LISTED = 128          # nearest pivots a vector lists
+LISTED = 64           # nearest pivots a vector lists
 K = 20
 BLOCK = 4096          # distinct vectors an index block holds, about
 QUERY_BLOCK = 1024
-RERANK = 0.25         # share of a block that is reranked exactly ...
-RERANK_LEAST = 1024   # ... but at least so many
+RERANK = 0.25         # share of a block that is reranked exactly
 
 
 def usable(vector: str | Column) -> Column:
@@ -81,11 +80,11 @@ def closest_by_footrule(query: np.ndarray, files, n: int, listed: int, keep: int
 
 
 def search_block(queries: np.ndarray, q_lists: np.ndarray, vectors: np.ndarray, lists: np.ndarray, pivots: int,
-                 first_ids: np.ndarray, k: int, share: float, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+                 first_ids: np.ndarray, k: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per query (row numbers, scores) of its ``k`` best candidates of a block by (score, smallest id)."""
     n, listed = lists.shape
     files = inverted_files(lists, pivots)
-    keep = max(least, int(np.ceil(share * n)))
+    keep = max(k, int(np.ceil(share * n)))
     out = []
     for q, own in zip(queries, q_lists):
         at = closest_by_footrule(own, files, n, listed, keep)
@@ -97,7 +96,7 @@ def search_block(queries: np.ndarray, q_lists: np.ndarray, vectors: np.ndarray,
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
            pivots: int = PIVOTS, listed: int = LISTED, block: int = BLOCK, query_block: int = QUERY_BLOCK,
-           share: float = RERANK, least: int = RERANK_LEAST) -> DataFrame:
+           share: float = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which ``is_query`` holds.
 
     Every usable row is indexed; candidates are all rows but those with the query's own
@@ -162,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
             x = x.reset_index(drop=True)
             ids = x["ids"].to_list()
             found = search_block(np.stack(q["v"].to_list()), lists(q["pivots"]), np.stack(x["v"].to_list()),
-                                 lists(x["pivots"]), n_pivots, np.array([i[0] for i in ids]), k + 1, share, least)
+                                 lists(x["pivots"]), n_pivots, np.array([i[0] for i in ids]), k + 1, share)
             for key, (at, scores) in zip(q["key"], found):
                 out["key"] += [key] * len(at)
                 out["ids"] += [ids[i] for i in at.tolist()]
