@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revlens.operators import bitmaps, rollup, textindex
+from revlens.operators import bitmaps, paging, rollup, textindex
 from revlens.plans import catalog as C
 from revlens.sources import tables as T
 from revlens.sources.store import PredictionStore
@@ -160,3 +160,27 @@ def q_search_indexed_unicode(spark, d):
     """P17 by the trigram index: a literal beyond ASCII, in another case than the texts."""
     rows, index = _indexed(spark, d)
     return textindex.search(rows, index, C.UNICODE_TERM, 20).select("Id", "ProductId", "Summary")
+
+
+# ----------------------------------------------------------------- paging
+@register("product_pages_indexed", V(f"""
+select * exclude (rn) from (
+  select p.*, (select count(*) from varied where ProductId = '{C.KEYED_PRODUCT}') as total,
+         cast((rn - 1) // 20 + 1 as integer) as page, 20 as pageSize
+  from (select {C.FORMAT_SQL}, row_number() over (order by Time desc nulls last, Id desc) as rn
+        from varied where ProductId = '{C.KEYED_PRODUCT}') p)
+where page in (1, 2, (total + 19) // 20)""", "predictions_keyed", ctes={"varied": VARIED_SQL}))
+def q_product_pages_indexed(spark, d):
+    """L3 / L4 by the rank index: the first, the second and the last page of a product, from the days that hold them."""
+    stored, index = C._scratch(spark, "predictions"), C._scratch(spark, "page-counts")
+    _varied(spark, d).repartitionByRange("ProductId", "Time").sortWithinPartitions("ProductId", "Time").write.parquet(stored)
+    rows = spark.read.parquet(stored)
+    for part in (0, 1):  # counted in two batches, which add up
+        paging.page_counts(rows.filter(F.col("Id") % 2 == part)).write.mode("append").parquet(index)
+    counts = spark.read.schema(paging.COUNTS).parquet(index)
+    total = counts.filter(F.col("product") == C.KEYED_PRODUCT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pages = [paging.product_page(rows, counts, C.KEYED_PRODUCT, page=p) for p in sorted({1, 2, -(-total // 20)} - {0})]
+    out = pages[0]
+    for more in pages[1:]:
+        out = out.unionByName(more)
+    return out

@@ -61,13 +61,18 @@ def test_more_candidates_than_the_chunks_hold(stored, monkeypatch):
 def scanned_rows(df, path_part: str) -> int:
     """Rows that the scans of ``path_part`` gave when ``df`` was run."""
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan()
-    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
-    leaves, total = plan.collectLeaves(), 0
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if "Scan" in leaf.nodeName() and path_part in str(leaf):
-            total += leaf.metrics().apply("numOutputRows").value()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif "Scan" in name and path_part in str(node):
+            total += node.metrics().apply("numOutputRows").value()
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
     return total
 
 
