@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from revlens.functions.text import IRREGULAR_LEMMAS, SINGULAR_S, clean_text, clean_text_sql, full_text
 from revlens.operators import lemmas, quality
 from revlens.plans import catalog as C
-from revlens.sources import messages
+from revlens.sources import files, messages
 from revlens.sources import tables as T
 
 V, register = T.with_views, C.register
@@ -135,3 +135,20 @@ def q_corpus_lemmas(spark, d):
     stored = C._scratch(spark, "tokens")
     raw.write.parquet(stored)  # cleaned once, read for the vocabulary, the tokens and the result
     return lemmas.lemmatize_by_corpus(spark.read.parquet(stored))
+
+
+# ---------------------------------------------------------------- metadata
+@register("metadata_records", """
+select n_name as name, case when n_nationkey % 3 = 0 then 'LogisticRegression' else 'NaiveBayes' end as model_type,
+       case when n_nationkey % 4 = 0 then 0.8274 else n_nationkey / 100.0 end as f1_score, cast(0.85 as double) as accuracy,
+       n_nationkey % 2 = 0 as is_active, case when n_nationkey % 5 = 0 then '' else 'region ' || n_regionkey end as notes
+from nation""")
+def q_metadata_records(spark, d):
+    """A metadata file with a list of records, some without a field or with null; what is missing gets its default."""
+    key = F.col("n_nationkey")
+    record = F.struct(F.col("n_name").alias("name"), F.when(key % 3 != 0, F.lit("NaiveBayes")).alias("model_type"),
+                      F.when(key % 4 != 0, key / 100).alias("f1_score"), F.when(key % 2 != 0, F.lit(False)).alias("is_active"),
+                      F.when(key % 5 != 0, F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))).alias("notes"))
+    path = C._scratch(spark, "metadata")
+    T.table(spark, d, "nation").agg(F.to_json(F.collect_list(record)).alias("value")).coalesce(1).write.text(path)
+    return files.load_metadata(spark, path).drop("trained_at")
