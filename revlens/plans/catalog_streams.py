@@ -73,6 +73,21 @@ def q_stream_redelivery(spark, d):
     return monitors.read_closed(spark, seen).groupBy("Id").agg(F.count(F.lit(1)).alias("times"))
 
 
+# -------------------------------------------------------------- latest rows
+@register("product_counters_latest", V("""
+select coalesce(ProductId, '') as product, coalesce(sentiment_label, 'unknown') as label, count(*) as count
+from predictions_keyed group by all""", "predictions_keyed"))
+def q_product_counters_latest(spark, d):
+    """T4s in update mode: running counts per product and label; a batch writes the counts that changed, the read takes the newest."""
+    from revlens.sources.latest import LatestTable, start_latest_query
+    stream = C._as_file_stream(spark, C._pk(spark, d), "keyed-stream")
+    counts = (stream.groupBy(F.coalesce("ProductId", F.lit("")).alias("product"), F.coalesce("sentiment_label", F.lit("unknown")).alias("label"))
+              .count())
+    table = LatestTable(spark, C._scratch(spark, "latest"), ["product", "label"], counts.schema, fan=2)
+    start_latest_query(counts, table, C._scratch(spark, "latest-ckpt"), available_now=True).awaitTermination()
+    return table.read()
+
+
 # ---------------------------------------------------------------- progress
 @register("traffic_of_stream", V("""
 select status, (select count(*) from predictions_keyed) as messages from (values ('ok'), ('fail')) s(status)""", "predictions_keyed"))

@@ -18,7 +18,8 @@ MARKERS = ["BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastN
 # Queries that fit a model or run a stream: summarised from their result table only.
 SIDE_EFFECT = {"score_test_split", "model_selection", "stream_scoring", "stream_label_counters",
                "stream_throughput", "split_files_roundtrip", "raw_reviews_csv", "stream_replay",
-               "stream_batch_counts", "scored_rows", "stream_equals_batch", "test_export", "stats_file"}
+               "stream_batch_counts", "scored_rows", "stream_equals_batch", "test_export", "stats_file",
+               "rejected_messages", "stream_redelivery", "traffic_of_stream", "metadata_records", "product_counters_latest"}
 
 
 def _final_only(plan: str) -> str:
