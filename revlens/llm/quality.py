@@ -9,8 +9,9 @@ them, into the other's training set. Both are then calibrated on
 labelled documents kept apart, and the calibrated log odds are combined by a
 last logistic fit, which scores every document.
 
-The classifiers are fitted on a bounded, hash-drawn sample of labelled and
-unlabelled documents; whole texts give the features, in tasks, for every document.
+The classifiers are fitted on a bounded, hash-drawn sample of labelled documents; what they
+exchange is the most confident of all unlabelled documents, ranked in tasks every round.
+Whole texts give the features, in tasks, once for every document.
 """
 
 from __future__ import annotations
@@ -21,13 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.common import fold_of, materialize, require, text_of
 
 LABELLED = 4000       # labelled documents of the sample
-UNLABELLED = 4000     # unlabelled documents of the pool
 ROUNDS = 5
 MOVED = 150           # documents a view passes on per round and class
 CONFIDENT = 0.9
@@ -85,7 +85,7 @@ def meta_features(rows: list[dict]) -> np.ndarray:
         out[k, _slot("lang", r["lang"])] = 1
         out[k, _slot("source", r["source"])] = 1
         out[k, _slot("length", None if n is None else int(np.log2(max(0, n) + 1)))] = 1
-        out[k, _slot("pages", min(3, r["n_pages"] or 0))] = 1
+        out[k, _slot("pages", int(min(3, r["n_pages"] or 0)))] = 1
         for kind in ("domain", "suffix", "form"):
             if r[kind] is not None:
                 out[k, _slot(kind, r[kind])] = 1
@@ -128,61 +128,122 @@ def _squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _standard(content: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((content - center) / scale, -8, 8)
+
+
+class ArrayPool:
+    """Unlabelled documents at hand: ``strongest`` gives those that a view is most confident about."""
+
+    def __init__(self, ids: list, content: np.ndarray, meta: np.ndarray):
+        self.ids, self.content, self.meta = ids, content, meta
+
+    def strongest(self, weights, center, scale, moved: int, taken: set) -> list[tuple]:
+        """(view, label, id, content, metadata) of at most ``moved`` confident documents for each view and label, none of ``taken``."""
+        out = []
+        free = [k for k, i in enumerate(self.ids) if i not in taken]
+        if not free:
+            return out
+        for view, x in enumerate((_standard(self.content[free], center, scale), self.meta[free])):
+            p = _squash(_ones(x) @ weights[view])
+            for y, sure in ((1, p), (0, 1 - p)):
+                for k in np.argsort(-sure, kind="stable")[:moved].tolist():
+                    if sure[k] >= CONFIDENT:
+                        out.append((view, y, self.ids[free[k]], self.content[free[k]], self.meta[free[k]]))
+        return out
+
+
+class TablePool:
+    """All unlabelled documents of a table (id, content, ``META``; one row an id): scored and ranked in tasks.
+
+    A task keeps its own best of each view and label before the shuffle; at most 4 * ``moved`` rows come to the driver.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def strongest(self, weights, center, scale, moved: int, taken: set) -> list[tuple]:
+        blob = pickle.dumps((weights, center, scale))
+
+        @F.pandas_udf("content double, meta double")
+        def sure(content: pd.Series, meta: pd.DataFrame) -> pd.DataFrame:
+            w, middle, width = pickle.loads(blob)
+            if not len(content):
+                return pd.DataFrame({"content": [], "meta": []})
+            x = _standard(np.stack(content.to_list()), middle, width)
+            return pd.DataFrame({"content": _squash(_ones(x) @ w[0]), "meta": _squash(_ones(meta_features(records(meta))) @ w[1])})
+
+        free = self.rows
+        if taken:  # at most 4 * moved a round
+            kind = free.schema["id"].dataType.simpleString()
+            free = free.join(F.broadcast(free.sparkSession.createDataFrame([(i,) for i in taken], f"id {kind}")), "id", "left_anti")
+        both = F.array(*[F.struct(F.lit(view).alias("view"), F.lit(y).alias("y"), p.alias("p"))
+                         for view, name in enumerate(("content", "meta"))
+                         for y, p in ((1, F.col(f"s.{name}")), (0, 1 - F.col(f"s.{name}")))])
+        best = Window.partitionBy("e.view", "e.y").orderBy(F.desc("e.p"), "id")
+        found = (free.withColumn("s", sure("content", F.struct(*META))).withColumn("e", F.explode(both))
+                 .filter(F.col("e.p") >= CONFIDENT).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= moved)
+                 .select("e.view", "e.y", "rank", "id", "content", *META).collect())
+        found.sort(key=lambda r: (r["view"], -r["y"], r["rank"]))
+        return [(r["view"], r["y"], r["id"], np.array(r["content"]), m)
+                for r, m in zip(found, meta_features([r.asDict() for r in found]))]
+
+
+def records(meta: pd.DataFrame) -> list[dict]:
+    return meta.astype("object").where(meta.notna(), None).to_dict("records")
+
+
 def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, moved: int = MOVED,
-             seed: int = 5) -> Views | None:
-    """Fit on rows with ``label`` 1 or 0, and -1 for the unlabelled pool. None unless both classes are labelled."""
+             seed: int = 5, pool: ArrayPool | TablePool | None = None) -> Views | None:
+    """Fit on rows with ``label`` 1 or 0; -1 marks an unlabelled row of the pool if no other ``pool`` is given.
+
+    None unless both classes are labelled.
+    """
     known = np.flatnonzero(label >= 0)
     if len(set(label[known].tolist())) < 2:
         return None
+    if pool is None:
+        rest = np.flatnonzero(label < 0)
+        pool = ArrayPool(rest.tolist(), content[rest], meta[rest])
     rng = np.random.default_rng(seed)
     known = rng.permutation(known)
     fit, apart = known[: max(2, 2 * len(known) // 3)], known[max(2, 2 * len(known) // 3):]
     if len(set(label[fit].tolist())) < 2 or len(set(label[apart].tolist())) < 2:
         fit = apart = known
     center, scale = content[fit].mean(axis=0), content[fit].std(axis=0) + 1e-6
-    x = (np.clip((content - center) / scale, -8, 8), meta)
-    train = [dict(zip(fit.tolist(), label[fit].tolist())) for _ in x]
-    pool = set(np.flatnonzero(label < 0).tolist())
-    w = [np.zeros(v.shape[1] + 1) for v in x]
+    views = (lambda c, m: _standard(c, center, scale), lambda c, m: m)
+    at = np.sort(fit)
+    x, y = [[view(content[at], meta[at])] for view in views], [label[at].astype(float).tolist() for _ in views]
+    w: list[np.ndarray] = []
 
     def refit():
-        for k in (0, 1):
-            at = np.array(sorted(train[k]))
-            w[k] = fit_logistic(x[k][at], np.array([train[k][i] for i in at.tolist()], dtype=float))
+        w[:] = [fit_logistic(np.vstack(x[k]), np.array(y[k])) for k in (0, 1)]
 
     refit()
+    taken: set = set()
     for _ in range(rounds):
-        free = np.array(sorted(pool))
-        if not len(free):
-            break
-        taken = set()
-        for k in (0, 1):
-            p = _squash(_ones(x[k][free]) @ w[k])
-            for y, sure in ((1, p), (0, 1 - p)):
-                best = free[np.argsort(-sure, kind="stable")[:moved]]
-                strong = set(free[sure >= CONFIDENT].tolist())
-                for i in best.tolist():
-                    if i in strong:
-                        train[1 - k].setdefault(i, y)
-                        taken.add(i)
-        if not taken:
+        picked = pool.strongest(w, center, scale, moved, taken)
+        if not picked:
             break
-        pool -= taken
+        for view, is_good, i, c, m in picked:
+            # What one view is sure of teaches the other.
+            x[1 - view].append(views[1 - view](c, m)[None, :])
+            y[1 - view].append(float(is_good))
+            taken.add(i)
         refit()
-    margins = [_ones(v[apart]) @ wk for v, wk in zip(x, w)]
-    y = label[apart].astype(float)
-    platt = [fit_logistic(m[:, None], y, ridge=1e-2) for m in margins]
+    margins = [_ones(view(content[apart], meta[apart])) @ wk for view, wk in zip(views, w)]
+    truth = label[apart].astype(float)
+    platt = [fit_logistic(m[:, None], truth, ridge=1e-2) for m in margins]
     calibrated = np.stack([np.clip(m, -30, 30) * a + b for m, (a, b) in zip(margins, platt)], axis=1)
-    return Views(w[0], center, scale, w[1], platt, fit_logistic(calibrated, y, ridge=1e-1))
+    return Views(w[0], center, scale, w[1], platt, fit_logistic(calibrated, truth, ridge=1e-1))
 
 
 def _calibrated(z: np.ndarray, platt: np.ndarray) -> np.ndarray:
     return np.clip(z, -30, 30) * platt[0] + platt[1]
 
 
-def content_odds(views: Views, texts: list[str]) -> np.ndarray:
-    x = np.clip((content_features(texts) - views.center) / views.scale, -8, 8)
-    return _calibrated(_ones(x) @ views.content, views.platt[0])
+def content_odds(views: Views, content: np.ndarray) -> np.ndarray:
+    return _calibrated(_ones(_standard(content, views.center, views.scale)) @ views.content, views.platt[0])
 
 
 def meta_odds(views: Views, rows: list[dict]) -> np.ndarray:
@@ -222,40 +283,39 @@ def with_metadata(docs: DataFrame, pages: DataFrame | None, id_col: str) -> Data
     return docs.join(meta, docs[id_col] == meta["page_doc"], "left").drop("page_doc")
 
 
-def _drawn(ids: DataFrame, n: int, salt: str) -> list:
-    """Ids by hash order: a bounded, documented sample."""
-    return [r[0] for r in ids.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n).collect()]
+def with_content(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, lang, source, n_chars, content, ``keep``) of every row, written: whole texts are read once."""
+    @F.pandas_udf("array<double>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(content_features(list(texts))))
+
+    return materialize(docs.select(F.col(id_col).alias("id"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"),
+                                   features(text_of(text_col)).alias("content"), *keep), "quality-content")
+
 
+def train_views(seen: DataFrame, labels: DataFrame, pages: DataFrame | None, id_col: str, labelled: int = LABELLED) -> Views | None:
+    """Co-train on at most ``labelled`` labelled documents and all unlabelled ones of ``with_content``.
 
-def train_views(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, id_col: str, text_col: str,
-                labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Views | None:
-    """Co-train on at most ``labelled`` + ``unlabelled`` documents; label rows of one id: the lowest quality counts."""
-    spark = docs.sparkSession
-    known = (labels.filter(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1)).groupBy(id_col)
-             .agg(F.min("quality").alias("quality")).withColumnRenamed(id_col, "id"))
+    Label rows of one id: the lowest quality counts. Rows of one id are one document, the least by its features.
+    """
+    known = (labels.filter(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("id"))
+             .agg(F.min("quality").alias("quality")))
     usable = known.filter(fold_of("id", FOLDS) != HELD)
     some = usable.orderBy(F.xxhash64("id", F.lit("labelled")), "id").limit(labelled).collect()
     marks = {r["id"]: r["quality"] for r in some}
     if len(set(marks.values())) < 2:
         return None
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
-    pool = _drawn(ids.join(known.select("id"), "id", "left_anti"), unlabelled, "pool")
-    marks.update({i: -1 for i in pool if i not in marks})
-    kind = docs.schema[id_col].dataType.simpleString()
-    # At most labelled + unlabelled ids.
-    wanted = F.broadcast(spark.createDataFrame([(i, q) for i, q in marks.items()], f"id {kind}, quality int"))
-
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(content_features(list(texts))))
-
-    drawn = (docs.select(F.col(id_col).alias("id"), "lang", "source", "n_chars", text_of(text_col).alias("text"))
-             .join(wanted, "id").withColumn("content", features("text")).drop("text").dropDuplicates(["id"]))
-    rows = [r.asDict() for r in with_metadata(drawn, pages, "id").limit(labelled + unlabelled).collect()]
+    kind = seen.schema["id"].dataType.simpleString()
+    wanted = F.broadcast(seen.sparkSession.createDataFrame(list(marks.items()), f"id {kind}, quality int"))  # at most ``labelled`` ids
+    one = F.min(F.struct("content", "lang", "source", "n_chars")).alias("d")
+    drawn = seen.join(wanted, "id").groupBy("id", "quality").agg(one).select("id", "quality", "d.*")
+    rows = [r.asDict() for r in with_metadata(drawn, pages, "id").limit(labelled).collect()]
     rows.sort(key=lambda r: r["id"])
     if not rows:
         return None
-    return co_train(np.array([r["content"] for r in rows]), meta_features(rows), np.array([r["quality"] for r in rows]))
+    rest = seen.filter("id is not null").join(known.select("id"), "id", "left_anti").groupBy("id").agg(one).select("id", "d.*")
+    pool = TablePool(materialize(with_metadata(rest, pages, "id").select("id", "content", *META), "quality-pool"))
+    return co_train(np.array([r["content"] for r in rows]), meta_features(rows), np.array([r["quality"] for r in rows]), pool=pool)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, train_on: DataFrame | None = None,
@@ -269,30 +329,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, pages: DataFrame | None
     """
     columns = (id_col, text_col, "lang", "source", "n_chars")
     require(docs, *columns)
-    views = train_views(docs if train_on is None else train_on, labels, pages, id_col, text_col)
+    seen = with_content(docs, id_col, text_col, keep)
+    views = train_views(seen if train_on is None else with_content(train_on, id_col, text_col), labels, pages, id_col)
     blob = pickle.dumps(views)
 
-    @F.pandas_udf("double")
-    def content(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("content double, meta double, score double")
+    def combine(content: pd.Series, meta: pd.DataFrame) -> pd.DataFrame:
         v = pickle.loads(blob)
-        return pd.Series(np.zeros(len(texts)) if v is None else content_odds(v, list(texts)))
+        if v is None or not len(content):
+            return pd.DataFrame({"content": np.zeros(len(content)), "meta": np.zeros(len(content)), "score": np.full(len(content), 0.5)})
+        odds, other = content_odds(v, np.stack(content.to_list())), meta_odds(v, records(meta))
+        return pd.DataFrame({"content": odds, "meta": other, "score": combined(v, odds, other)})
 
-    @F.pandas_udf("meta double, score double")
-    def combine(odds: pd.Series, meta: pd.DataFrame) -> pd.DataFrame:
-        v = pickle.loads(blob)
-        if v is None or not len(odds):
-            return pd.DataFrame({"meta": np.zeros(len(odds)), "score": np.full(len(odds), 0.5)})
-        rows = meta.astype("object").where(meta.notna(), None).to_dict("records")
-        other = meta_odds(v, rows)
-        return pd.DataFrame({"meta": other, "score": combined(v, odds.to_numpy(), other)})
-
-    seen = materialize(docs.select(F.col(id_col), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"),
-                                   content(text_of(text_col)).alias("odds"), *keep), "quality-content")
-    scored = (with_metadata(seen, pages, id_col)
-              .withColumn("n_chars", F.col("n_chars").cast("double")).withColumn("n_pages", F.col("n_pages").cast("double"))
-              .withColumn("s", combine("odds", F.struct(*META))))
+    scored = with_metadata(seen, pages, "id").withColumn("s", combine("content", F.struct(*META)))
     logistic = lambda c: 1 / (1 + F.exp(-F.col(c)))
-    return scored.select(F.col(id_col), (fold_of(id_col, FOLDS) == HELD).alias("held_out"),
-                         logistic("odds").alias("content_score"), logistic("s.meta").alias("meta_score"),
+    return scored.select(F.col("id").alias(id_col), (fold_of("id", FOLDS) == HELD).alias("held_out"),
+                         logistic("s.content").alias("content_score"), logistic("s.meta").alias("meta_score"),
                          F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).cast("int").alias("predicted"),
                          *keep)

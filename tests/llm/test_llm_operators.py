@@ -559,6 +559,40 @@ def test_co_training_exchanges_labels():
     assert quality.co_train(content, meta, np.full(600, -1)) is None
 
 
+def test_pool_of_a_table_gives_what_the_pool_at_hand_gives(spark):
+    """The same rounds by brute force over arrays; rare kinds far behind any first thousands are exchanged."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    y = rng.integers(0, 2, n)
+    content = rng.normal(0, 1, (n, quality.CONTENT)) + 1.2 * y[:, None]
+    content[5990:] += 9 * (2 * y[5990:, None] - 1)   # the surest stand at the end
+    rows = [{"id": i, "lang": "en" if y[i] else "de", "source": f"s{i % 5}", "n_chars": int(i % 900), "n_pages": i % 3,
+             "domain": None if i % 2 else "a.org", "suffix": None if i % 2 else "org", "form": None} for i in range(n)]
+    meta = quality.meta_features(rows)
+    frame = spark.createDataFrame([(r["id"], content[i].tolist(), *[r[c] for c in quality.META]) for i, r in enumerate(rows)],
+                                  "id long, content array<double>, lang string, source string, n_chars long, n_pages long, "
+                                  "domain string, suffix string, form string")
+    label = np.where(np.arange(n) < 200, y, -1)
+    table_pool = quality.TablePool(frame.filter("id >= 200").repartition(7))
+    array_pool = quality.ArrayPool(list(range(200, n)), content[200:], meta[200:])
+    center, scale = content[:200].mean(axis=0), content[:200].std(axis=0)
+    weights = [rng.normal(0, 1, quality.CONTENT + 1), rng.normal(0, 1, quality.META_SLOTS + 1)]
+    for taken in (set(), set(range(300, 500))):
+        got, want = (pool.strongest(weights, center, scale, 40, taken) for pool in (table_pool, array_pool))
+        key = lambda picked: sorted((v, g, i) for v, g, i, *_ in picked)
+        assert key(got) == key(want) and len(got) > 50
+        features = {(v, i): (c, m) for v, g, i, c, m in want}
+        assert all(np.allclose(c, features[v, i][0]) and (m == features[v, i][1]).all() for v, g, i, c, m in got)
+    views = quality.co_train(content[:200], meta[:200], label[:200], pool=table_pool)
+    other = quality.co_train(content, meta, label)
+    assert np.allclose(views.content, other.content, atol=1e-6) and np.allclose(views.combine, other.combine, atol=1e-6)
+    moved = []
+    real = table_pool.strongest
+    table_pool.strongest = lambda *a: moved.append(real(*a)) or moved[-1]
+    quality.co_train(content[:200], meta[:200], label[:200], pool=table_pool)
+    assert {i for picked in moved for _, _, i, *_ in picked} & set(range(5990, n))
+
+
 # ------------------------------------------------------------- url reputation
 
 URLS = ["https://www.Example.ORG/es/1", "http://a.example.org/en/12?x", "http://example.org/en/2", "https://site.com/fr/3",
