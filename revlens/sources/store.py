@@ -70,8 +70,10 @@ class PredictionStore:
     def _write_rows(self, batch: DataFrame) -> tuple[list[dict], int]:
         """Rows by ingest day into a new folder: an entry per day, and the number of rows."""
         name, seen = f"{ROWS}/{uuid.uuid4().hex}", Observation(f"stored_{uuid.uuid4().hex}")
-        (batch.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("ingest_date", F.to_date("inserted_at"))
-         .write.partitionBy("ingest_date").parquet(os.path.join(self.path, name)))
+        # A task's rows are of few days: one small batch of many days is not written as a file for each task and day.
+        rows = batch.withColumn("ingest_date", F.to_date("inserted_at")).repartitionByRange("ingest_date", "ProductId", "Id")
+        (rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy("ingest_date")
+         .parquet(os.path.join(self.path, name)))
         return self._days_of(name, tier=0), int(seen.get["rows"])
 
     def _days_of(self, name: str, tier: int) -> list[dict]:
