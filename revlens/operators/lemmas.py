@@ -1,10 +1,9 @@
 """Lemma dictionaries as tables (P3i): a given one (form, lemma), or one decided by the corpus itself.
 
-``lemmatize_with`` has one plan at every dictionary size: tokens are exploded
-with their position, left-joined to the dictionary (Spark broadcasts it when
-its size allows) and put back in order. The key is the text's SHA-256, so rows
-with a NULL or a repeated id keep their own words, a group is one text's tokens, and
-the shuffles of tokens carry a digest beside each token instead of the text.
+``lemmatize_with`` has one plan at every dictionary size: each distinct text is shuffled
+once, by its SHA-256; its tokens are exploded with their position, left-joined to the dictionary (where Spark
+broadcasts it, without another shuffle; else a digest travels beside each token) and
+put back in order. Rows with a NULL or a repeated id keep their own words, and a group is one text's tokens.
 
 ``corpus_lemmas`` detaches noun endings in every way they may have been attached, and takes
 a base only if the corpus has it as a word: *zombies* may come from *zombie* or *zomby*, and the
@@ -36,9 +35,10 @@ def lemmatize_with(df: DataFrame, lemmas: DataFrame, text_col: str = "cleaned",
     out_col = out_col or text_col
     dic = lemmas.select("form", "lemma").dropna().groupBy("form").agg(F.min("lemma").alias("lemma"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.sha2(text, 256)
-    toks = (df.select(key.alias("_key"), F.posexplode(F.split(text, " ")).alias("pos", "tok")).filter(F.col("tok") != "")
-            .groupBy("_key", "pos").agg(F.first("tok").alias("tok")))  # equal texts are one
+    key = F.unhex(F.sha2(text, 256))
+    # Distinct texts by key: their tokens are joined and put together where the text lies.
+    toks = (df.select(key.alias("_key"), text.alias("_text")).dropDuplicates(["_key"])
+            .select("_key", F.posexplode(F.split("_text", " ")).alias("pos", "tok")).filter(F.col("tok") != ""))
     joined = toks.join(dic, toks["tok"] == dic["form"], "left")
     word = F.coalesce(F.col("lemma"), lemma(F.col("tok")) if rules else F.col("tok"))
     per_text = (joined.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), word.alias("w")))).alias("_t"))

@@ -53,7 +53,7 @@ def test_empty_corpus(spark):
     assert lemmas.lemmatize_by_corpus(none).count() == 0 and lemmas.corpus_lemmas(lemmas.vocabulary(none)).count() == 0
 
 
-def test_dictionary_join_shuffles_digests_not_texts(spark, texts):
+def test_dictionary_join_takes_the_least_lemma_and_skips_nulls(spark, texts):
     dic = spark.createDataFrame([("zombies", "z"), ("zombies", "a"), (None, "x"), ("box", None)], "form string, lemma string")
     got = {(r.Id, r.cleaned) for r in lemmas.lemmatize_with(texts, dic, rules=False).collect()}
     assert (7, "a berry") in got and (7, "") in got and (None, "boxes box") in got
