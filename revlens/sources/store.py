@@ -29,6 +29,9 @@ from revlens.sources.commits import CommitList, Conflict, State
 ROWS, ROLLUP, IDS, BITMAPS = "rows", "rollup", "ids", "bitmaps"
 FAN = 8
 TARGET_BYTES = 256 * 1024 * 1024
+#: Unpacked rows that one task of a compaction sorts: stored bytes say little about them, as like rows are packed well.
+SORT_BYTES = 256 * 1024 * 1024
+ROW_BYTES = 200   # a row without its texts
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -158,9 +161,14 @@ class PredictionStore:
         return len(old)
 
     def _compact_rows(self, folders: list[dict], target_bytes: int) -> list[dict]:
-        """Closed days as files clustered by (day, product, time), with a bloom filter on the product."""
+        """Closed days as files clustered by (day, product, time), with a bloom filter on the product.
+
+        A file is at most about ``target_bytes`` long, and shorter where its rows unpacked would be more than one task should sort.
+        """
         rows = self._read(State(), ROWS, PREDICTION, folders).withColumn("ingest_date", F.to_date("inserted_at"))
-        files = max(1, -(-sum(f["bytes"] for f in folders) // target_bytes))
+        texts = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("Summary", "Text", "cleaned")), F.lit(ROW_BYTES).cast("long"))
+        unpacked = rows.agg(F.sum(texts)).first()[0] or 0
+        files = max(1, -(-sum(f["bytes"] for f in folders) // target_bytes), -(-unpacked // SORT_BYTES))
         name = f"{ROWS}/{uuid.uuid4().hex}"
         (rows.repartitionByRange(files, "ingest_date", "ProductId", "Time", "Id").sortWithinPartitions("ingest_date", "ProductId", "Time")
          .write.partitionBy("ingest_date").option("parquet.bloom.filter.enabled#ProductId", "true").parquet(os.path.join(self.path, name)))

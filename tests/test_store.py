@@ -67,6 +67,17 @@ def test_odd_rows_replays_and_merging_keep_counts_right(spark, store):
     assert ids(store.predictions(1)) == ids(frame(spark, ODD[:4]))  # an older version
 
 
+def test_a_compaction_task_sorts_a_bounded_part_of_the_rows(spark, store, monkeypatch):
+    """Many like rows are few bytes when stored: the ranges go by what the rows hold unpacked."""
+    monkeypatch.setattr("revlens.sources.store.SORT_BYTES", 200_000, raising=False)
+    store.append(frame(spark, [row(i, f"p{i % 3}") for i in range(4000)]), "a", 0)
+    assert store.compact("2025-01-01") == {"rows": 1}
+    files = store.predictions().inputFiles()
+    sizes = [spark.read.parquet(f).count() for f in files]
+    assert sum(sizes) == 4000 and len(files) >= 4 and max(sizes) <= 2000
+    assert ids(store.predictions()) == list(range(4000))
+
+
 def test_an_empty_table_answers(spark, store):
     assert store.version() == 0 and store.predictions().count() == 0
     assert_equal_to_scan(store, frame(spark, []))
