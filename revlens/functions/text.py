@@ -13,6 +13,8 @@ and RE2.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,12 +85,24 @@ def full_text(summary="Summary", text="Text") -> Column:
     return F.concat(F.coalesce(_c(summary), F.lit("")), F.lit(". "), F.coalesce(_c(text), F.lit("")))
 
 
+def _replaced(s: Column, pattern: str, *marks: str) -> Column:
+    """Every match of ``pattern`` by a space; a text without its marks has none and is not searched.
+
+    The text is an array of one, so that it is made once and not at every place that names it.
+    """
+    has = lambda x: functools.reduce(lambda a, b: a | b, [x.contains(m) for m in marks])
+    return F.element_at(F.transform(F.array(s), lambda x: F.when(has(x), F.regexp_replace(x, pattern, " ")).otherwise(x)), 1)
+
+
+def _without_markup(col) -> Column:
+    """P3a-P3d: '' for null, lower, drop tags and URLs."""
+    s = F.lower(F.coalesce(_c(col), F.lit("")))
+    return _replaced(_replaced(s, TAG_RE, "<"), URL_RE, "http", "www.")
+
+
 def normalise(col) -> Column:
     """P3a-P3f: '' for null, lower, drop tags / URLs / non-letters, squeeze spaces."""
-    s = F.lower(F.coalesce(_c(col), F.lit("")))
-    s = F.regexp_replace(s, TAG_RE, " ")
-    s = F.regexp_replace(s, URL_RE, " ")
-    return F.trim(F.regexp_replace(s, NON_LETTERS_RE, " "))
+    return F.trim(F.regexp_replace(_without_markup(col), NON_LETTERS_RE, " "))
 
 
 def _ends(x: Column, *suffixes: str) -> Column:
@@ -115,9 +129,14 @@ def lemma_rule(x: Column) -> Column:
             .otherwise(x))
 
 
+# The rules touch no word without a final s, and a map is searched entry by entry: most words need neither.
+_OTHER_PLURALS = [w for w in IRREGULAR_LEMMAS if not w.endswith("s")]
+
+
 def lemma(x: Column) -> Column:
     irregular = F.create_map(*[F.lit(v) for kv in IRREGULAR_LEMMAS.items() for v in kv])
-    return F.coalesce(F.try_element_at(irregular, x), lemma_rule(x))
+    return (F.when(x.endswith("s") | x.isin(*_OTHER_PLURALS), F.coalesce(F.try_element_at(irregular, x), lemma_rule(x)))
+            .otherwise(x))
 
 
 def clean_tokens(col, lemmatise: bool = True) -> Column:
@@ -126,7 +145,7 @@ def clean_tokens(col, lemmatise: bool = True) -> Column:
     Without ``lemmatise`` the tokens stay inflected, as a dictionary table
     (``operators.lemmas``) must see them.
     """
-    toks = F.split(normalise(col), " ")
+    toks = F.split(_without_markup(col), NON_LETTERS_RE)  # the words of ``normalise``; an empty one at the ends goes as too short
     kept = F.filter(toks, lambda t: (F.length(t) > 2) & ~t.isin(*_STOP_TESTED))
     return F.transform(kept, lemma) if lemmatise else kept
 

@@ -78,7 +78,10 @@ def decode(raw: DataFrame) -> DataFrame:
     parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     # Spark's parser ignores what follows a value; as the first of two elements the text must end where its value does.
     whole = F.get_json_object(F.concat(F.lit("["), text, F.lit(',"end of message"]')), "$[1]") == "end of message"
-    rows = raw.select(whole.alias("whole"), F.col("key").cast("string").alias("key"), text.alias("value"), parsed.alias("d"))
+    read = F.struct(F.col("key").cast("string").alias("key"), text.alias("value"), whole.alias("whole"), parsed.alias("d"))
+    # Exploded from an array of one, a message is read once: else a filter on the reason is pushed below and
+    # parses (and makes) it again for every field it asks.
+    rows = raw.select(F.inline(F.array(read)))
     reason = (F.when(F.col("value").isNull() | (F.trim("value") == ""), F.lit(NO_VALUE))
               .when(~F.coalesce("whole", F.lit(False)), F.lit(NOT_JSON))
               .when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), F.lit(WRONG_TYPE))

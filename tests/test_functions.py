@@ -103,3 +103,16 @@ def test_in_year_raw_equals_year_of_repaired_time(spark):
         F.coalesce(timefn.in_year(2011, "_t"), F.lit(False)).alias("exact"))
     for r in got.collect():
         assert bool(r.raw) == r.exact, r
+
+
+def test_cleaning_skips_no_markup(spark):
+    """Texts with and without the marks that the searches for tags and addresses ask for first."""
+    texts = ["Tea <br/>leaves WWW.x.y/z mice", "HTTPS://a.b cats' <i>", "a <b\n> www x", "", None, "12 34", "<>www.", "zombies' men's news"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in frame.orderBy("i").select(text.clean_text("t")).collect()]
+    assert got == ["tea leaf mouse", "cat", "www", "", "", "", "www", "zomby man news"]
+    words = sorted(set(text.IRREGULAR_LEMMAS) | set(text.SINGULAR_S) | {"glasses", "men", "tea", "feet", "ass", "xs", "s", ""})
+    w = spark.createDataFrame([(x,) for x in words], "w string")
+    irregular = F.create_map(*[F.lit(v) for kv in text.IRREGULAR_LEMMAS.items() for v in kv])
+    plain = F.coalesce(F.try_element_at(irregular, F.col("w")), text.lemma_rule(F.col("w")))
+    assert w.filter(~text.lemma(F.col("w")).eqNullSafe(plain)).count() == 0

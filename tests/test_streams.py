@@ -139,3 +139,14 @@ def test_offsets_of_a_source_that_counts_no_messages_are_left_out():
     assert monitors.offsets_total({"sources": [{"description": "K", "endOffset": json.dumps({"t": {"0": 3}})}]}) == {"K": 3}
     assert monitors.offsets_total({"sources": [{"endOffset": '{"logOffset":9}'}, {"endOffset": None}, {"endOffset": "odd"}]}) == {}
     assert monitors.offsets_total(None) == {}
+
+
+def test_a_message_is_made_and_parsed_once(spark):
+    """A filter on the reason, pushed below the parsing, made every message anew for each field that it asks."""
+    rows = spark.createDataFrame([(1, "p", "u", 5, "s", "t", "c", 2), (None, "p", "u", 5, "s", "t", "c", 2)],
+                                 "Id long, ProductId string, UserId string, Time long, Summary string, Text string, cleaned string, sentiment int")
+    made = rows.withColumn("cleaned", F.regexp_replace("cleaned", "[^a-z]", " "))
+    reviews = messages.accepted(messages.decode(messages.publish_reviews(made)))
+    plan = reviews._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("StructsToJsonEvaluator", "from_json(", "regexp_replace(")] == [1, 1, 1]
+    assert [(r.Id, r.cleaned, r.true_sentiment) for r in reviews.collect()] == [(1, "c", 2)]
