@@ -12,6 +12,8 @@ than that, which costs a candidate and never a match.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,25 +32,107 @@ _TWINS = {c: c.upper().lower() for c in map(chr, range(0x80, 0xD800)) if len(c.u
 _TWINS |= {c: c.upper().lower() for c in map(chr, range(0xE000, 0x10000)) if len(c.upper()) == 1 and c.upper().lower() != c.lower()}
 
 
-def fold(text: Column) -> Column:
-    """One form for characters that differ by case only (and for some more)."""
-    twins = _TWINS | {"İ": "i"}
-    return F.translate(F.lower(F.translate(text, "".join(twins), "".join(twins.values()))), "ς", "σ")
+def _class(chars) -> str:
+    """A regex class of characters, in ranges: hundreds of single ones would each be tried at every place of a text."""
+    codes, ranges = sorted(map(ord, chars)), []
+    for c in codes:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a text after folding; none for NULL or a shorter text."""
-    windows = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1)
-    return F.array_distinct(windows)
+def _if(test, x: Column, then) -> Column:
+    """``then(x)`` where the test holds, else ``x``; ``x`` stands in an array of one, so that it is made once."""
+    return F.element_at(F.transform(F.array(x), lambda v: F.when(test(v), then(v)).otherwise(v)), 1)
+
+
+def fold(text: Column) -> Column:
+    """One form for characters that differ by case only (and for some more).
+
+    Characters are translated one by one, which few texts need: only those are that hold one of them.
+    """
+    twins = _TWINS | {"İ": "i"}
+    beyond = f"[^\\x00-\\xff]|{_class(c for c in twins if ord(c) < 0x100)}"  # one look for all others
+    any_twin = lambda t: t.rlike(beyond) & t.rlike(_class(twins))
+    plain = _if(any_twin, text, lambda t: F.translate(t, "".join(twins), "".join(twins.values())))
+    return F.replace(F.lower(plain), F.lit("ς"), F.lit("σ"))
+
+
+def _grams(text: str) -> set[str]:
+    """The distinct trigrams of a folded text."""
+    return {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
+_SHIFTS = np.array([42, 21, 0], dtype=np.int64)  # a code point has 21 bits
+
+
+def _gram_codes(text: str | None) -> np.ndarray:
+    """The distinct trigrams of a folded text, each as one number of its three code points."""
+    if not text or len(text) < GRAM:
+        return np.empty(0, np.int64)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
+
+
+def _gram_strings(codes: np.ndarray) -> pa.Array:
+    points = ((codes[:, None] >> _SHIFTS) & 0x1FFFFF).astype("<u4")
+    sizes = 1 + (points > 0x7F).astype(np.int32) + (points > 0x7FF) + (points > 0xFFFF)
+    offsets = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(offsets), pa.py_buffer(points.tobytes().decode("utf-32-le").encode()))
+
+
+#: (trigram, row) pairs that a task groups at a time.
+PAIRS = 1 << 21
+PIECE_ROWS = 10_000
+
+
+def _pieces(batches):
+    """Rows (Id, summary, text), folded -> pieces of postings: (gram, part, ids)."""
+    ids, codes, held = [], [], 0
+
+    def grouped():
+        gram = np.concatenate(codes)
+        row = np.repeat(np.array(ids, np.int64), [len(c) for c in codes])
+        order = np.lexsort((row, gram))
+        gram, row = gram[order], row[order]
+        part = row // ID_RANGE
+        new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+        ends = np.concatenate([new, [len(gram)]]).astype(np.int32)
+        for at in range(0, len(new), PIECE_ROWS):
+            some = new[at:at + PIECE_ROWS]
+            edges = ends[at:at + PIECE_ROWS + 1]
+            yield pa.RecordBatch.from_arrays(
+                [_gram_strings(gram[some]), pa.array(part[some]),
+                 pa.ListArray.from_arrays(pa.array(edges - edges[0]), pa.array(row[edges[0]:edges[-1]]))], ["gram", "part", "ids"])
+
+    for batch in batches:
+        for i, summary, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            own = _gram_codes(text)
+            if summary:
+                own = np.union1d(own, _gram_codes(summary))
+            if len(own):
+                ids.append(i)
+                codes.append(own)
+                held += len(own)
+            if held >= PAIRS:
+                yield from grouped()
+                ids, codes, held = [], [], 0
+    if held:
+        yield from grouped()
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """``POSTINGS`` of rows with Id, Summary and Text. Rows without an id are not indexed: a search reads them all."""
-    own = F.array_union(grams(F.col("Summary")), grams(F.col("Text")))
-    held = rows.filter("Id is not null").select("Id", F.explode(own).alias("gram"))
-    part = F.floor(F.col("Id") / ID_RANGE).cast("long")
-    return (held.groupBy("gram", part.alias("part")).agg(F.sort_array(F.collect_set("Id")).alias("ids"))
-            .select("gram", "part", F.size("ids").alias("n"), "ids"))
+    """``POSTINGS`` of rows with Id, Summary and Text. Rows without an id are not indexed: a search reads them all.
+
+    A task groups the pairs (trigram, row) of its own rows, so that lists of ids are shuffled, not pairs.
+    """
+    held = rows.filter("Id is not null").select(F.col("Id").cast("long").alias("Id"), fold(F.coalesce("Summary", F.lit(""))).alias("summary"),
+                                                fold(F.coalesce("Text", F.lit(""))).alias("text"))
+    pieces = held.mapInArrow(_pieces, "gram string, part long, ids array<long>")
+    ids = F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids"))))
+    return (pieces.groupBy("gram", "part").agg(ids.alias("ids")).select("gram", "part", F.size("ids").alias("n"), "ids"))
 
 
 def write_index(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -59,8 +143,8 @@ def write_index(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 def required_runs(pattern: str) -> list[str]:
     """Literal runs that every match of a regex contains, by a cautious reading: what is in groups, classes or
-    before ``? * {`` is left out; a pattern with alternatives, quoting, inline flags or comments has none."""
-    if any(x in pattern for x in ("|", "(?", "\\Q", "\\E", "\\p", "\\P", "\\x", "\\u", "\\N", "\\c", "\\0", "\\k")):
+    before ``? * {`` is left out; a pattern with alternatives outside of groups, quoting, inline flags or comments has none."""
+    if any(x in pattern for x in ("(?", "\\Q", "\\E", "\\p", "\\P", "\\x", "\\u", "\\N", "\\c", "\\0", "\\k")):
         return []
     runs, run, i, depth = [], "", 0, 0
 
@@ -96,6 +180,10 @@ def required_runs(pattern: str) -> list[str]:
                 i += 2 if pattern[i] == "\\" else 1
             if i >= len(pattern):
                 return []
+        elif c == "|":
+            if depth <= 0:
+                return []
+            done()
         elif c in "()":
             done()
             depth += 1 if c == "(" else -1
@@ -112,8 +200,8 @@ def query_grams(spark, runs: list[str]) -> list[str]:
     """The distinct trigrams of the runs, folded as the index is."""
     if not runs:
         return []
-    row = spark.range(1).select(F.array_distinct(F.flatten(F.array(*[grams(F.lit(r)) for r in runs])))).first()
-    return list(row[0])
+    folded = spark.range(1).select(F.array(*[fold(F.lit(r)) for r in runs])).first()[0]
+    return sorted(set().union(*map(_grams, folded)))
 
 
 def candidates(index: DataFrame, wanted: list[str]) -> DataFrame:

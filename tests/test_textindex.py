@@ -108,3 +108,21 @@ def test_fold_joins_what_a_case_blind_match_holds_equal(spark):
     ("(?i)abc", []), ("[]a]bcd", ["bcd"]), ("[^]a]bcde", ["bcde"]), ("a\\Q.b", []), ("(a(bc)d)ef", ["ef"]), ("[a&&b]cde", []), ("abc*", ["ab"])])
 def test_required_runs(pattern, runs):
     assert textindex.required_runs(pattern) == runs
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 21])
+def test_postings_are_grouped_in_the_tasks(spark, monkeypatch, pairs):
+    """The lists of ids, however few pairs a task groups at a time; letters of one to four bytes, NUL, NULL, repeated and negative ids."""
+    monkeypatch.setattr(textindex, "PAIRS", pairs, raising=False)
+    rows = [(1, "p", "Ab\x00c", "aB\x00c"), (1, "p", None, "ab\x00"), (-5, "p", "😀é中x", ""), (70_000, "p", "xx", "ab\x00"), (None, "p", "abc", "abc"),
+            (9, None, None, None)]
+    built = textindex.postings(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    got = {(r.gram, r.part): (r.n, r.ids) for r in built.collect()}
+    assert got == {("ab\x00", 0): (1, [1]), ("b\x00c", 0): (1, [1]), ("😀é中", -1): (1, [-5]), ("é中x", -1): (1, [-5]), ("ab\x00", 1): (1, [70_000])}
+    assert "explode" not in built._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alternatives_inside_a_group_leave_the_runs_around_it():
+    assert textindex.required_runs("worth(l|L)?[a-z]ess") == ["worth", "ess"]
+    assert textindex.required_runs("abc(d|(e|f)g)hij") == ["abc", "hij"]
+    assert textindex.required_runs("abc(d)|efg") == textindex.required_runs("abc)|efg") == textindex.required_runs("a\\(b|c") == []
