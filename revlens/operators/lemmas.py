@@ -1,9 +1,9 @@
 """Lemma dictionaries as tables (P3i): a given one (form, lemma), or one decided by the corpus itself.
 
-``lemmatize_with`` has one plan at every dictionary size: each distinct text is shuffled
-once, by its SHA-256; its tokens are exploded with their position, left-joined to the dictionary (where Spark
-broadcasts it, without another shuffle; else a digest travels beside each token) and
-put back in order. Rows with a NULL or a repeated id keep their own words, and a group is one text's tokens.
+``lemmatize_with`` has one plan at every dictionary size: each distinct text (by its SHA-256) is written once and
+lies in a chunk of bounded length. The distinct words of a chunk are left-joined to the dictionary, and those that
+change come back to the chunk's texts: no row is made for every token of every text.
+Rows with a NULL or a repeated id keep their own words.
 
 ``corpus_lemmas`` detaches noun endings in every way they may have been attached, and takes
 a base only if the corpus has it as a word: *zombies* may come from *zombie* or *zomby*, and the
@@ -14,10 +14,18 @@ The text should hold raw tokens (``clean_text(.., lemmatise=False)``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+import uuid
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.text import IRREGULAR_LEMMAS, SINGULAR_S, lemma
+from revlens.session import checkpoint_dir
+
+#: Characters of a chunk of texts, whose changed words are looked up together.
+CHUNK_CHARS = 1 << 22
 
 # Noun endings and what may stand in their place. Some endings have several.
 DETACHMENTS = [("s", ""), ("ses", "s"), ("ses", "sis"), ("xes", "x"), ("zes", "z"), ("zzes", "z"), ("ches", "ch"), ("shes", "sh"),
@@ -36,17 +44,32 @@ def lemmatize_with(df: DataFrame, lemmas: DataFrame, text_col: str = "cleaned",
     dic = lemmas.select("form", "lemma").dropna().groupBy("form").agg(F.min("lemma").alias("lemma"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.sha2(text, 256))
-    # Distinct texts by key: their tokens are joined and put together where the text lies.
-    toks = (df.select(key.alias("_key"), text.alias("_text")).dropDuplicates(["_key"])
-            .select("_key", F.posexplode(F.split("_text", " ")).alias("pos", "tok")).filter(F.col("tok") != ""))
+    texts = _chunks(df.select(key.alias("_key"), text.alias("_text")).dropDuplicates(["_key"]))
+    toks = texts.select("_chunk", F.explode(F.array_distinct(F.split("_text", " "))).alias("tok")).filter(F.col("tok") != "").distinct()
     joined = toks.join(dic, toks["tok"] == dic["form"], "left")
     word = F.coalesce(F.col("lemma"), lemma(F.col("tok")) if rules else F.col("tok"))
-    per_text = (joined.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), word.alias("w")))).alias("_t"))
-                .select("_key", F.array_join(F.transform("_t", lambda x: x["w"]), " ").alias("_lem")))
+    changed = joined.select(F.col("_chunk").alias("_of"), "tok", word.alias("word")).filter("tok <> word")
+    per_text = texts.groupBy("_chunk").cogroup(changed.groupBy("_of")).applyInArrow(_put_words, "_key binary, _lem string")
     return (df.withColumn("_key", key).join(per_text, "_key", "left")
             .withColumn(out_col, F.coalesce(F.col("_lem"), F.lit(""))).drop("_lem", "_key"))
 
 
+def _chunks(texts: DataFrame) -> DataFrame:
+    """The texts, written once, with the chunk that each is in: a chunk has about ``CHUNK_CHARS`` characters."""
+    spark = texts.sparkSession
+    path, seen = os.path.join(checkpoint_dir(spark), f"lemma-texts-{uuid.uuid4().hex}"), Observation(f"lemma_{uuid.uuid4().hex}")
+    texts.observe(seen, F.coalesce(F.sum(F.length("_text")), F.lit(0)).alias("chars")).write.parquet(path)
+    chunks = max(1, -(-int(seen.get["chars"]) // CHUNK_CHARS))
+    return spark.read.schema(texts.schema).parquet(path).withColumn("_chunk", F.pmod(F.xxhash64("_key"), F.lit(chunks)))
+
+
+def _put_words(texts: pa.Table, changed: pa.Table) -> pa.Table:
+    """One chunk's texts with its changed words."""
+    words = dict(zip(changed["tok"].to_pylist(), changed["word"].to_pylist()))
+    put = [" ".join([words.get(w, w) for w in t.split(" ") if w]) for t in texts["_text"].to_pylist()]
+    return pa.table({"_key": texts["_key"], "_lem": pa.array(put, pa.string())})
+
+
 def vocabulary(df: DataFrame, text_col: str = "cleaned") -> DataFrame:
     """(word, n): how often each token occurs."""
     words = df.select(F.explode(F.split(F.col(text_col), " ")).alias("word")).filter(F.col("word") != "")

@@ -94,7 +94,9 @@ select Id, {clean_text_sql(_RAW_TEXT, f"case when length(x) >= {FORM_LENGTH} the
 from reviews""", "reviews"))
 def q_lemma_dictionary(spark, d):
     """P3i with a dictionary table (here: long words to their stems); the rules only for words it lacks."""
-    raw = T.spread(T.reviews(spark, d)).select("Id", clean_text(full_text(), lemmatise=False).alias("cleaned"))
+    path = C._scratch(spark, "raw-tokens")  # cleaned once: the dictionary and the join both read it
+    T.spread(T.reviews(spark, d)).select("Id", clean_text(full_text(), lemmatise=False).alias("cleaned")).write.parquet(path)
+    raw = spark.read.parquet(path)
     forms = raw.select(F.explode(F.split("cleaned", " ")).alias("form")).filter(F.length("form") >= FORM_LENGTH).distinct()
     return lemmas.lemmatize_with(raw, forms.withColumn("lemma", F.substring("form", 1, LEMMA_LENGTH)))
 

@@ -57,3 +57,14 @@ def test_dictionary_join_takes_the_least_lemma_and_skips_nulls(spark, texts):
     dic = spark.createDataFrame([("zombies", "z"), ("zombies", "a"), (None, "x"), ("box", None)], "form string, lemma string")
     got = {(r.Id, r.cleaned) for r in lemmas.lemmatize_with(texts, dic, rules=False).collect()}
     assert (7, "a berry") in got and (7, "") in got and (None, "boxes box") in got
+
+
+@pytest.mark.parametrize("chars", [40, 1 << 22])
+def test_only_the_distinct_words_of_a_chunk_become_rows(spark, texts, monkeypatch, chars):
+    monkeypatch.setattr(lemmas, "CHUNK_CHARS", chars, raising=False)
+    many = texts.union(spark.createDataFrame([(11, "zombies box zombies " * 3000), (12, "zombies box zombies " * 3000)], texts.schema))
+    dic = spark.createDataFrame([("zombies", "z")], "form string, lemma string")
+    out = lemmas.lemmatize_with(many, dic, rules=False)
+    got = {r.Id: r.cleaned for r in out.filter("Id > 7").collect()}
+    assert got[11] == got[12] == " ".join(["z box z"] * 3000) and got[10].startswith("z genies") and got[8] == "axes axe ax axis"
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
