@@ -313,3 +313,18 @@ def test_append_query_skips_a_committed_batch(spark, scratch):
         monitors.write_closed_batch(one, 0, os.path.join(scratch, "t"), "r")
     monitors.write_closed_batch(one, 0, os.path.join(scratch, "t"), "s")
     assert sorted(r.Id for r in monitors.read_closed(spark, os.path.join(scratch, "t")).collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_classifiers_fitted_on_term_counts_equal_those_fitted_on_texts(spark, monkeypatch):
+    """Texts are counted once and written; folds, refits and both classifiers read the counts."""
+    texts = ["good tea strong leaf", "bad stale tea", "fine tea box", "good leaf", "stale bad box", "fine box fine"]
+    rows = [(i, f"{texts[i % 6]} word{i % 4}", (2, 0, 1)[i % 3], 1.0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "Id long, cleaned string, sentiment int, classWeight double")
+    counts = training.term_counts(frame)
+    assert "cleaned" not in counts.columns and training.term_counts(counts) is counts and len(counts.inputFiles()) > 0
+    for fit in (training.fit_naive_bayes, training.fit_logreg):
+        got, want = (sorted((r.Id, r.prediction) for r in fit(x).transform(frame).select("Id", "prediction").collect()) for x in (counts, frame))
+        assert got == want
+    assert training.fits_at_a_time(counts, 6) == 6
+    monkeypatch.setattr(training, "KEPT_BYTES", 1)
+    assert training.fits_at_a_time(counts, 6) == 1
